@@ -23,5 +23,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_best_fit_packing,)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.language import fit, identify
+
+    docs = read(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.tokencount import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.toxicity import fit, score
+
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.media import audio_summary
+
+    return audio_summary(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
