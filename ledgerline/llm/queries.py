@@ -23,6 +23,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.lmscore import score
+
+    return score(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.pii import mask_report
+
+    return mask_report(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.language import fit, identify
 
@@ -49,5 +61,5 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_summary(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op4_pii, op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
