@@ -29,6 +29,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.pii import mask_report
 
@@ -61,5 +67,5 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_summary(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op4_pii, op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
