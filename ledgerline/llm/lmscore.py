@@ -39,7 +39,7 @@ def word_counts(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets in text_slices(batch, "text", 1 << 23):
+            for part, buf, offsets in text_slices(batch, "text", 1 << 21):
                 start, end, first = word_spans(buf, offsets)
                 h, where, of = np.unique(span_hash(prefix_hash(buf, lower=True), start, end), return_index=True, return_inverse=True)
                 trains = part.column(1).to_numpy(zero_copy_only=False).astype(bool)

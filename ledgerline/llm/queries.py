@@ -54,6 +54,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.decontaminate import leaks
+
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.toxicity import fit, score
 
@@ -67,5 +73,5 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_summary(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
