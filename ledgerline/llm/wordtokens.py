@@ -29,7 +29,7 @@ def word_tokenizer(tokenizer_path: str, special_as_text: bool = False) -> WordTo
 class WordTokenizer:
     """tokenizer_path: a `tokenizers` file that lower-cases, drops white space and marks the ends of words by </w>."""
 
-    def __init__(self, tokenizer_path: str, special_as_text: bool = False, most_pieces: int = 3_000_000):
+    def __init__(self, tokenizer_path: str, special_as_text: bool = False, most_pieces: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
