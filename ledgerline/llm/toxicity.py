@@ -33,8 +33,8 @@ class Subwords:
     sizes: tuple[int, ...] = (3, 4, 5, 6)
     buckets: int = 1 << 16
 
-    def bags(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(entry buckets, entry words, words, first): subwords of the distinct words; words of text i, by number, are words[first[i]:first[i + 1]]."""
+    def bags(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entry buckets, entry words, words, first, keys): subwords of the distinct words; words of text i, by number, are words[first[i]:first[i + 1]]."""
         n = len(offsets) - 1
         # every text gets a space before it and one after the last; all but letters become spaces
         clean = np.full(len(buf) + n + 1, 32, np.uint8)
@@ -47,7 +47,7 @@ class Subwords:
         clean[at] = low
         start, end, first = word_spans(clean, np.r_[offsets[:-1] + np.arange(n), len(clean)])
         sums = prefix_hash(clean)
-        _, where, words = np.unique(span_hash(sums, start, end), return_index=True, return_inverse=True)
+        keys, where, words = np.unique(span_hash(sums, start, end), return_index=True, return_inverse=True)
         start, end = start[where] - 1, end[where] + 1  # with the marks around it
         own = np.arange(len(start))
         entries, of = [span_hash(sums, start, end)], [own]
@@ -57,7 +57,33 @@ class Subwords:
             s = ragged(start, count)
             entries.append(span_hash(sums, s, s + size))
             of.append(np.repeat(own, count))
-        return (np.concatenate(entries) % np.uint64(self.buckets)).astype(np.int64), np.concatenate(of), words, first
+        return (np.concatenate(entries) % np.uint64(self.buckets)).astype(np.int32), np.concatenate(of).astype(np.int32), words, first, keys
+
+    def of_texts(self, texts: list[str], slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(entry buckets, entry words, text of each distinct (text, word) pair, its word), a slice at a time, so that memory follows the distinct words."""
+        seen, bucket, of, doc, word = np.zeros(0, np.uint64), [], [], [], []
+        number = np.zeros(0, np.int64)
+        done = n_words = 0
+        while done < len(texts):
+            raw, size = [], 0
+            while done + len(raw) < len(texts) and (not raw or size < slice_bytes):
+                raw.append((texts[done + len(raw)] or "").encode())
+                size += len(raw[-1])
+            b, o, words, first, keys = self.bags(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+            at = np.minimum(np.searchsorted(seen, keys), max(len(seen) - 1, 0))
+            new = seen[at] != keys if len(seen) else np.ones(len(keys), bool)
+            own = np.where(new, n_words + np.cumsum(new) - 1, number[at] if len(seen) else 0)
+            keep = new[o]
+            bucket.append(b[keep])
+            of.append(own[o[keep]].astype(np.int32))
+            d, w, _ = distinct_words(first, words)
+            doc.append(d + done)
+            word.append(own[w])
+            seen, number = np.concatenate([seen, keys[new]]), np.concatenate([number, own[new]])
+            order = np.argsort(seen)
+            seen, number, n_words, done = seen[order], number[order], n_words + int(new.sum()), done + len(raw)
+        cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return cat(bucket, np.int32), cat(of, np.int32), cat(doc, np.int64), cat(word, np.int64)
 
 
 @dataclass(frozen=True)
@@ -67,7 +93,7 @@ class Model:
     bias: float
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        bucket, of, words, first = self.subwords.bags(buf, offsets)
+        bucket, of, words, first, _ = self.subwords.bags(buf, offsets)
         n = np.diff(first)
         if not len(words):
             return np.full(len(n), 1 / (1 + np.exp(-self.bias)))
@@ -86,11 +112,8 @@ def distinct_words(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, subwords: Subwords = Subwords(), dim: int = 8, epochs: int = 80, rate: float = 0.05, decay: float = 3e-5) -> Model:
     """Full-batch Adam on weighted log-loss. weights: how many rows of the table each row stands for."""
-    raw = [(t or "").encode() for t in texts]
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    bucket, of, words, first = subwords.bags(buf, np.cumsum([0, *map(len, raw)]))
-    n_docs, n_words = len(raw), int(words.max(initial=-1)) + 1
-    doc, word, _ = distinct_words(first, words)
+    bucket, of, doc, word = subwords.of_texts(texts)
+    n_docs, n_words = len(texts), int(of.max(initial=-1)) + 1
     share = 1 / np.bincount(doc, minlength=n_docs)[doc]
     parts = 1 / np.maximum(np.bincount(of, minlength=n_words), 1)
     rng = np.random.default_rng(7)
@@ -107,7 +130,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, subwords: S
         p = 1 / (1 + np.exp(-np.clip(w @ v + bias, -40, 40)))
         g = weights * (p - labels)
         gu = np.bincount(word, share * g[doc], n_words) * parts * gain
-        ge = np.bincount(of.size and bucket, gu[of], subwords.buckets) if of.size else np.zeros(subwords.buckets)
+        ge = np.bincount(bucket, gu[of], subwords.buckets)
         grads = (np.outer(w, ge) + decay * e, v @ g, np.array([g.sum()]))
         values = [e, w, np.array([bias])]
         for (m, s), grad, x in zip(state, grads, values, strict=True):
@@ -140,7 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return [r["text"] for r in rows], y, np.array([sizes[int(k)] / have[int(k)] for k in y], float)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, folds: int = 5) -> Model:
     texts, y, weights = labelled_sample(docs, labels, label, per_class, folds)
     if not texts:
         return Model(Subwords(), np.zeros(Subwords().buckets), -40.0)
