@@ -23,6 +23,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), 4096, 1)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.suffixes import remove_repeats
+
+    return remove_repeats(read(spark, sf_dir, "documents"), 400)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.lmscore import score
 
@@ -73,5 +79,5 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_summary(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
