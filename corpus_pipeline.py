@@ -1,23 +1,57 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes what its predecessor kept and returns the columns of documents, the last one sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.llm.decontaminate import without_leaks
+from ledgerline.llm.minhash import near_duplicates
 from ledgerline.llm.packing import pack_documents
+from ledgerline.llm.pii import mask
 from ledgerline.llm.queries import tokenizer_path
 from ledgerline.llm.storage import materialize, read
+from ledgerline.llm.toxicity import clean_documents
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the toxicity model rejects."""
+    return clean_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate group, and one row of repeated rows; rows without an id stay."""
+    found = materialize(near_duplicates(docs, size=5, percent=80), "near-duplicates")
+    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti")
+    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
+    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold benchmark passages."""
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal numbers and dates by pseudonyms; all rows stay."""
+    return mask(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path(), 4096, 1)
 
 
-STAGES = [("best-fit packing", pack_stage)]
+STAGES = [("toxicity", toxicity_stage), ("near duplicates", dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("best-fit packing", pack_stage)]
+#: Trained models and tokenizers are beyond SQL; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES over documents, each one's result written to the shared folder and read back by the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
