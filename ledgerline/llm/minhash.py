@@ -8,7 +8,8 @@ classes that collide often enough over whole signatures are confirmed on full se
 
 Large groups of near copies are not expanded into all pairs: in STARS rounds each posting list is compared
 with one member only, and members already in one component aren't compared again; a last round compares all
-pairs that are still in different components, so no link between different texts is lost.
+pairs that are still in different components, in blocks where a list is long, so no link between different
+texts is lost and no list is written out as pairs.
 
 Null and empty texts, and texts of white space, have empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as one. Other columns are ignored; an empty table gives an
@@ -30,7 +31,9 @@ from ledgerline.llm.storage import discard, materialize
 from ledgerline.llm.textarrays import mix, prefix_hash, repeat_of, shingle_hashes, span_hash, text_slices, word_spans
 
 COORDINATES = 32
-STARS = 3
+STARS = 2
+CROWD = 32  # posting lists with more open members are compared in blocks
+BLOCK = 1024
 _RNG = np.random.default_rng(411)
 _ODD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -144,6 +147,56 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among members (key, cls, comp, rep, members) of crowded posting lists: enough of them to join all that link.
+
+    A list is dealt into blocks of about BLOCK members, and each two of its blocks meet in one task, where full
+    sets are compared by counting shared shingles in a matrix product. What leaves a task is a forest over
+    components, never all pairs.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
+    dealt = members.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "rep")
+    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+
+    def compare(pdf):
+        import pandas as pd
+
+        raw = [(t or "").encode() for t in pdf["text"]]
+        h, first = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size)
+        cls, comp, n = pdf["cls"].to_numpy(), pdf["comp"].to_numpy(), np.diff(first)
+        _, col, times = np.unique(h, return_inverse=True, return_counts=True)
+        shared = times[col] > 1
+        owner, col = repeat_of(first)[shared], np.unique(col[shared], return_inverse=True)[1]
+        common = np.zeros((len(n), len(n)), np.float32)
+        order = np.argsort(col, kind="stable")
+        owner, col = owner[order], col[order]
+        for lo in range(0, int(col.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(col, [lo, lo + 4096])
+            x = np.zeros((len(n), 4096), np.float32)
+            x[owner[a:b], col[a:b] - lo] = 1
+            common += x @ x.T
+        near = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
+        root = {c: c for c in comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out = []
+        for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True):
+            ca, cb = find(comp[a]), find(comp[b])
+            if ca != cb:
+                root[ca] = cb
+                out.append((cls[a], cls[b]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.join(texts, "rep").select("key", "i", "j", "cls", "comp", "text").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
 def _links(posted: DataFrame, classes: DataFrame, docs: DataFrame, least: int, size: int, percent: int) -> DataFrame | None:
     """Links (a, b) that connect everything that links at all; None without any."""
     found: DataFrame | None = None
@@ -160,15 +213,19 @@ def _links(posted: DataFrame, classes: DataFrame, docs: DataFrame, least: int, s
             pairs = pairs.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count(F.lit(1)).alias("often"))
             pairs = pairs.groupBy("cls").agg(F.max_by("hub", F.struct("often", "hub")).alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         else:
-            here = materialize(own.join(open_keys.select("key"), "key", "left_semi").join(classes.select("cls", "n"), "cls"), "open")
-            one = here.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-            two = here.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+            here = materialize(own.join(open_keys.select("key"), "key", "left_semi").join(classes.select("cls", "n", "rep"), "cls"), "open")
+            crowded = here.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
+            few = here.join(crowded, "key", "left_anti")
+            one = few.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+            two = few.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
             pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
+            links = materialize(_blocks(here.join(crowded, "key"), docs, size, percent), "blocks")
+            if not links.isEmpty():
+                found = links if found is None else found.unionByName(links)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        near = materialize(_collide(pairs, classes, least, percent), "near")
-        links = materialize(_confirm(near, docs, size, percent), "linked")
+        links = materialize(_confirm(_collide(pairs, classes, least, percent), docs, size, percent), "linked")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.isEmpty():
             found = links if found is None else found.unionByName(links)
