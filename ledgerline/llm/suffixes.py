@@ -12,8 +12,8 @@ parts them stably by symbol, so suffixes are never sorted again. With each neigh
 which the two differ, the minimum over what lay between them: the common prefix. A string starting at c
 repeats if one of its neighbours agrees for `length` columns or more.
 
-Anchors with more than HOT strings would crowd one task. Their strings are counted by hash instead, a row a
-string with partial sums, under the same anchors.
+Anchors with more than CROWD strings would crowd one task. Their strings are dealt into blocks of about that
+many, and each two blocks of an anchor are merged in one task, so any two strings still meet.
 
 Texts are UTF-8 bytes, matches never cross documents, null counts as empty, texts shorter than `length` have
 nothing removed. Exact copies are found by hash and work enters once; all of a copied text is removed.
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.storage import discard, materialize
-from ledgerline.llm.textarrays import mix, prefix_hash, ragged, span_hash, text_slices
+from ledgerline.llm.textarrays import prefix_hash, span_hash, text_slices
 
 KMER = 32
-HOT = 2048
+CROWD = 8192
 SHARD = 4096
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _PLACE = np.uint64((1 << 24) - 1)
@@ -203,7 +203,7 @@ def _long(buf: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
 
 
 def _strings(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(h, hot, thash, lead, s, starts, data): the bytes of runs, from their texts."""
+    """(h, blocks, thash, lead, s, starts, data): the bytes of runs, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +211,7 @@ def _strings(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             for thash, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
                 for r in own:
-                    out.append((r["h"], r["hot"], thash, r["p"] - r["s"], r["s"], r["e"] - r["s"] + 1, raw[r["s"] : r["e"] + length]))
+                    out.append((r["h"], r["blocks"], thash, r["p"] - r["s"], r["s"], r["e"] - r["s"] + 1, raw[r["s"] : r["e"] + length]))
                     size += len(out[-1][-1])
                 if size > 1 << 22:
                     yield _batch(out)
@@ -219,11 +219,11 @@ def _strings(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["h", "hot", "thash", "lead", "s", "starts", "data"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ["h", "blocks", "thash", "lead", "s", "starts", "data"]
     _batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
     both = docs.select("thash", "doc_id", "text").join(runs, ["thash", "doc_id"])
-    return both.select("thash", "text", "runs").mapInArrow(run, "h long, hot boolean, thash long, lead long, s long, starts long, data binary")
+    return both.select("thash", "text", "runs").mapInArrow(run, "h long, blocks long, thash long, lead long, s long, starts long, data binary")
 
 
 def _merged(strings: DataFrame, length: int) -> DataFrame:
@@ -248,22 +248,10 @@ def _merged(strings: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("thash").combine_chunks().take(pa.array(r)), pa.array(s[r] + a), pa.array(s[r] + b + length)], names=["thash", "a", "b"])
             lo = hi
 
-    return strings.select("h", "thash", "lead", "s", "starts", "data").repartition("h").mapInArrow(run, "thash long, a long, b long")
-
-
-def _counted(strings: DataFrame, length: int) -> DataFrame:
-    """As _merged(), for crowded anchors: strings counted by their hash."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, thash, s, n, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                at = np.arange(n)
-                own = mix(span_hash(prefix_hash(np.frombuffer(data, np.uint8)), at, at + length) ^ np.uint64(h % 2**64))
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.full(n, thash)), pa.array(s + at)], names=["w", "thash", "at"])
-
-    each = materialize(strings.select("h", "thash", "s", "starts", "data").mapInArrow(run, "w long, thash long, at long"), "crowded")
-    twice = each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
-    return each.join(twice, "w").select("thash", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
+    own = F.pmod(F.xxhash64("thash", "s"), "blocks")
+    dealt = strings.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    unit = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("h"))
+    return dealt.select(unit.alias("h"), "thash", "lead", "s", "starts", "data").repartition("h").mapInArrow(run, "thash long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
@@ -272,12 +260,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False)
     docs = docs.withColumn("thash", F.xxhash64("text", F.octet_length("text")))
     long_ones = docs.filter(F.octet_length("text") >= length)
     copies = long_ones.groupBy("thash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    runs = materialize(runs_table(long_ones, length), "anchors")
-    met = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
-    kept = runs.join(met, "h").groupBy("thash").agg(F.min("doc_id").alias("doc_id"), F.collect_set(F.struct("h", "p", "s", "e", "hot")).alias("runs"))
+    # a copied text's runs count once
+    runs = runs_table(long_ones, length).groupBy("thash", "h", "p", "s", "e").agg(F.min("doc_id").alias("doc_id"))
+    runs = materialize(runs, "anchors")
+    met = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / CROWD).alias("blocks"))
+    kept = runs.join(met, "h").groupBy("thash").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("h", "p", "s", "e", "blocks")).alias("runs"))
     strings = materialize(_strings(long_ones, kept, length), "strings")
     discard(runs)
-    spans = _merged(strings.filter("not hot"), length).unionByName(_counted(strings.filter("hot"), length))
+    spans = _merged(strings, length)
     spans = spans.groupBy("thash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     spans = materialize(spans.join(copies, "thash", "full"), "spans")
     discard(strings)
