@@ -58,7 +58,7 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir).select("source", "native_account", "external_id").distinct().withColumn("n", F.substring_index("external_id", "-", 1).cast("bigint"))
     key = txn_key(F.col("source"), F.col("native_account"), F.col("external_id")).alias("txn_key")
     field = F.when(F.col("n") % 101 == 0, "deleted").when(F.col("n") % 37 == 0, "category").when(F.col("n") % 41 == 0, "merchant")
-    value = F.when(F.col("n") % 101 == 0, "1").when((F.col("n") % 37 == 0) & (F.col("n") % 2 == 0), "services").when(F.col("n") % 41 == 0, "Corner Shop")
+    value = F.when(F.col("n") % 101 == 0, "1").when((F.col("n") % 37 == 0) & (F.col("n") % 2 == 0), "services").when((F.col("n") % 37 != 0) & (F.col("n") % 41 == 0), "Corner Shop")
     at = F.lit("2001-01-01").cast("timestamp")
     return r.select(key, field.alias("field"), value.alias("value"), at.alias("created_at"), F.lit("a").alias("uid")).filter("field is not null")
 
@@ -103,4 +103,4 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def receipt_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     field = F.when(F.col("o_orderkey") % 31 == 0, "category").when(F.col("o_orderkey") % 43 == 0, "item.1.description").when(F.col("o_orderkey") % 47 == 0, "total")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("receipt_id"), field.alias("field"), F.when(F.col("o_orderkey") % 47 == 0, "12.345").alias("value"), F.col("o_orderdate").alias("created_at")).filter("field is not null")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("receipt_id"), field.alias("field"), F.when((F.col("o_orderkey") % 31 != 0) & (F.col("o_orderkey") % 43 != 0), "12.345").alias("value"), F.col("o_orderdate").alias("created_at")).filter("field is not null")

@@ -282,9 +282,9 @@ def f10_merchant(spark, sf_dir):
     return r.select("txn_key", text.merchant_name(F.col("description"), rules.merchants.match_spaced(F.col("description"))).alias("merchant"))
 
 
-@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ \\n\\t]', '', 'g'), '[ \\n\\t]+', ' ', 'g')), '') AS key FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_ \\n\\t]', '', 'g'), '[ \\n\\t]+', ' ', 'g')), '') AS key FROM documents WHERE strlen(text) = length(text)")
 def f11_merchant_key(spark, sf_dir):
-    return adapter.read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", text.merchant_key(F.col("text")).alias("key"))
+    return adapter.read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)").select("doc_id", text.merchant_key(F.col("text")).alias("key"))
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")

@@ -78,7 +78,7 @@ sums AS (SELECT receipt_id, sum(total_cents)::BIGINT AS item_cents FROM kept GRO
 rc0 AS (SELECT o_orderkey AS receipt_id, o_orderkey % 13 <> 0 AS tried, o_orderkey % 29 = 0 AS failed, CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 29 <> 0 THEN (SELECT min(p_name) FROM items WHERE l_orderkey = o_orderkey) END AS merchant,
   CASE WHEN o_orderkey % 13 <> 0 AND o_orderkey % 29 <> 0 THEN CAST(o_orderdate AS DATE) END AS purchased_on, o_orderkey % 31 = 0 AS has_category,
   CASE WHEN o_orderkey % 47 = 0 AND o_orderkey % 31 <> 0 AND o_orderkey % 43 <> 0 THEN 1235 WHEN o_orderkey % 13 <> 0 AND o_orderkey % 29 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END AS total_cents, (o_orderkey % 47 = 0) AS edited FROM orders),
-rc AS (SELECT rc0.*, item_cents, CASE WHEN has_category THEN CASE WHEN receipt_id % 47 = 0 THEN '12.345' END ELSE coalesce({first_match(R.categories, 'lower(merchant)')}, CASE WHEN tried AND NOT failed THEN 'services' END) END AS category,
+rc AS (SELECT rc0.*, item_cents, CASE WHEN NOT has_category THEN coalesce({first_match(R.categories, 'lower(merchant)')}, CASE WHEN tried AND NOT failed THEN 'services' END) END AS category,
   nullif(trim(regexp_replace(regexp_replace(lower(merchant), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')), '') AS merchant_key FROM rc0 LEFT JOIN sums USING (receipt_id)),
 receipt_txn AS (SELECT receipt_id, merchant, merchant_key, purchased_on, total_cents, category,
   CASE WHEN merchant IS NULL AND total_cents IS NULL AND purchased_on IS NULL THEN CASE WHEN NOT tried THEN 'pending' ELSE 'failed' END
