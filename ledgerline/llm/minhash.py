@@ -13,7 +13,8 @@ texts is lost and no list is written out as pairs.
 
 Null and empty texts, and texts of white space, have empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as one. Other columns are ignored; an empty table gives an
-empty result. doc_id names a row; identical repeated rows are copies of each other.
+empty result. doc_id names a row; identical repeated rows are copies of each other. A row without an id gets the component of its
+set, null if no row with an id shares or links it.
 """
 
 from __future__ import annotations
