@@ -356,3 +356,107 @@ def p6_month_filter(spark, sf_dir):
 @query(_with(S) + "SELECT account_key AS account, sum(net_spend_cents)::BIGINT AS cents FROM spending GROUP BY 1")
 def s16_sql(spark, sf_dir):
     return ledger(spark, sf_dir).sql("SELECT account, sum(net_spend_cents) AS cents FROM spending GROUP BY account")
+
+
+@query(_with(S, "stats AS (SELECT merchant_key, count(*) AS times FROM spending GROUP BY 1)") + "SELECT id, times FROM spending JOIN stats USING (merchant_key)")
+def j2_join_on_aggregate(spark, sf_dir):
+    s = _spending(spark, sf_dir)
+    return s.join(s.groupBy("merchant_key").agg(F.count(F.lit(1)).alias("times")), "merchant_key").select("id", "times")
+
+
+@query(_with(S, oracle.MONTHS) + "SELECT id, coalesce(month = (SELECT max(month) FROM months), false) AS latest FROM spending")
+def j8_scalar_subquery(spark, sf_dir):
+    s = _spending(spark, sf_dir)
+    latest = reports.recent_months(s, AS_OF).agg(F.max("month").alias("m"))
+    return s.crossJoin(F.broadcast(latest)).select("id", F.coalesce(dates.month_key(F.col("date")) == F.col("m"), F.lit(False)).alias("latest"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders")
+def j9_correlated_count(spark, sf_dir):
+    n = adapter.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"))
+    return adapter.read(spark, sf_dir, "orders").select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(_with(S) + "SELECT DISTINCT native_account, account_key, unmapped FROM feed")
+def j11_account_membership(spark, sf_dir):
+    return ledger(spark, sf_dir).feed_transactions.select("native_account", "account_key", "unmapped").distinct()
+
+
+@query(_with(S) + "SELECT account_key, count(*) AS n, sum(amount_cents)::BIGINT AS total, min(amount_cents) AS low, max(amount_cents) AS high, trunc(avg(amount_cents))::BIGINT AS mean FROM feed GROUP BY 1")
+def a2_truncated_mean(spark, sf_dir):
+    c = F.col("amount_cents")
+    return ledger(spark, sf_dir).feed_transactions.groupBy("account_key").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), reports.truncated_mean(c).alias("mean"))
+
+
+@query(_with(S) + "SELECT account_key, min(dated_on) AS covers_from, max(dated_on) AS covers_to FROM feed WHERE dated_on IS NOT NULL GROUP BY 1")
+def a16_coverage(spark, sf_dir):
+    return ledger(spark, sf_dir).feed_transactions.filter("dated_on is not null").groupBy("account_key").agg(F.min("dated_on").alias("covers_from"), F.max("dated_on").alias("covers_to"))
+
+
+@query(_with(oracle.ACCOUNTS) + "SELECT source, native_id, balance_cents FROM acc_new")
+def a17_newest_account_state(spark, sf_dir):
+    return obs.latest_of_each(adapter.account_observations(spark, sf_dir), ["source", "native_id"], ["observed_at", "uid"]).select("source", "native_id", "balance_cents")
+
+
+@query(_with(oracle.RECEIPTS) + "SELECT receipt_id, item_cents FROM sums")
+def a20_item_sums(spark, sf_dir):
+    return ledger(spark, sf_dir).items.groupBy("receipt_id").agg(F.sum("total_cents").alias("item_cents"))
+
+
+@query(_with(S) + f"SELECT txn_key, {oracle.first_match(oracle.R.flows, 'low')} AS rule FROM feed")
+def r3_flow_rule(spark, sf_dir):
+    return ledger(spark, sf_dir).feed_transactions.select("txn_key", adapter.rules().flows.match_spaced(F.col("description")).alias("rule"))
+
+
+@query("SELECT kind, sign, CASE WHEN sign < 0 THEN 'spend' WHEN sign IS NULL THEN 'unknown' WHEN kind = 'credit' THEN 'refund' WHEN kind IN ('checking', 'savings') THEN 'income' ELSE 'unknown' END AS flow FROM (VALUES ('credit'), ('checking'), ('savings'), ('other')) k(kind), (VALUES (-1), (0), (1), (NULL)) s(sign)")
+def r5_structural_flow(spark, sf_dir):
+    rows = [(k, s) for k in ("credit", "checking", "savings", "other") for s in (-1, 0, 1, None)]
+    return spark.createDataFrame(rows, "kind string, sign int").withColumn("flow", feed_ops.structural_flow(F.col("sign"), F.col("kind")))
+
+
+@query(_with(S) + "SELECT status, review_reason, count(*) AS n FROM feed GROUP BY 1, 2")
+def r10_status_ladder(spark, sf_dir):
+    return ledger(spark, sf_dir).feed_transactions.groupBy("status", "review_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_with(S, oracle.MONTHS) + "SELECT month FROM months")
+def w8_top_months(spark, sf_dir):
+    return reports.recent_months(_spending(spark, sf_dir), AS_OF)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def o4_top_k(spark, sf_dir):
+    return adapter.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+@query("SELECT c_custkey, right(regexp_replace(c_name, '[^0-9]', '', 'g'), 4) AS tail FROM customer")
+def f12_last_four(spark, sf_dir):
+    return adapter.read(spark, sf_dir, "customer").select("c_custkey", text.last_four(F.col("c_name"), "acct").alias("tail"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%B %Y') AS label, strftime(o_orderdate, '%Y-%m') AS month FROM orders")
+def f22_month_label(spark, sf_dir):
+    return adapter.read(spark, sf_dir, "orders").select("o_orderkey", dates.month_label(F.to_date("o_orderdate")).alias("label"), dates.month_key(F.to_date("o_orderdate")).alias("month"))
+
+
+@query("SELECT event_id, sha256(event_type || chr(31) || props) AS sha FROM events")
+def f25_record_digest(spark, sf_dir):
+    return adapter.read(spark, sf_dir, "events").select("event_id", eventlog.digest("event_type", "props").alias("sha"))
+
+
+@query("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS line FROM nation")
+def f29_sorted_json(spark, sf_dir):
+    return adapter.read(spark, sf_dir, "nation").select("n_nationkey", payload.sorted_json("n_nationkey", "n_name", "n_regionkey").alias("line"))
+
+
+@query("SELECT o_orderkey, greatest(-c, 0) AS outflow, greatest(c, 0) AS inflow FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) * (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) END AS c FROM orders) WHERE c IS NOT NULL UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey % 5 = 0")
+def f31_clamp(spark, sf_dir):
+    c = F.when(F.col("o_orderkey") % 5 != 0, F.round(F.col("o_totalprice") * 100).cast("bigint") * F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(1))
+    return adapter.read(spark, sf_dir, "orders").select("o_orderkey", money.outflow(c).alias("outflow"), money.inflow(c).alias("inflow"))
+
+
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 <> 0 AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)")
+def d1_vanished(spark, sf_dir):
+    """Transactions of listed accounts that the newest poll no longer has; here, it lists every tenth order."""
+    lines = adapter.read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.lit("s").alias("source"), F.lit("a").alias("native_account"), F.col("l_orderkey").alias("external_id")).distinct()
+    return obs.vanished(lines, lines.filter("external_id % 10 = 0")).select(F.col("external_id").alias("l_orderkey"))
