@@ -250,6 +250,19 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0
 
 
+def test_decontamination_beyond_the_basis(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 4)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 40)
+    items = [(i, prose(2000 + i, 12 if i % 2 else 36)) for i in range(120)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, prose(3000 + i, 40 + i % 16) + " " + t + " " + prose(4000 + i, 60)) for i, t in items] + [(200 + i, prose(5000 + i, 150)) for i in range(40)]
+    df = spark.createDataFrame([*rows, (None, items[0][1]), (None, prose(1, 90)), rows[5]], "doc_id long, text string")
+    got = decontaminate.leaks(df, bench).collect()
+    assert sorted((r["doc_id"] or -1, r["item_id"]) for r in got if r["contaminated"] and r["doc_id"] != 0) == sorted([(-1, 0), (5, 5), *((i, i) for i, _ in items[1:])])
+    assert [r["item_id"] for r in got if r["doc_id"] == 0] == [0] and len(got) == len(rows) + 3
+    assert sorted(r["doc_id"] or -1 for r in decontaminate.without_leaks(df, bench).collect()) == [-1, *range(200, 240)]
+
+
 def test_lcs():
     for seed in range(50):
         rng = random.Random(seed)
