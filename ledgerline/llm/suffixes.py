@@ -36,6 +36,7 @@ from ledgerline.llm.textarrays import prefix_hash, span_hash, text_slices
 KMER = 32
 CROWD = 8192
 SHARD = 4096
+LONG = 1 << 23
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _PLACE = np.uint64((1 << 24) - 1)
 END = 256  # a symbol that equals nothing, itself included
@@ -73,7 +74,7 @@ def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     return t, h[anchor[s]], anchor[s] - base, s - base, e - base
 
 
-def _parts(text: bytes, length: int, most: int = 1 << 23) -> Iterator[tuple[int, bytes]]:
+def _parts(text: bytes, length: int, most: int = LONG) -> Iterator[tuple[int, bytes]]:
     """Overlapping parts of a very long text, such that each string lies in one."""
     for at in range(0, max(1, len(text) - length + 1), most - length + 1):
         yield at, text[at : at + most]
@@ -187,7 +188,7 @@ def runs_table(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_slices(batch, "text", 1 << 20):
-                t, h, p, s, e = anchor_runs(buf, offsets, length) if len(buf) < 1 << 23 else _long(buf, length)
+                t, h, p, s, e = _long(buf, length) if len(part) == 1 and len(buf) >= LONG else anchor_runs(buf, offsets, length)
                 take = pa.array(t)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(h.view(np.int64)), *(pa.array(x) for x in (p, s, e))], names=["thash", "doc_id", "h", "p", "s", "e"])
 

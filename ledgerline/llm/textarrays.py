@@ -69,7 +69,8 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -
         return
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(lengths) // most_bytes
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    alone = lengths >= most_bytes
+    cuts = [0, *(np.flatnonzero((np.diff(group) > 0) | alone[1:] | alone[:-1]) + 1).tolist(), len(texts)]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi == lo:
             continue

@@ -97,6 +97,16 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch, crowd):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_after_a_very_long_text(spark):
+    texts = [prose(71, 1_700_000), prose(72, 100) + BASE[0] + prose(73, 100), BASE[0] + prose(74, 100), prose(75, 60_000)]
+    assert len(texts[0]) > 1 << 23
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(df, 100).collect()}
+    assert got == {i: int(m.sum()) for i, m in enumerate([np.zeros(1), *brute_repeats(texts[1:3], 100), np.zeros(1)])} and got[1] > 400
+    batch = pa.record_batch({"text": pa.array(["a", "b" * 9, "c", "d"])})
+    assert [part.num_rows for part, _, _ in textarrays.text_slices(batch, "text", 8)] == [1, 1, 2]
+
+
 def test_lm_scores(docs, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     got = lmscore.score(docs, path).collect()
