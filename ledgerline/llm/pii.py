@@ -4,7 +4,10 @@ Found, validated and replaced within their own format:
 card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers (ranges), phone numbers
 (ten digits with separators, optional country code, kept), IPv4 addresses (octets), mail addresses (local
 part), and dates from 1900 to 2099 (year-month-day with - or /, month/day/year, day.month.year; real
-calendar days only). What fails its validation stays as it is.
+calendar days only). What fails its validation stays as it is. Digits around a card (an expiry, a code) may
+look like more groups of it: the leftmost, then longest run of whole groups that validates is the card, and
+the rest stays. An IBAN ends at its country's length; of an unknown country, at the last space where it
+validates.
 
 Each kind has a domain on which the replacement is a bijection for a given key, so equal values get equal
 pseudonyms in every document, whatever their separators, and different values never collide. Check digits
@@ -21,12 +24,21 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _B, _E = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
-CARD = rf"{_B}\d(?:[ -]?\d){{12,18}}{_E}"
-IBAN = rf"{_B}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11,30}}{_E}"
 SSN = rf"{_B}\d{{3}}-\d{{2}}-\d{{4}}{_E}"
 PHONE = rf"{_B}(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_E}"
 IPV4 = r"(?<![A-Za-z0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9]|\.\d)"
 DATE = r"(?<![A-Za-z0-9/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![A-Za-z0-9/-]|\.\d)"
+#: What a card or IBAN that is long enough doesn't run into over a space or hyphen: other kinds, or the next card.
+_KINDS = rf"{SSN}|{PHONE}|{IPV4}|{DATE}"
+CARD = rf"{_B}\d(?:[ -]?\d){{12}}(?:(?:[ -](?!{_KINDS}|\d{{4}}(?:[ -]?\d){{9}}))?\d){{0,6}}{_E}"
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LANDS = "|".join(lands.replace(" ", "|") for lands in IBAN_LENGTHS.values())
+_KNOWN = "|".join(rf"(?:{lands.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}{_E}" for n, lands in IBAN_LENGTHS.items())
+IBAN = rf"{_B}(?:{_KNOWN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{11}}(?:(?: (?!{_KINDS}|\d{{13,19}}{_E}))?[A-Z0-9]){{0,19}}{_E})"
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
 #: In the order in which they are tried at a place.
 ANY = "|".join(f"(?:{p})" for p in (MAIL, IPV4, DATE, SSN, PHONE, CARD, IBAN))
@@ -97,6 +109,29 @@ def _luhn(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
+def _pieces(x: Column, starts: Column, valid, new) -> Column:
+    """x with its first valid piece replaced: pieces of whole groups, by start, then longest first; null if none is valid."""
+    mark = lambda i: F.substring(x, i, F.lit(1)).isin(" ", "-")
+    ends = F.filter(F.sequence(F.length(x), F.lit(1)), lambda i: (i == F.length(x)) | mark(i + 1))
+    pieces = F.flatten(F.transform(F.filter(starts, lambda i: (i == 1) | mark(i - 1)), lambda a: F.transform(F.filter(ends, lambda b: b >= a), lambda b: F.struct(a.alias("a"), F.substring(x, a, b - a + 1).alias("piece")))))
+    first = F.when(valid(x), F.struct(F.lit(1).alias("a"), x.alias("piece"))).otherwise(F.get(F.filter(pieces, lambda p: valid(p["piece"])), F.lit(0)))
+    return F.when(first.isNotNull(), _with(first, lambda p: F.concat(F.substring(x, F.lit(1), p["a"] - 1), new(p["piece"]), F.substring(x, p["a"] + F.length(p["piece"]), F.length(x)))))
+
+
+def card_within(x: Column, key: str) -> Column:
+    """A run of digit groups with the card number among them replaced; null if there is none."""
+    return _pieces(x, F.sequence(F.lit(1), F.length(x)), lambda p: F.length(_digits(p)).between(13, 19) & _luhn(_digits(p)), lambda p: card(p, key))
+
+
+def iban_within(x: Column, key: str) -> Column:
+    """An IBAN, of an unknown country also with words after it; null if there is none."""
+    def valid(p: Column) -> Column:
+        own = F.regexp_replace(p, " ", "")
+        return F.length(own).between(15, 34) & (_mod97(F.concat(F.substring(own, F.lit(5), F.length(own)), F.substring(own, 1, 4))) == 1)
+
+    return F.when(x.rlike(f"^(?:{_LANDS})"), iban(x, key)).otherwise(_pieces(x, F.array(F.lit(1)), valid, lambda p: iban(p, key)))
+
+
 def card(x: Column, key: str) -> Column:
     """The number with all but its last digit permuted and the Luhn digit set anew; null if it isn't valid."""
     own = _digits(x)
@@ -189,7 +224,7 @@ def date(x: Column, key: str) -> Column:
 def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of one matched value; itself if it doesn't validate."""
     whole = lambda p: x.rlike(f"^(?:{p})$")
-    new = F.when(x.contains("@"), mail(x, key)).when(whole(IPV4), ipv4(x, key)).when(whole(DATE), date(x, key)).when(whole(SSN), ssn(x, key)).when(whole(PHONE), phone(x, key)).when(whole(CARD), card(x, key)).when(whole(IBAN), iban(x, key))
+    new = F.when(x.contains("@"), mail(x, key)).when(whole(IPV4), ipv4(x, key)).when(whole(DATE), date(x, key)).when(whole(SSN), ssn(x, key)).when(whole(PHONE), phone(x, key)).when(whole(CARD), card_within(x, key)).when(whole(IBAN), iban_within(x, key))
     return F.coalesce(new, x)
 
 

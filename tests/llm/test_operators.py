@@ -203,6 +203,21 @@ def test_pii(spark, docs, empty):
     assert pii.mask(docs).columns == docs.columns and pii.mask(empty).count() == 0
 
 
+def test_pii_cards_and_ibans_among_other_groups(spark):
+    solid, visa, amex, de = "4111111111111111", "4111 1111 1111 1111", "378282246310005", "DE89 3704 0044 0532 0130 00"
+    maestro = next(f"6304 0000 0000 0000 {k:03}" for k in range(999) if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(f"6304000000000000{k:03}"[::-1])) % 10 == 0)
+    xx = next(f"XX{k:02} 3704 0044 0532 0130 00" for k in range(2, 99) if int(f"3704004405320130003333{k:02}") % 97 == 1)
+    cases = [
+        [visa, " 12/25"], [solid, " 123"], ["ref 12 ", visa, " now"], ["2 ", visa, " 8"], [visa, " 123 ", "5500 0000 0000 0004"], [amex, " ", visa, " ", "5500 0000 0000 0004"], [maestro, " ", visa], [solid, " 12 25 ", visa],
+        [visa, " ", "123-45-6789"], [solid, " ", "31.12.1999"], [visa, " ", "988 555-2485"], [visa, " ", "10.20.30.40"], [de, " BIC COBADEFF"], [de.replace(" ", ""), " EUR"], [de, " ", "123-45-6789"], [de, " ", "GB82 WEST 1234 5698 7654 32"], [de, " ", visa], [xx, " BIC"], [xx, " ", "123-45-6789"],
+    ]
+    values = sorted({p for c in cases for p in c if len(p) > 9 and re.search(r"\d\d", p)})
+    single = {p: r["text"] for p, r in zip(values, pii.mask_report(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).orderBy("doc_id").collect(), strict=True)}
+    assert all(new != p for p, new in single.items())
+    got = [r["text"] for r in pii.mask_report(spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["".join(single.get(p, p) for p in c) for c in cases]
+
+
 def test_pii_permutes(spark):
     days = spark.range(73049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
     assert days.select(pii.date(F.col("d"), "k").alias("e")).filter("e is not null").distinct().count() == 73049
