@@ -64,7 +64,13 @@ def vanished(current: DataFrame, seen: DataFrame) -> DataFrame:
     return current.join(accounts, ["source", "native_account"], "left_semi").join(seen, ["source", "native_account", "external_id"], "left_anti")
 
 
+def listed_ids(records: DataFrame) -> DataFrame:
+    """(poll_uid, native_account, ids): how many different ids each poll listed of each account."""
+    ids = records.select("poll_uid", "native_account", "external_id").distinct()
+    return ids.groupBy("poll_uid", "native_account").agg(F.count("external_id").alias("ids"))
+
+
 def seen_ids(records: DataFrame) -> DataFrame:
-    """(poll_uid, seen): a map of each account's listed ids."""
+    """(poll_uid, seen): a map of each account's listed ids, an array in one row: for polls of bounded size."""
     by_account = records.groupBy("poll_uid", "native_account").agg(F.sort_array(F.collect_set("external_id")).alias("ids"))
     return by_account.groupBy("poll_uid").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("native_account", "ids")))).alias("seen"))

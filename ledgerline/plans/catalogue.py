@@ -221,8 +221,7 @@ def a18_exact_dedup(spark, sf_dir):
 
 @query(_with(oracle.OBS) + "SELECT native_account, count(DISTINCT external_id) AS ids FROM obs GROUP BY 1")
 def a19_seen_ids(spark, sf_dir):
-    seen = obs.seen_ids(adapter.records(spark, sf_dir).withColumn("poll_uid", F.col("native_account")))
-    return seen.select(F.explode("seen").alias("native_account", "ids")).select("native_account", F.size("ids").cast("bigint").alias("ids"))
+    return obs.listed_ids(adapter.records(spark, sf_dir).withColumn("poll_uid", F.col("native_account"))).select("native_account", "ids")
 
 
 @query(_with(oracle.POLLS) + "SELECT source, count(*) FILTER (WHERE CAST(started_at AS DATE) = DATE '2024-01-10') AS calls FROM polls GROUP BY 1")

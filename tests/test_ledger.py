@@ -12,7 +12,7 @@ from ledgerline import schemas
 from ledgerline.functions.ids import content_hash, txn_key
 from ledgerline.operators import feed, observations
 from ledgerline.operators.receipts import project_receipts, work_queue
-from ledgerline.plans import reports, schedule, views
+from ledgerline.plans import catalogue, reports, schedule, views
 from ledgerline.plans.ledger import Ledger
 from ledgerline.rules import Accounts, Ordered, Rules
 from ledgerline.sources import feed as feed_source
@@ -55,6 +55,15 @@ def test_newest_observation_wins_and_revisions_count(spark):
     assert (got["amount_cents"], got["revisions"], got["amount_changed"], got["pending"], got["net_spend_cents"]) == (-6100, 2, True, False, 6100)
 
 
+def test_listed_ids_are_counted_without_arrays(spark):
+    rows = [("p", "A", "1"), ("p", "A", "1"), ("p", "A", "2"), ("p", "B", "1"), ("q", "A", None), ("q", "A", "3"), ("r", "C", None)]
+    df = spark.createDataFrame(rows, "poll_uid string, native_account string, external_id string")
+    seen = observations.seen_ids(df).select("poll_uid", F.explode("seen").alias("native_account", "ids")).select("poll_uid", "native_account", F.size("ids")).collect()
+    assert sorted(map(tuple, observations.listed_ids(df).collect())) == sorted(map(tuple, seen)) == [("p", "A", 2), ("p", "B", 1), ("q", "A", 1), ("r", "C", 0)]
+    query = catalogue.QUERIES["a19_seen_ids"](spark, "/root/testdata/sf0.001")
+    assert "collect_set" not in query._jdf.queryExecution().toString()
+
+
 def test_flows_and_measure(spark):
     rows = [record(external="spend"), record(external="refund", amount=300), record("C", "income", 900), record(external="pay", amount=9000, description="CAPITAL ONE    AUTOPAY   PYMT"), record(external="bad", amount=None, reject_reason="no digits in 'x'"), record("Z", "unmapped", -100), record(external="undated", day=None), record(external="pending", pending=True)]
     got = project(spark, rows)
