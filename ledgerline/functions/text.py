@@ -28,6 +28,8 @@ TRAILERS = (
 KEEP_UPPER = ("usa", "us", "nyc", "mta", "cvs", "amc", "rei", "h&m", "bp", "ups", "dsw", "kfc", "ihop", "att", "hbo", "ikea", "aaa", "tj")
 KEEP_LOWER = ("of", "the", "and", "at", "on", "in", "for", "de", "la", "le")
 PASSES = 3
+#: Small letters that case folding changes further.
+FOLDED = {c: c.casefold() for c in map(chr, range(128, 0x20000)) if c.lower() == c != c.casefold()}
 
 
 def let(value: Column, use) -> Column:
@@ -104,9 +106,17 @@ def merchant_name(description: Column, alias: Column | None = None) -> Column:
     return F.when(~blank, F.coalesce(alias, name) if alias is not None else name)
 
 
+def folded(text: Column) -> Column:
+    """Unicode case folding: small letters, and what else stands for them (ß as ss)."""
+    marks = "".join(FOLDED)
+    one = F.map_from_arrays(F.array(*map(F.lit, FOLDED)), F.array(*map(F.lit, FOLDED.values())))
+    parts = lambda low: F.transform(F.regexp_extract_all(low, F.lit(f"[{marks}]|[^{marks}]+"), F.lit(0)), lambda x: F.coalesce(F.try_element_at(one, x), x))
+    return let(F.lower(text), lambda low: F.when(low.rlike(f"[{marks}]"), F.array_join(parts(low), "")).otherwise(low))
+
+
 def merchant_key(name: Column) -> Column:
-    """The joinable form of a name: folded, no punctuation, single spaces; null if nothing is left."""
-    return let(collapsed(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", "")), lambda key: F.when(key != "", key))
+    """The joinable form of a name: folded, no punctuation or loose accents, single spaces; null if nothing is left."""
+    return let(collapsed(F.regexp_replace(folded(name), r"(?U)[^\p{L}\p{N}_\s]", "")), lambda key: F.when(key != "", key))
 
 
 def last_four(text: Column, default: str) -> Column:

@@ -286,6 +286,12 @@ def f11_merchant_key(spark, sf_dir):
     return adapter.read(spark, sf_dir, "documents").filter("octet_length(text) = length(text)").select("doc_id", text.merchant_key(F.col("text")).alias("key"))
 
 
+@query()
+def f11_merchant_key_all(spark, sf_dir):
+    """Over all documents; the classes of SQL engines differ outside ASCII, so it has no SQL but a brute-force test."""
+    return adapter.read(spark, sf_dir, "documents").select("doc_id", text.merchant_key(F.col("text")).alias("key"))
+
+
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
 def f13_slug(spark, sf_dir):
     return adapter.read(spark, sf_dir, "part").select("p_partkey", text.slug(F.col("p_name")).alias("slug"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, ids, money, payload, text
+from ledgerline.plans import catalogue
 
 
 def apply(spark, values, fn, kind="string"):
@@ -55,6 +57,14 @@ def test_merchant_keys(spark):
     assert apply(spark, ["Trader Joe's", "TRADER  JOES", "...", None, "Café 21"], text.merchant_key) == ["trader joes", "trader joes", None, None, "café 21"]
 
 
+def test_merchant_keys_of_all_documents(spark, tmp_path):
+    made = ["Straße ẞ ΟΔΟΣ ς", "I\u0307stanbul İ", "Cafe\u0301 №5 x² ½ ‿ 日本 🙂 ﬁn", "a_b — «c»", "🙂ß🙂", "Ꭰꭰ", "...", "", None]
+    spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        want = {r["doc_id"]: r["text"] and (" ".join(re.sub(r"[^\w\s]", "", r["text"].casefold()).split()) or None) or None for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        assert {r["doc_id"]: r["key"] for r in catalogue.QUERIES["f11_merchant_key_all"](spark, folder).collect()} == want
+
+
 def test_other_text(spark):
     assert apply(spark, ["Card 1234-5678", "12", None], lambda c: text.last_four(c, "acct")) == ["5678", "12", "acct"]
     assert apply(spark, ["Blue  Card (1)"], text.slug) == ["blue-card-1"]
