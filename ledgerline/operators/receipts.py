@@ -14,7 +14,6 @@ from ledgerline.rules import Rules
 from ledgerline.schemas import RECEIPT_FIELDS
 
 TOLERANCE_CENTS = 2
-MOST_ITEMS = 10_000
 ITEM = r"^item\.(\d+)\.(description|qty|unit_price|total)$"
 
 
@@ -33,10 +32,10 @@ def project_items(bases: DataFrame, corrections: DataFrame) -> DataFrame:
     """(receipt_id, line_no, description, qty, unit_cents, total_cents): payload items, patched, blank ones dropped, renumbered.
 
     Patches address a line by its number in the payload; lines past its end come into being. The last patch of
-    an attribute of a line wins, so order between lines doesn't matter.
+    an attribute of a line wins, so order between lines doesn't matter. Numbers have up to 18 digits.
     """
-    own = bases.select("receipt_id", F.posexplode("p.line_items").alias("at", "item")).select("receipt_id", (F.col("at") + 1).alias("n"), "item.description", "item.qty", cents_or_null(F.col("item.unit_price")).alias("unit_cents"), cents_or_null(F.col("item.total")).alias("total_cents"))
-    patches = corrections.filter(F.col("field").rlike(ITEM)).select("receipt_id", F.regexp_extract("field", ITEM, 1).try_cast("int").alias("n"), F.regexp_extract("field", ITEM, 2).alias("field"), "value", "created_at", "id").filter(F.col("n").between(1, MOST_ITEMS))
+    own = bases.select("receipt_id", F.posexplode("p.line_items").alias("at", "item")).select("receipt_id", (F.col("at") + 1).cast("bigint").alias("n"), "item.description", "item.qty", cents_or_null(F.col("item.unit_price")).alias("unit_cents"), cents_or_null(F.col("item.total")).alias("total_cents"))
+    patches = corrections.filter(F.col("field").rlike(ITEM)).select("receipt_id", F.regexp_extract("field", ITEM, 1).try_cast("bigint").alias("n"), F.regexp_extract("field", ITEM, 2).alias("field"), "value", "created_at", "id").filter("n >= 1")
     attributes = ("description", "qty", "unit_price", "total")
     last = [F.max_by(F.when(F.col("field") == a, F.struct("value")), F.when(F.col("field") == a, F.struct("created_at", "id"))).alias(f"edit_{a}") for a in attributes]
     patched = own.join(patches.groupBy("receipt_id", "n").agg(*last), ["receipt_id", "n"], "full").select(

@@ -71,12 +71,14 @@ def documentation(schemas: dict[str, StructType]) -> str:
     return "\n".join(markdown(n, s) for n, s in schemas.items())
 
 
-def render(df: DataFrame, as_json: bool = False, most: int = 1000) -> str:
-    """A bounded report: an aligned table, or JSON lines; `(no rows)` if empty."""
+def render(df: DataFrame, as_json: bool = False, most: int | None = None) -> str:
+    """A report: an aligned table, or JSON lines; `(no rows)` if empty. With `most`, that many rows, and the table says how many more there are."""
+    shown = df if most is None else df.limit(most)
     if as_json:
-        return "\n".join(r["value"] for r in df.limit(most).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect())
-    rows = [["" if v is None else str(v) for v in r] for r in df.limit(most).collect()]
-    if not rows:
+        return "\n".join(r["value"] for r in shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).collect())
+    rows = [["" if v is None else str(v) for v in r] for r in shown.collect()]
+    more = 0 if most is None or len(rows) < most else df.count() - len(rows)
+    if not rows and not more:
         return "(no rows)"
     widths = [max(len(x) for x in col) for col in zip(df.columns, *rows, strict=True)]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in [df.columns, *rows])
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in [df.columns, *rows]) + (f"\n({more} more rows)" if more else "")

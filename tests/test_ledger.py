@@ -130,6 +130,14 @@ def test_item_patches(spark):
     assert (got[0]["status"], got[0]["category"]) == ("ok", None)
 
 
+def test_item_patches_with_large_numbers_and_long_reports(spark):
+    edits = [(0, "item.10001.description", "Bread"), (0, "item.10001.total", "1.00"), (0, "item.3000000000.description", "Salt")]
+    _, items, _ = receipts_of(spark, [(0, "ok", json.dumps(PAYLOAD), None)], edits)
+    assert [(i["line_no"], i["description"]) for i in items][-2:] == [(len(items) - 1, "Bread"), (len(items), "Salt")]
+    assert len(sinks.render(spark.range(1500)).splitlines()) == 1501 == len(sinks.render(spark.range(1501), as_json=True).splitlines())
+    assert sinks.render(spark.range(5), most=2).splitlines()[1:] == ["0", "1", "(3 more rows)"]
+
+
 def test_manual_receipt_without_extraction(spark):
     got, _, _ = receipts_of(spark, [], [(0, "merchant", "Key Food"), (0, "total", "3"), (0, "purchased_on", "2026-08-01")])
     assert (got[0]["status"], got[0]["total_cents"]) == ("ok", 300)
