@@ -1,23 +1,26 @@
 """Exact repeats of `length` bytes, by merging the Burrows-Wheeler transforms of shards.
 
 Every string of `length` bytes has one anchor: the leftmost of its smallest KMER-byte hashes. Equal strings
-have equal anchors at equal places, so all that can be equal meets under one anchor hash, aligned by it;
-anchors met once can't repeat and go no further. The suffixes under an anchor are the aligned strings read
-from each column on.
+have equal anchors at equal places, so all that can be equal meets under one anchor hash, aligned by it.
+A run is what starts one after another under one anchor in one text; equal runs are one class. A class that
+stands at two places repeats as a whole, and only one text of it goes on; an anchor with one class is done.
+The suffixes under an anchor are the aligned strings of its classes read from each column on.
 
-A task gets the strings of many anchors in shards (Arrow batches). Each shard's transform holds, column by
+A task gets the strings of many anchors in shards. Each shard's transform holds, column by
 column from the right, its symbols in the order of the suffixes that follow. The shards are then merged by
 refining an interleave: pass c takes each shard's symbols in turn as the interleave of pass c + 1 says and
 parts them stably by symbol, so suffixes are never sorted again. With each neighbour goes the column at
 which the two differ, the minimum over what lay between them: the common prefix. A string starting at c
 repeats if one of its neighbours agrees for `length` columns or more.
 
-Anchors with more than CROWD strings would crowd one task. Their strings are dealt into blocks of about that
-many, and each two blocks of an anchor are merged in one task, so any two strings still meet.
+Anchors with more than CROWD classes would crowd one task. Their runs are cut into pieces of some columns
+(WIDTHS, at last one), and what all starts of a piece share, longer than the anchor, is the piece's anchor.
+Pieces that are equal are one class again, so rows grow with the runs and never with their pairs.
 
 Texts are UTF-8 bytes, matches never cross documents, null counts as empty, texts shorter than `length` have
 nothing removed. Exact copies are found by hash and work enters once; all of a copied text is removed.
-Identical repeated rows are copies. Other columns are ignored; an empty table gives an empty result.
+Identical repeated rows are copies. Rows without an id are treated like others. Other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.storage import discard, materialize
-from ledgerline.llm.textarrays import prefix_hash, span_hash, text_slices
+from ledgerline.llm.textarrays import mix, prefix_hash, ragged, span_hash, text_slices
 
 KMER = 32
-CROWD = 8192
+CROWD = 2048
+WIDTHS = (24, 1)
 SHARD = 4096
 LONG = 1 << 23
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -54,8 +58,8 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, anchor, first start, last start) of runs of strings with one anchor; places count from the text's start."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
+    """(text, anchor hash, hash of the run's bytes, anchor, first start, last start) of runs of strings with one anchor; places count from the text's start."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if len(buf) < length:
         return none
     sums = prefix_hash(buf)
@@ -71,7 +75,7 @@ def anchor_runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
     ends[:-1] &= (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | ~ok[1:]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends)
     t, base = text[s], offsets[text[s]]
-    return t, h[anchor[s]], anchor[s] - base, s - base, e - base
+    return t, h[anchor[s]], span_hash(sums, s, e + length), anchor[s] - base, s - base, e - base
 
 
 def _parts(text: bytes, length: int, most: int = LONG) -> Iterator[tuple[int, bytes]]:
@@ -152,10 +156,11 @@ def merge(shards: list[Transform], rows: list[np.ndarray], lo: np.ndarray, last:
     return found
 
 
-def repeated_starts(keys: np.ndarray, lead: np.ndarray, starts: np.ndarray, data: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_starts(keys: np.ndarray, lead: np.ndarray, starts: np.ndarray, buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first, last) of runs of repeated starts, counted within each string.
 
-    keys: anchor hashes; lead: bytes before the anchor; starts: how many starts a string has; data: its bytes.
+    keys: anchor hashes; lead: bytes before the anchor; starts: how many starts a string has; its bytes are
+    buf[offsets[i]:offsets[i + 1]].
     """
     order = np.argsort(keys, kind="stable")
     group_of = np.unique(keys, return_inverse=True)[1]
@@ -167,8 +172,8 @@ def repeated_starts(keys: np.ndarray, lead: np.ndarray, starts: np.ndarray, data
     for at in range(0, len(order), SHARD):
         own = order[at : at + SHARD]
         columns = np.full((width, len(own)), END, np.int16)
-        for n, r in enumerate(own.tolist()):
-            columns[lo[r] : lo[r] + len(data[r]), n] = np.frombuffer(data[r], np.uint8)
+        n = offsets[own + 1] - offsets[own]
+        columns[ragged(lo[own], n), np.repeat(np.arange(len(own)), n)] = buf[ragged(offsets[own], n)]
         shards.append(Transform(group_of[own], columns))
         rows.append(own)
         del columns
@@ -182,96 +187,160 @@ def repeated_starts(keys: np.ndarray, lead: np.ndarray, starts: np.ndarray, data
     return ra, a - lo[ra], b - 1 - lo[rb]
 
 
+RUNS = "thash long, h long, d long, lead int, s long, e long"
+
+
 def runs_table(docs: DataFrame, length: int) -> DataFrame:
-    """(thash, doc_id, h, p, s, e): the anchor runs of each text."""
+    """RUNS of each text (thash, text): anchor hash, hash of the bytes, bytes before the anchor, first and last start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offsets in text_slices(batch, "text", 1 << 20):
-                t, h, p, s, e = _long(buf, length) if len(part) == 1 and len(buf) >= LONG else anchor_runs(buf, offsets, length)
-                take = pa.array(t)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(h.view(np.int64)), *(pa.array(x) for x in (p, s, e))], names=["thash", "doc_id", "h", "p", "s", "e"])
+                t, h, d, p, s, e = _long(buf, length) if len(part) == 1 and len(buf) >= LONG else anchor_runs(buf, offsets, length)
+                columns = [part.column(0).take(pa.array(t)), pa.array(h.view(np.int64)), pa.array(d.view(np.int64)), pa.array((p - s).astype(np.int32)), pa.array(s), pa.array(e)]
+                yield pa.RecordBatch.from_arrays(columns, names=["thash", "h", "d", "lead", "s", "e"])
 
-    return docs.select("thash", "doc_id", "text").mapInArrow(run, "thash long, doc_id long, h long, p long, s long, e long")
+    return docs.select("thash", "text").mapInArrow(run, RUNS)
 
 
 def _long(buf: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     found = []
     for at, part in _parts(buf.tobytes(), length):
-        t, h, p, s, e = anchor_runs(np.frombuffer(part, np.uint8), np.array([0, len(part)]), length)
-        found.append((t, h, p + at, s + at, e + at))
+        t, h, d, p, s, e = anchor_runs(np.frombuffer(part, np.uint8), np.array([0, len(part)]), length)
+        found.append((t, h, d, p + at, s + at, e + at))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _strings(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(h, blocks, thash, lead, s, starts, data): the bytes of runs, from their texts."""
+def classes_of(runs: DataFrame) -> DataFrame:
+    """(h, d, many, thash, lead, s, e): one place of each class of equal runs, and whether it stands at several. Copies of a text are one place."""
+    place = F.struct("thash", "s")
+    many = F.min(place) != F.max(place)
+    if "many" in runs.columns:  # pieces of a class that stands at several places
+        many = many | F.max("many")
+    rows = runs.groupBy("h", "d").agg(F.min(F.struct("thash", "s", "lead", "e")).alias("at"), many.alias("many"))
+    return rows.select("h", "d", "many", "at.thash", "at.lead", "at.s", "at.e")
+
+
+def _of_texts(texts: DataFrame, wanted: DataFrame, schema: str, make) -> DataFrame:
+    """Rows that make(raw bytes, thash, wanted rows of that text) yields, for the runs `wanted`."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for thash, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = (text.as_py() or "").encode()
-                for r in own:
-                    out.append((r["h"], r["blocks"], thash, r["p"] - r["s"], r["s"], r["e"] - r["s"] + 1, raw[r["s"] : r["e"] + length]))
-                    size += len(out[-1][-1])
-                if size > 1 << 22:
-                    yield _batch(out)
-                    out, size = [], 0
+                raw = text.as_py().encode()
+                for row in make(raw, thash, own):
+                    out.append(row)
+                    size += 64 + sum(len(x) for x in row if isinstance(x, bytes))
+                    if size > 1 << 22:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                        out, size = [], 0
             if out:
-                yield _batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    lists = wanted.groupBy("thash").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "thash"])).alias("runs"))
+    return texts.join(lists, "thash").select("thash", "text", "runs").mapInArrow(run, schema)
+
+
+def _strings(texts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """(h, d, lead, starts, data): the bytes of classes."""
 
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    names = ["h", "blocks", "thash", "lead", "s", "starts", "data"]
-    _batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-    both = docs.select("thash", "doc_id", "text").join(runs, ["thash", "doc_id"])
-    return both.select("thash", "text", "runs").mapInArrow(run, "h long, blocks long, thash long, lead long, s long, starts long, data binary")
+    def make(raw: bytes, thash: int, own: list[dict]) -> Iterator[tuple]:
+        for r in own:
+            yield r["h"], r["d"], r["lead"], r["e"] - r["s"] + 1, raw[r["s"] : r["e"] + length]
+
+    return _of_texts(texts, classes.select("thash", "h", "d", "lead", "s", "e"), "h long, d long, lead int, starts long, data binary", make)
+
+
+def _pieces(texts: DataFrame, classes: DataFrame, length: int, width: int) -> DataFrame:
+    """(ph, pd, off, many, thash, h, d, lead, s, e): runs of at most `width` columns that make up the classes (ph, pd), off starts after their first."""
+    reach = length - KMER
+
+    def make(raw: bytes, thash: int, own: list[dict]) -> Iterator[tuple]:
+        for r in own:
+            first = reach - r["lead"]  # the column of the run's first start
+            data = np.frombuffer(raw, np.uint8)[r["s"] : r["e"] + length]
+            sums = prefix_hash(data)
+            n = r["e"] - r["s"] + 1
+            edges = np.unique(np.r_[first, np.arange(first // width * width + width, first + n, width), first + n])
+            lo, hi, column = edges[:-1] - first, edges[1:] - first, edges[:-1] // width  # starts [lo, hi) of the run
+            core = span_hash(sums, (column + 1) * width - 1 - first, column * width + length - first)
+            h = mix(core ^ mix(column.astype(np.uint64) + np.uint64(r["h"] & (1 << 64) - 1))).view(np.int64)
+            d = span_hash(sums, lo, hi - 1 + length).view(np.int64)
+            for k in range(len(lo)):
+                yield r["h"], r["d"], int(lo[k]), r["many"], thash, int(h[k]), int(d[k]), r["lead"] - int(lo[k]), r["s"] + int(lo[k]), r["s"] + int(hi[k]) - 1
+
+    return _of_texts(texts, classes.select("thash", "h", "d", "many", "lead", "s", "e"), "ph long, pd long, off long, many boolean, thash long, h long, d long, lead int, s long, e long", make)
 
 
 def _merged(strings: DataFrame, length: int) -> DataFrame:
-    """(thash, a, b): removed bytes [a, b) found among the strings of one anchor."""
+    """(h, d, a, b): repeated starts a .. b of the classes of one anchor, counted from the class's first."""
+
+    def found(table: pa.Table) -> pa.RecordBatch:
+        data = table.column("data").combine_chunks()
+        data = (data.chunk(0) if isinstance(data, pa.ChunkedArray) else data).cast(pa.large_binary())
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        keys = table.column("h").to_numpy()
+        r, a, b = repeated_starts(keys.view(np.uint64), table.column("lead").to_numpy().astype(np.int64), table.column("starts").to_numpy(), np.frombuffer(data.buffers()[2], np.uint8), offsets, length)
+        return pa.RecordBatch.from_arrays([pa.array(keys[r]), pa.array(table.column("d").to_numpy()[r]), pa.array(a), pa.array(b)], names=["h", "d", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        keys = table.column("h").to_numpy().view(np.uint64)
         # anchors in turns, so that memory follows a bounded number of strings and no anchor is parted
-        order = np.argsort(keys, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1], True])
-        lo = 0
-        while lo < len(cuts) - 1:
-            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + 2 * SHARD, side="right")) - 1)
-            own = order[cuts[lo] : cuts[hi]]
-            part = table.take(pa.array(own))
-            s = part.column("s").to_numpy()
-            r, a, b = repeated_starts(keys[own], part.column("lead").to_numpy(), part.column("starts").to_numpy(), part.column("data").to_pylist(), length)
-            yield pa.RecordBatch.from_arrays([part.column("thash").combine_chunks().take(pa.array(r)), pa.array(s[r] + a), pa.array(s[r] + b + length)], names=["thash", "a", "b"])
-            lo = hi
-
-    own = F.pmod(F.xxhash64("thash", "s"), "blocks")
-    dealt = strings.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
-    unit = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("h"))
-    return dealt.select(unit.alias("h"), "thash", "lead", "s", "starts", "data").repartition("h").mapInArrow(run, "thash long, a long, b long")
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= 2 * SHARD:
+                table = pa.Table.from_batches(held)
+                keys = table.column("h").to_numpy()
+                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+                if cut:
+                    yield found(table.slice(0, cut))
+                held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    return strings.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, d long, a long, b long")
+
+
+def _repeats(texts: DataFrame, classes: DataFrame, length: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """(h, d, a, b), stored: repeated starts a .. b of classes, counted from the class's first."""
+    kinds = materialize(classes.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "anchors")
+    met = materialize(classes.join(kinds, "h"), "met")
+    discard(kinds)
+    whole = classes.filter("many").select("h", "d", F.lit(0).cast("long").alias("a"), (F.col("e") - F.col("s")).alias("b"))
+    crowded = met.filter(F.col("kinds") > CROWD)
+    split = bool(widths) and not crowded.isEmpty()
+    out = whole.unionByName(_merged(_strings(texts, met.filter(F.col("kinds") <= CROWD) if split else met, length), length))
+    if split:
+        pieces = materialize(_pieces(texts, crowded, length, max(1, min(widths[0], length // 4))), "pieces")
+        parts = materialize(classes_of(pieces), "piece-classes")
+        inner = _repeats(texts, parts, length, widths[1:])
+        there = pieces.join(inner, ["h", "d"]).select(F.col("ph").alias("h"), F.col("pd").alias("d"), (F.col("off") + F.col("a")).alias("a"), (F.col("off") + F.col("b")).alias("b"))
+        out = materialize(out.unionByName(there), "repeats")
+        discard(pieces, parts, inner)
+    else:
+        out = materialize(out, "repeats")
+    discard(met)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_text: bool = False) -> DataFrame:
     """REPORT of every document, and with keep_text what is left of its bytes (kept binary)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("thash", F.xxhash64("text", F.octet_length("text")))
-    long_ones = docs.filter(F.octet_length("text") >= length)
+    long_ones = docs.filter(F.octet_length("text") >= length).select("thash", "text")
     copies = long_ones.groupBy("thash").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    # a copied text's runs count once
-    runs = runs_table(long_ones, length).groupBy("thash", "h", "p", "s", "e").agg(F.min("doc_id").alias("doc_id"))
-    runs = materialize(runs, "anchors")
-    met = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", F.ceil(F.col("n") / CROWD).alias("blocks"))
-    kept = runs.join(met, "h").groupBy("thash").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("h", "p", "s", "e", "blocks")).alias("runs"))
-    strings = materialize(_strings(long_ones, kept, length), "strings")
-    discard(runs)
-    spans = _merged(strings, length)
-    spans = spans.groupBy("thash").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = materialize(spans.join(copies, "thash", "full"), "spans")
-    discard(strings)
+    runs = materialize(runs_table(long_ones, length), "runs")
+    classes = materialize(classes_of(runs), "classes")
+    found = _repeats(long_ones.dropDuplicates(["thash"]), classes, length)
+    discard(classes)
+    removed = runs.join(found, ["h", "d"]).groupBy("thash").agg(F.collect_set(F.struct((F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b") + length).alias("b"))).alias("spans"))
+    spans = materialize(removed.join(copies, "thash", "full"), "spans")
+    discard(runs, found)
     schema = REPORT + (", kept binary" if keep_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,25 +75,34 @@ def test_suffix_core_against_brute_force(monkeypatch):
         length = rng.choice([40, 48, 60])
         base = [bytes(rng.choice(b"ab") if trial % 2 else rng.randrange(97, 123) for _ in range(rng.randrange(1, 300))) for _ in range(5)]
         texts = [b"".join(rng.choice(base)[a : a + rng.randrange(1, 200)] for a in [rng.randrange(0, 100) for _ in range(rng.randrange(0, 5))]) for _ in range(30)] + [b"a" * 150, b"ab" * 90]
-        t, h, p, s, e = suffixes.anchor_runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), length)
+        t, h, _, p, s, e = suffixes.anchor_runs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), length)
         got = [np.zeros(len(x), bool) for x in texts]
         if len(t):
-            r, a, b = suffixes.repeated_starts(h, p - s, e - s + 1, [texts[i][x : y + length] for i, x, y in zip(t, s, e, strict=True)], length)
+            data = [texts[i][x : y + length] for i, x, y in zip(t, s, e, strict=True)]
+            r, a, b = suffixes.repeated_starts(h, p - s, e - s + 1, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), length)
             for i, x, y in zip(r, a, b, strict=True):
                 got[t[i]][s[i] + x : s[i] + y + length] = True
         assert all((g == w).all() for g, w in zip(got, brute_repeats(texts, length), strict=True))
 
 
-@pytest.mark.parametrize("crowd", [8192, 2])
-def test_suffix_dedup(spark, docs, empty, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd,widths", [(2048, (24, 1)), (2, (24, 1)), (1, (7, 1))])
+def test_suffix_dedup(spark, docs, empty, monkeypatch, crowd, widths):
     monkeypatch.setattr(suffixes, "CROWD", crowd)
-    texts = [(t or "").encode() for t in [*TEXTS, TEXTS[3]]]
-    masks = brute_repeats(texts, 100)
-    for r in suffixes.remove_repeats(docs, 100).collect():
-        m, raw = masks[r["doc_id"]], texts[r["doc_id"]]
+    monkeypatch.setattr(suffixes._repeats, "__defaults__", (widths,))
+    rng = random.Random(8)
+    shared = prose(81, 60)
+    # a passage in many documents, cut at other places; text of one byte and of two; rows without an id
+    more = [prose(600 + i, 20) + shared[rng.randrange(60) : len(shared) - rng.randrange(60)] + prose(700 + i, 20) for i in range(12)] + ["a" * 700, "ab" * 400]
+    rows = [(len(TEXTS) + i, t, "en", "s", 1, "k", 7) for i, t in enumerate(more)] + [(None, t, "en", "s", 1, "k", 7) for t in (BASE[5][:300] + prose(650, 30), prose(651, 30) + BASE[5][:300], more[0])]
+    all_docs = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    every = [*[(i, t) for i, t in enumerate(TEXTS)], (3, TEXTS[3]), *[(r[0], r[1]) for r in rows]]
+    texts = [(t or "").encode() for _, t in every]
+    want = []
+    for (i, _), raw, m in zip(every, texts, brute_repeats(texts, 100), strict=True):
         kept = bytes(b for b, gone in zip(raw, m, strict=True) if not gone)
-        spans = int((np.diff(np.r_[0, m.astype(int)]) == 1).sum())
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw), int(m.sum()), spans, hashlib.sha256(kept).hexdigest())
+        want.append((i if i is not None else -1, len(raw), int(m.sum()), int((np.diff(np.r_[0, m.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    got = [(r["doc_id"] if r["doc_id"] is not None else -1, *r[1:]) for r in suffixes.remove_repeats(all_docs, 100).collect()]
+    assert sorted(got) == sorted(want)
     assert suffixes.remove_repeats(empty).count() == 0
 
 
