@@ -3,18 +3,20 @@
 A word's vector is the mean of the vectors of its character n-grams (and of itself), hashed into a fixed
 number of buckets, so an unseen misspelling shares most of its vector with the word it comes from. A
 document is the mean of its distinct words. Embeddings and softmax are trained jointly, in numpy, on a bounded
-sample of labelled rows (`per_class` of each label; nothing else is sampled). The softmax is linear, so a
-trained model is one number a bucket: 256 KiB whatever the corpus, which is what goes to the tasks.
-
-Null and empty texts, and texts without letters, get the score of the bias alone. Rows with a null id or
-label don't train. Repeated rows score alike. Without any usable label all scores are 0. Other columns are
-ignored.
+sample of labelled rows (`per_class` of each label, of `most_chars` characters at most; nothing else is sampled);
+a fifth of it, from which the embeddings don't learn, places the threshold. The softmax is linear, so a
+trained model is one number a bucket: 512 KiB whatever the corpus, which is what goes to the tasks.
+
+Null and empty texts, and texts without letters, say nothing: their score is the share of label 1. Rows with a null id or
+label don't train; of several labels of an id the larger counts, of its texts the smallest. Repeated rows score
+alike. Without any usable label all scores are 0. An empty table gives an empty result. Other columns are ignored by
+`score` and kept by `clean_documents`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -91,16 +93,17 @@ class Model:
     subwords: Subwords
     weight: np.ndarray  # a bucket's vector times the softmax's difference
     bias: float
+    prior: float = 0.0  # the score of a text without words
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         bucket, of, words, first, _ = self.subwords.bags(buf, offsets)
         n = np.diff(first)
         if not len(words):
-            return np.full(len(n), 1 / (1 + np.exp(-self.bias)))
+            return np.full(len(n), self.prior)
         word = np.bincount(of, self.weight[bucket]) / np.bincount(of)
         doc, kind, _ = distinct_words(first, words)
         total, n = np.bincount(doc, word[kind], len(n)), np.bincount(doc, minlength=len(n))
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -40, 40)))
+        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -40, 40))), self.prior)
 
 
 def distinct_words(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,8 +113,12 @@ def distinct_words(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np
     return *np.divmod(pairs, max(kinds, 1)), tf
 
 
-def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, subwords: Subwords = Subwords(), dim: int = 8, epochs: int = 80, rate: float = 0.05, decay: float = 3e-5) -> Model:
-    """Full-batch Adam on weighted log-loss. weights: how many rows of the table each row stands for."""
+def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords = Subwords(), dim: int = 8, epochs: int = 150, rate: float = 0.1, decay: float = 3e-5) -> Model:
+    """Full-batch Adam on log-loss, both labels with equal weight. prior: the share of label 1 in the table.
+
+    As all is linear up to the softmax, a step needs the embeddings' products with the softmax's difference only,
+    forwards and backwards: one number a bucket, word and text.
+    """
     bucket, of, doc, word = subwords.of_texts(texts)
     n_docs, n_words = len(texts), int(of.max(initial=-1)) + 1
     share = 1 / np.bincount(doc, minlength=n_docs)[doc]
@@ -119,26 +126,55 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, subwords: S
     rng = np.random.default_rng(7)
     e = rng.normal(0, 0.05, (dim, subwords.buckets))
     w = rng.normal(0, 0.5, dim)
+    weights = 1 / np.maximum(np.bincount(labels.astype(int), minlength=2), 1)[labels.astype(int)]
     weights = weights / weights.sum()
-    prior = float(np.clip((weights * labels).sum(), 1e-3, 1 - 1e-3))
-    bias = np.log(prior / (1 - prior))
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (e, w, np.zeros(1))]
+    bias = np.zeros(1)
+    values = (e, w, bias)
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
     gain = 30.0  # a document's mean over hundreds of words is small
     for step in range(1, epochs + 1):
-        u = np.stack([np.bincount(of, e[k][bucket], n_words) * parts for k in range(dim)])
-        v = gain * np.stack([np.bincount(doc, share * u[k][word], n_docs) for k in range(dim)])
-        p = 1 / (1 + np.exp(-np.clip(w @ v + bias, -40, 40)))
+        u = np.bincount(of, (w @ e)[bucket], n_words) * parts
+        p = 1 / (1 + np.exp(-np.clip(gain * np.bincount(doc, share * u[word], n_docs) + bias, -40, 40)))
         g = weights * (p - labels)
-        gu = np.bincount(word, share * g[doc], n_words) * parts * gain
+        gu = gain * np.bincount(word, share * g[doc], n_words) * parts
         ge = np.bincount(bucket, gu[of], subwords.buckets)
-        grads = (np.outer(w, ge) + decay * e, v @ g, np.array([g.sum()]))
-        values = [e, w, np.array([bias])]
-        for (m, s), grad, x in zip(state, grads, values, strict=True):
+        for (m, s), grad, x in zip(state, (np.outer(w, ge) + decay * e, e @ ge, g.sum(keepdims=True)), values, strict=True):
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-        bias = float(values[2][0])
-    return Model(subwords, gain * (w @ e), bias)
+    return Model(subwords, gain * (w @ e), float(bias[0]), prior)
+
+
+def logits(model: Model, texts: list[str]) -> np.ndarray:
+    out = []
+    for lo in range(0, len(texts), 64):  # bounds the memory
+        raw = [t.encode() for t in texts[lo : lo + 64]]
+        p = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        out.append(np.log(p) - np.log1p(-p))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> Model:
+    """Slope and bias fitted to logits of rows that the model didn't learn from, so that 0.5 is where either label is as likely in the table."""
+    if not 0 < y.sum() < len(y):
+        return model
+    weights = weights / weights.sum() * len(y)
+    a = np.array([0.0, 1.0])
+    design = np.column_stack([np.ones(len(x)), x])
+
+    def loss(a: np.ndarray) -> float:
+        z = design @ a
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (a[1] - 1) ** 2 + 0.005 * a[0] ** 2)
+
+    for _ in range(50):  # Newton steps, halved until they help
+        p = 1 / (1 + np.exp(-np.clip(design @ a, -40, 40)))
+        grad = design.T @ (weights * (p - y)) + np.array([0.01 * a[0], a[1] - 1])
+        step = np.linalg.solve((design * (weights * p * (1 - p))[:, None]).T @ design + np.diag([0.01, 1.0]), grad)
+        size = 1.0
+        while size > 1e-6 and loss(a - size * step) > loss(a):
+            size /= 2
+        a = a - size * step
+    return replace(model, weight=model.weight * max(a[1], 0), bias=float(a[0] + a[1] * model.bias))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -146,7 +182,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, most_chars: int = 20_000):
-    """(texts, labels, weights) of per_class training rows a label at most; only ids are ranked, texts are joined after."""
+    """(texts, labels, weights) of per_class training rows a label at most, by increasing id; only ids are ranked, texts are joined after. weights: how many rows of the table each stands for."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds))
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -157,17 +193,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
         return [], np.zeros(0), np.zeros(0)
-    rows = texts.filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = texts.filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     y = np.array([r["y"] for r in rows], float)
     have = {k: max(1, int((y == k).sum())) for k in sizes}
     return [r["text"] for r in rows], y, np.array([sizes[int(k)] / have[int(k)] for k in y], float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, folds: int = 5) -> Model:
+    """One in five rows of the sample, of each label, places the threshold; the others train."""
     texts, y, weights = labelled_sample(docs, labels, label, per_class, folds)
     if not texts:
         return Model(Subwords(), np.zeros(Subwords().buckets), -40.0)
-    return train(texts, y, weights)
+    turn = np.zeros(len(y), int)
+    for k in (0, 1):
+        turn[y == k] = np.arange((y == k).sum())
+    kept = turn % 5 == 4
+    model = train([t for t, own in zip(texts, kept, strict=True) if not own], y[~kept], float((weights * y).sum() / weights.sum()))
+    return calibrate(model, logits(model, [t for t, own in zip(texts, kept, strict=True) if own]), y[kept], weights[kept])
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5) -> DataFrame:
