@@ -8,10 +8,12 @@ classes that collide often enough over whole signatures are confirmed on full se
 
 Large groups of near copies are not expanded into all pairs: in STARS rounds each posting list is compared
 with one member only, and members already in one component aren't compared again; a last round compares all
-pairs that are still in different components, in blocks where a list is long, so no link between different
-texts is lost and no list is written out as pairs.
+pairs that are still in different components. There the members of lists longer than CROWD are posted anew under
+pairs of coordinates, of which similar sets share one but for a chance below `miss`; what is crowded even then
+is compared in blocks. So no link between different texts is lost and no list is written out as pairs.
 
-Null and empty texts, and texts of white space, have empty sets and are linked with nothing. A text with
+Texts move only where a pair needs them, as sets of hashes. Null and empty texts, and texts of white space, have
+empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as one. Other columns are ignored; an empty table gives an
 empty result. doc_id names a row; identical repeated rows are copies of each other. A row without an id gets the component of its
 set, null if no row with an id shares or links it.
@@ -33,8 +35,9 @@ from ledgerline.llm.textarrays import mix, prefix_hash, repeat_of, shingle_hashe
 
 COORDINATES = 32
 STARS = 2
-CROWD = 32  # posting lists with more open members are compared in blocks
-BLOCK = 1024
+CROWD = 32  # posting lists with more open members are split by further coordinates
+BLOCK = 512  # members of a list that pairs of coordinates don't split
+SMALL = 200_000  # rows of (id, hash) that may be broadcast: 10 MB at most
 _RNG = np.random.default_rng(411)
 _ODD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _XOR = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -62,7 +65,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nd
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, cls, n, sig): cls identifies the set (null if empty), sig is COORDINATES unsigned 32-bit minima."""
+    """(doc_id, thash, cls, n, sig): cls identifies the set (null if empty), sig is COORDINATES unsigned 32-bit minima. docs: (doc_id, thash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,9 +82,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     cls[full] = mix(np.add.reduceat(mix(h), at) ^ mix(np.bitwise_xor.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at) + n[full].astype(np.uint64))).view(np.int64)
                 sigs = np.full(len(n), None, object)
                 sigs[full] = [s.tobytes() for s in sig]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, mask=n == 0), pa.array(n), pa.array(sigs, pa.binary())], names=["doc_id", "cls", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cls, mask=n == 0), pa.array(n), pa.array(sigs, pa.binary())], names=["doc_id", "thash", "cls", "n", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, sig binary")
+    return docs.select("doc_id", "thash", "text").mapInArrow(run, "doc_id long, thash long, cls long, n long, sig binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -106,50 +109,79 @@ def prefixes(classes: DataFrame, least: int) -> DataFrame:
 
 
 def _collide(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs whose signatures agree in `least` coordinates and whose set sizes allow the similarity."""
+    """Pairs (a, b) whose signatures agree in `least` coordinates and whose set sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-            keep = pa.array((a == b).sum(1) >= least)
-            yield batch.select(["a", "b", "ra", "rb"]).filter(keep)
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= least))
 
-    own = classes.select("cls", "sig", "n", "rep")
-    left = own.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"), F.col("rep").alias("ra"))
-    right = own.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"), F.col("rep").alias("rb"))
+    left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
+    right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return both.select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(run, "a long, b long, ra long, rb long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, ra, rb) that are links, on the full sets of whole texts."""
+def sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(cls, shingles), stored: the full sets of classes (cls, rt: the hash of one of its texts) as sorted 64-bit hashes; texts are read where they lie if few are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, buf, offsets in text_slices(batch, "ta", 1 << 20):
-                ha, fa = shingle_sets(buf, offsets, size)
-                hb, fb = [], [0]
-                for _, buf2, offsets2 in text_slices(part, "tb", 1 << 20):
-                    h, f = shingle_sets(buf2, offsets2, size)
-                    hb.append(h)
-                    fb.extend((f[1:] + fb[-1]).tolist())
-                fb = np.array(fb)
-                na, nb = np.diff(fa), np.diff(fb)
-                keys = np.concatenate([mix(h + mix(repeat_of(f).astype(np.uint64))) for h, f in ((ha, fa), (np.concatenate(hb), fb))])
-                owner = np.concatenate([repeat_of(fa), repeat_of(fb)])
+            for part, buf, offsets in text_slices(batch, "text", 1 << 20):
+                h, first = shingle_sets(buf, offsets, size)
+                rows = [np.sort(h[a:b]).tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["cls", "shingles"])
+
+    wanted = wanted.select("cls", F.col("rt").alias("thash"))
+    some = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "thash")
+    return materialize(some.groupBy("cls").agg(F.min("text").alias("text")).mapInArrow(run, "cls long, shingles binary"), "sets")
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b), stored: the stored pairs (a, b) that are links, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                (ha, na), (hb, nb) = ((np.frombuffer(b"".join(x := part.column(k).to_pylist()), np.uint64), np.array([len(y) // 8 for y in x])) for k in (2, 3))
+                owner = np.concatenate([np.repeat(np.arange(len(part)), n) for n in (na, nb)])
+                keys = mix(np.concatenate([ha, hb]) + mix(owner.astype(np.uint64)))
                 order = np.argsort(keys)
-                twice = np.flatnonzero(keys[order][1:] == keys[order][:-1])
-                common = np.bincount(owner[order][twice], minlength=len(part))
-                keep = pa.array(100 * common >= percent * (na + nb - common))
-                yield part.select(["a", "b"]).filter(keep)
+                common = np.bincount(owner[order][np.flatnonzero(keys[order][1:] == keys[order][:-1])], minlength=len(part))
+                yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * (na + nb - common)))
+
+    sides = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = materialize(sides.join(classes.select("cls", "rt"), "cls"), "wanted")
+    sets = sets_of(wanted, texts, size)
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
+    out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "linked")
+    discard(wanted, sets)
+    return out
 
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("ra"), F.col("text").alias("ta")), "ra").join(texts.select(F.col("doc_id").alias("rb"), F.col("text").alias("tb")), "rb")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
+def _bands(members: DataFrame) -> DataFrame:
+    """(key, cls, comp, n): the members (cls, comp, n, sig) of crowded lists, posted anew under pairs of coordinates, whatever lists they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES // 2, 2).astype(np.uint64)
+            keys = mix(mix((sig[:, :, 0] << np.uint64(32)) + sig[:, :, 1]) + np.arange(COORDINATES // 2, dtype=np.uint64))
+            of = pa.array(np.repeat(np.arange(len(batch)), COORDINATES // 2))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), *(batch.column(k).take(of) for k in range(3))], names=["key", "cls", "comp", "n"])
+
+    return members.select("cls", "comp", "n", "sig").distinct().mapInArrow(run, "key long, cls long, comp long, n long")
 
-def _blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among members (key, cls, comp, rep, members) of crowded posting lists: enough of them to join all that link.
+
+def _by_size(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists of CROWD members at most, longer ones with `members`) of those that hold several components."""
+    size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "members")
+    sized = materialize(lists.join(materialize(size, "list-sizes"), "key"), "lists")
+    return sized.filter(F.col("members") <= CROWD), sized.filter(F.col("members") > CROWD)
+
+
+def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) among members (key, cls, comp, members) of crowded posting lists: enough of them to join all that link.
 
     A list is dealt into blocks of about BLOCK members, and each two of its blocks meet in one task, where full
     sets are compared by counting shared shingles in a matrix product. What leaves a task is a forest over
@@ -158,18 +190,17 @@ def _blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     dealt = members.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp", "rep")
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
+    sets = sets_of(materialize(members.select("cls").distinct().join(classes.select("cls", "rt"), "cls"), "wanted"), texts, size)
 
     def compare(pdf):
         import pandas as pd
 
-        raw = [(t or "").encode() for t in pdf["text"]]
-        h, first = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), size)
-        cls, comp, n = pdf["cls"].to_numpy(), pdf["comp"].to_numpy(), np.diff(first)
+        h = np.frombuffer(b"".join(pdf["shingles"]), np.uint64)
+        cls, comp, n = pdf["cls"].to_numpy(), pdf["comp"].to_numpy(), np.array([len(x) // 8 for x in pdf["shingles"]])
         _, col, times = np.unique(h, return_inverse=True, return_counts=True)
         shared = times[col] > 1
-        owner, col = repeat_of(first)[shared], np.unique(col[shared], return_inverse=True)[1]
+        owner, col = np.repeat(np.arange(len(n)), n)[shared], np.unique(col[shared], return_inverse=True)[1]
         common = np.zeros((len(n), len(n)), np.float32)
         order = np.argsort(col, kind="stable")
         owner, col = owner[order], col[order]
@@ -195,57 +226,117 @@ def _blocks(members: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 out.append((cls[a], cls[b]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.join(texts, "rep").select("key", "i", "j", "cls", "comp", "text").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    links = dealt.join(sets, "cls").select("key", "i", "j", "cls", "comp", "shingles").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return materialize(links, "blocks")
 
 
-def _links(posted: DataFrame, classes: DataFrame, docs: DataFrame, least: int, size: int, percent: int) -> DataFrame | None:
+def _links(posted: DataFrame, classes: DataFrame, texts: DataFrame, least: int, size: int, percent: int) -> DataFrame | None:
     """Links (a, b) that connect everything that links at all; None without any."""
     found: DataFrame | None = None
     tested: DataFrame | None = None
+    rest = posted  # lists that may still hold members of several components
     for turn in range(STARS + 1):
         if found is None:
-            own = posted.withColumn("comp", F.col("cls"))
+            own = rest.withColumn("comp", F.col("cls"))
         else:
             labels = components(found)
-            own = posted.join(labels, posted["cls"] == labels["node"], "left").select("cls", "key", F.coalesce("label", "cls").alias("comp"))
+            own = rest.join(labels, rest["cls"] == labels["node"], "left").select("cls", "key", F.coalesce("label", "cls").alias("comp"))
         open_keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("hub")).filter("lo < hi")
+        open_keys = materialize(open_keys.select("key", "hub"), "open-keys")
+        own = materialize(own.join(open_keys, "key"), "open")
+        rest = own.select("cls", "key")
         if turn < STARS:
-            pairs = own.join(open_keys.select("key", "hub"), "key").filter(F.col("comp") != F.col("hub.comp"))
+            pairs = own.filter(F.col("comp") != F.col("hub.comp"))
             pairs = pairs.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count(F.lit(1)).alias("often"))
             pairs = pairs.groupBy("cls").agg(F.max_by("hub", F.struct("often", "hub")).alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         else:
-            here = materialize(own.join(open_keys.select("key"), "key", "left_semi").join(classes.select("cls", "n", "rep"), "cls"), "open")
-            crowded = here.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > CROWD)
-            few = here.join(crowded, "key", "left_anti")
+            here = materialize(own.select("key", "cls", "comp").join(classes.select("cls", "n", "sig"), "cls").select("key", "cls", "comp", "n", "sig"), "lists")
+            few, many = _by_size(here)
+            few = few.select("key", "cls", "comp", "n")
+            if not many.isEmpty():
+                banded, many = _by_size(_bands(many))
+                few = few.unionByName(banded.select("key", "cls", "comp", "n"))
             one = few.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
             two = few.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
             pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
-            links = materialize(_blocks(here.join(crowded, "key"), docs, size, percent), "blocks")
-            if not links.isEmpty():
+            if not many.isEmpty():
+                links = _blocks(many, classes, texts, size, percent)
                 found = links if found is None else found.unionByName(links)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        links = materialize(_confirm(_collide(pairs, classes, least, percent), docs, size, percent), "linked")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not links.isEmpty():
+        collided = materialize(_collide(pairs, classes, least, percent), "collided")
+        if not collided.isEmpty():
+            links = _confirm(collided, classes, texts, size, percent)
             found = links if found is None else found.unionByName(links)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        discard(collided, open_keys)
     return found
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
-    """MATCHES, one row a document: its component's smallest doc_id, and whether it is that document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _decided(docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """(doc_id, thash, n, cls, label), stored: docs (doc_id, thash, text) with the class and the component of each set; null ones are empty sets."""
     least = least_collisions(percent / 100, miss)
     signed = materialize(signatures(docs, size), "signatures")
-    classes = materialize(signed.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    found = _links(prefixes(classes, least), classes, docs, least, size, percent)
-    named = classes.select("cls", "rep")
-    if found is not None:
+    classes = materialize(signed.filter("n > 0").groupBy("cls").agg(F.min("thash").alias("rt"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    posted = prefixes(classes, least)
+    found = _links(posted, classes, docs.select("thash", "text"), least, size, percent)
+    out = signed.select("doc_id", "thash", "n", "cls")
+    if found is None:
+        out = out.withColumn("label", F.col("cls"))
+    else:
         labels = components(found)
-        named = named.join(labels, named["cls"] == labels["node"], "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
-        smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        named = materialize(named.join(smallest, "label").select("cls", F.col("component_id").alias("rep")), "named")
-    out = signed.select("doc_id", "cls", "n").join(named, "cls", "left")
-    component = F.coalesce("rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+        out = out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "thash", "n", "cls", F.coalesce("label", "cls").alias("label"))
+    out = materialize(out, "decided")
+    discard(signed, classes, posted)
+    return out
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("thash"), text.alias("text"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """MATCHES, one row a document: its component's smallest doc_id, and whether it is that document."""
+    decided = _decided(_hashed(docs), size, percent, miss)
+    smallest = materialize(decided.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "smallest")
+    component = F.coalesce("least", "doc_id")
+    return decided.join(smallest, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
+    """The rows of docs (doc_id, text, any others) that are kept, with all their columns: one of each component.
+
+    That is the row with the smallest id, of several texts under that id the one with the smallest hash, of rows
+    that agree in both any one. A row without an id is kept if its component has no row with one. Rows with
+    empty sets all stay, but those that repeat an id and a text.
+    """
+    rows = _decided(_hashed(docs), size, percent, miss).withColumn("rid", F.coalesce("doc_id", F.lit(-(2**63))))
+    winners = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "rid", "thash")).alias("best"))
+    judged = rows.join(materialize(winners, "winners"), "label", "left").withColumn("kept", F.col("best").isNull() | ((F.col("best.rid") == F.col("rid")) & (F.col("best.thash") == F.col("thash"))))
+    marks = materialize(judged.groupBy("rid", "thash").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("not kept or rows > 1 and rid is not null"), "marks")
+    return _apply_marks(docs, marks)
+
+
+def _apply_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs without those marked as not kept, and one of those marked as repeated."""
+    text = F.col("text").cast("string")
+    names = _free_names(docs, 2)
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), names[1]: F.xxhash64(text, F.octet_length(text))})
+    renamed = marks.select(F.col("rid").alias(names[0]), F.col("thash").alias(names[1]), "kept")
+    small = marks.count() <= SMALL
+    less = lambda part: F.broadcast(part) if small else part
+    left = keyed.join(less(renamed.select(*names)), names, "left_anti")
+    twice = keyed.join(less(renamed.filter("kept").select(*names)), names, "left_semi").dropDuplicates(names)
+    return left.unionByName(twice).select(docs.columns)
+
+
+def _free_names(docs: DataFrame, n: int) -> list[str]:
+    """Column names that docs doesn't have."""
+    taken, out, k = {c.lower() for c in docs.columns}, [], 0
+    while len(out) < n:
+        if (name := f"own_{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
