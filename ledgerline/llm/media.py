@@ -3,7 +3,8 @@
 Texts become payloads (UTF-8 padded by spaces to a positive multiple of 192 bytes; null counts as empty),
 payloads become 8-bit mono WAV files, and the features come from the files' bytes as read back: a polyphase
 resampling filter, overlapped frames, a mel filterbank, log, and segments where the energy rises over one
-threshold until it falls below a lower one. Samples are worked on in windows of fixed length, so one very
+threshold until it falls below a lower one. The log-mel windows are stored as Arrow tensors of fixed shape with
+their time spans, and the query's digest is of the tensors as read back. Samples are worked on in windows of fixed length, so one very
 long file needs no more memory than its bytes. Features depend on the samples alone, so equal texts get
 equal values. Repeated rows stay; other columns are ignored; an empty table gives an empty result.
 """
@@ -132,17 +133,35 @@ def windows(mels: np.ndarray) -> np.ndarray:
 
 def tensor_bytes(tensor: np.ndarray, start_ms: int, end_ms: int) -> bytes:
     """One Arrow record batch with a fixed-shape tensor and its time span, as an IPC stream."""
-    kind = pa.fixed_shape_tensor(pa.float16(), list(tensor.shape))
-    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.reshape(-1)), tensor.size)
-    batch = pa.record_batch({"tensor": pa.ExtensionArray.from_storage(kind, flat), "start_ms": pa.array([start_ms]), "end_ms": pa.array([end_ms])})
+    return store_tensors(tensor[None], np.array([start_ms]), np.array([end_ms]))
+
+
+def store_tensors(tensors: np.ndarray, start_ms: np.ndarray, end_ms: np.ndarray) -> bytes:
+    """An Arrow record batch with a row a window: a fixed-shape tensor and its time span, as an IPC stream."""
+    kind = pa.fixed_shape_tensor(pa.float16(), list(tensors.shape[1:]))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensors.reshape(-1)), tensors[0].size)
+    batch = pa.record_batch({"tensor": pa.ExtensionArray.from_storage(kind, flat), "start_ms": pa.array(start_ms), "end_ms": pa.array(end_ms)})
     out = io.BytesIO()
     with pa.ipc.new_stream(out, batch.schema) as w:
         w.write_batch(batch)
     return out.getvalue()
 
 
-def feature_digest(mels: np.ndarray, tensors: np.ndarray) -> str:
-    mean = mels.mean(0)[:8]
+def read_tensors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tensors, start_ms, end_ms) of what store_tensors() wrote."""
+    batch = pa.ipc.open_stream(data).read_next_batch()
+    return batch.column("tensor").to_numpy_ndarray(), batch.column("start_ms").to_numpy(), batch.column("end_ms").to_numpy()
+
+
+def spans_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end in ms of n windows."""
+    ms = 1000 * HOP * DOWN // (UP * RATE) * WINDOW
+    return np.arange(n) * ms, np.arange(1, n + 1) * ms
+
+
+def feature_digest(tensors: np.ndarray, frames: int) -> str:
+    """Of tensors as read back, whose first `frames` frames are no padding."""
+    mean = tensors.reshape(-1, MELS)[:frames, :8].mean(0, dtype=np.float64)
     return f"logmel{MELS}x{WINDOW}:{len(tensors)}:{hashlib.sha256(tensors.tobytes()).hexdigest()[:16]}:" + ",".join(f"{x:.1f}" for x in mean)
 
 
@@ -178,8 +197,9 @@ def audio_summary(docs: DataFrame) -> DataFrame:
         back = read_back(media)
         mels, energy = log_mel(back)
         tensors = windows(mels)
+        tensors = read_tensors(store_tensors(tensors, *spans_of(len(tensors))))[0]
         spans = [{"start_ms": a, "end_ms": b} for a, b in segments(energy)]
-        yield doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(mels, tensors), len(back) * 1000 // RATE, len(tensors), spans
+        yield doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_digest(tensors, len(mels)), len(back) * 1000 // RATE, len(tensors), spans
 
     return _map(docs, SUMMARY, rows)
 
@@ -189,8 +209,7 @@ def audio_tensors(docs: DataFrame) -> DataFrame:
 
     def rows(doc, text):
         tensors = windows(log_mel(read_back(store(payload_of(text)[0])))[0])
-        ms = 1000 * HOP * DOWN // (UP * RATE) * WINDOW
-        for k, x in enumerate(tensors):
-            yield doc, k, k * ms, (k + 1) * ms, tensor_bytes(x, k * ms, (k + 1) * ms)
+        for k, (x, a, b) in enumerate(zip(tensors, *(x.tolist() for x in spans_of(len(tensors))), strict=True)):
+            yield doc, k, a, b, tensor_bytes(x, a, b)
 
     return _map(docs, TENSORS, rows)
