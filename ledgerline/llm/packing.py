@@ -2,10 +2,12 @@
 
 Pieces are packed best-fit within partitions. Bins that are nearly full leave at once; the others become
 items of the next round, in fewer and larger groups, where best-fit joins them. Each group is bounded by
-`group_items`, so no task sees all bins; rounds end when they no longer save bins. What moves between
+`group_items`, so no task sees all bins. Rounds end when one group holds all open bins, when a round saves
+fewer than one bin in a hundred, or after `most_rounds`; all pieces are packed by then. What moves between
 tasks is (bin, length) only, never ids.
 
-Null texts count as empty: their one token is the end token. Repeated rows are packed as rows of their own.
+Null texts count as empty: their one token is the end token. Repeated rows, and rows without an id, are packed
+as rows of their own.
 Other columns of the input are ignored. An empty table gives an empty result.
 """
 

@@ -228,23 +228,32 @@ def pseudonym(x: Column, key: str) -> Column:
     return F.coalesce(new, x)
 
 
-def mask(docs: DataFrame, key: str = "ledgerline", text_col: str = "text") -> DataFrame:
-    """docs with text_col's personal numbers and dates replaced; other columns and all rows as they are."""
-    return _masked(docs, key, text_col).drop("__found", "__new")
+def mask(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with text_col's personal numbers and dates replaced; other columns and all rows as they are.
+
+    key: a secret; who has it can reverse the pseudonyms, and the same key links values over runs.
+    """
+    return _masked(docs, key, text_col, *_free_names(docs)).select(docs.columns)
+
+
+def _free_names(docs: DataFrame) -> tuple[str, str]:
+    """Two column names that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple([name for k in range(len(taken) + 2) if (name := f"own_{k}") not in taken][:2])
 
 
-def _masked(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+def _masked(docs: DataFrame, key: str, text_col: str, found_col: str, new_col: str) -> DataFrame:
     text = F.col(text_col)
     found = F.when(text.rlike(r"\d\d\d|@|\d[/.]\d"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    docs = docs.withColumn("__found", found)
-    docs = docs.withColumn("__new", F.transform("__found", lambda x: pseudonym(x, key)))
-    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    return docs.withColumn(text_col, F.when(F.size("__found") > 0, woven).otherwise(text))
+    docs = docs.withColumn(found_col, found)
+    docs = docs.withColumn(new_col, F.transform(found_col, lambda x: pseudonym(x, key)))
+    woven = F.array_join(F.zip_with(F.split(text, ANY, -1), F.col(new_col), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
+    return docs.withColumn(text_col, F.when(F.size(found_col) > 0, woven).otherwise(text))
 
 
-def mask_report(docs: DataFrame, key: str = "ledgerline") -> DataFrame:
+def mask_report(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_numbers, n_dates): masked texts and how many values were replaced."""
-    out = _masked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key, "text")
-    changed = F.filter(F.arrays_zip("__found", "__new"), lambda p: p["__found"] != p["__new"])
-    dates = F.size(F.filter(changed, lambda p: p["__found"].rlike(f"^(?:{DATE})$")))
+    out = _masked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), key, "text", "found", "new")
+    changed = F.filter(F.arrays_zip("found", "new"), lambda p: p["found"] != p["new"])
+    dates = F.size(F.filter(changed, lambda p: p["found"].rlike(f"^(?:{DATE})$")))
     return out.select("doc_id", "text", (F.size(changed) - dates).cast("long").alias("n_numbers"), dates.cast("long").alias("n_dates"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+_keys: dict[str, str] = {}
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret in spark.ledgerline.pii.key; one made for this application where that is unset, so that nobody else knows it."""
+    return spark.conf.get("spark.ledgerline.pii.key", None) or _keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.packing import pack_documents
 
@@ -44,7 +53,7 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.pii import mask_report
 
-    return mask_report(read(spark, sf_dir, "documents"))
+    return mask_report(read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

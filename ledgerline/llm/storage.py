@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.shipping import ship_package
 
-LOCAL_ONLY = f"file://{tempfile.gettempdir()}/checkpoints"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names one; a folder of our own only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_ONLY
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The application's folder in spark.checkpoint.dir; in the warehouse, which is shared too, where that is unset (tests). It goes when the application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediate"
+    return f"{named.rstrip('/')}/ledgerline-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _files(spark, folder).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(folder))
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -34,8 +30,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what materialize() wrote, once nothing that is still to run reads it."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _files(df.sparkSession, df._stored_at).delete(df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at), True)
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

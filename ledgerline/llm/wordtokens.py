@@ -58,7 +58,12 @@ class WordTokenizer:
         first = np.searchsorted(start, offsets)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes, where, back = np.unique(span_hash(prefix_hash(buf, lower=True), start, end), return_index=True, return_inverse=True)
+        own = span_hash(prefix_hash(buf, lower=True), start, end)
+        marked = np.concatenate([[0], np.cumsum(buf == ord("<"))])
+        marked = np.flatnonzero(marked[end] > marked[start])
+        if len(marked):  # may be a special token, which is matched before letters are lowered
+            own[marked] = ~span_hash(prefix_hash(buf), start[marked], end[marked])
+        hashes, where, back = np.unique(own, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, hashes)
         new = np.flatnonzero(at == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != hashes)
         if len(new):

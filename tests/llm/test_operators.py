@@ -165,7 +165,7 @@ def brute_components(texts, size, percent):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("crowd,block", [(32, 1024), (1, 3)])
+@pytest.mark.parametrize("crowd,block", [(32, 512), (1, 8)])
 def test_minhash(spark, docs, empty, monkeypatch, crowd, block):
     monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -182,7 +182,20 @@ def test_minhash(spark, docs, empty, monkeypatch, crowd, block):
     for r in minhash.near_duplicates(docs.unionByName(more), 3, 85).collect():
         i = r["doc_id"]
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (n[i], comp[i], comp[i] == i)
-    assert minhash.near_duplicates(empty, 3, 85).count() == 0
+    assert minhash.near_duplicates(empty, 3, 85).count() == 0 and minhash.without_near_duplicates(empty).count() == 0
+
+
+def test_minhash_keeps_one_of_each(spark):
+    """Rows without an id, an id with several texts, repeated rows, clashing columns."""
+    near = BASE[0] + " end"
+    rows = [(1, near, "x"), (2, BASE[0], "y"), (2, prose(31, 80), "z"), (None, BASE[0], "n"), (None, BASE[1], "m"), (None, BASE[1], "m"), (5, None, "e"), (5, None, "e"), (6, None, "f"), (7, BASE[2], "g"), (7, BASE[2], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, own_0 string").repartition(4)
+    got = minhash.without_near_duplicates(df)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert got.columns == df.columns
+    assert kept == sorted([(1, near), (2, prose(31, 80)), (0, BASE[1]), (5, ""), (6, ""), (7, BASE[2])])
+    found = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    assert (1, 1, True) in found and (2, 1, False) in found and (2, 2, True) in found and (None, 1, None) in found and (None, None, None) in found
 
 
 def test_components(spark):
@@ -191,6 +204,7 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 103: 100}
 
 
+KEY = "a test's key"
 PII = {
     "card 4111111111111111.": True, "card 4111111111111112.": False, "ssn 123-45-6789": True, "ssn 000-45-6789": False, "call +1 (988) 555-2485 now": True, "ip 10.20.30.40": True, "ip 310.20.30.40": False, "iban GB82 WEST 1234 5698 7654 32": True, "iban GB83 WEST 1234 5698 7654 32": False,
     "born 1984-02-29": True, "born 1983-02-29": False, "on 7/4/1976 or 31.12.1999": True, "a@b.example.com": True, "order 12 of 30": False, "": False,
@@ -199,7 +213,7 @@ PII = {
 
 def test_pii(spark, docs, empty):
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*PII, None])], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pii.mask_report(df).collect()}
+    rows = {r["doc_id"]: r for r in pii.mask_report(df, KEY).collect()}
     for i, (t, changes) in enumerate(PII.items()):
         new = rows[i]["text"]
         assert (new != t) == changes and (rows[i]["n_numbers"] + rows[i]["n_dates"] > 0) == changes
@@ -207,9 +221,9 @@ def test_pii(spark, docs, empty):
             assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", new))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "0", t)))
     assert rows[len(PII)]["text"] is None
     linked = spark.createDataFrame([(0, "4111 1111 1111 1111 on 31.12.1999"), (1, "4111111111111111 on 1999-12-31")], "doc_id long, text string")
-    a, b = (r["text"] for r in pii.mask_report(linked).orderBy("doc_id").collect())
+    a, b = (r["text"] for r in pii.mask_report(linked, KEY).orderBy("doc_id").collect())
     assert a[:19].replace(" ", "") == b[:16] and a[-10:].split(".")[::-1] == b[-10:].split("-")
-    assert pii.mask(docs).columns == docs.columns and pii.mask(empty).count() == 0
+    assert pii.mask(docs, KEY).columns == docs.columns and pii.mask(empty, KEY).count() == 0
 
 
 def test_pii_cards_and_ibans_among_other_groups(spark):
@@ -221,9 +235,9 @@ def test_pii_cards_and_ibans_among_other_groups(spark):
         [visa, " ", "123-45-6789"], [solid, " ", "31.12.1999"], [visa, " ", "988 555-2485"], [visa, " ", "10.20.30.40"], [de, " BIC COBADEFF"], [de.replace(" ", ""), " EUR"], [de, " ", "123-45-6789"], [de, " ", "GB82 WEST 1234 5698 7654 32"], [de, " ", visa], [xx, " BIC"], [xx, " ", "123-45-6789"],
     ]
     values = sorted({p for c in cases for p in c if len(p) > 9 and re.search(r"\d\d", p)})
-    single = {p: r["text"] for p, r in zip(values, pii.mask_report(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).orderBy("doc_id").collect(), strict=True)}
+    single = {p: r["text"] for p, r in zip(values, pii.mask_report(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), KEY).orderBy("doc_id").collect(), strict=True)}
     assert all(new != p for p, new in single.items())
-    got = [r["text"] for r in pii.mask_report(spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    got = [r["text"] for r in pii.mask_report(spark.createDataFrame([(i, "".join(c)) for i, c in enumerate(cases)], "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
     assert got == ["".join(single.get(p, p) for p in c) for c in cases]
 
 
@@ -234,6 +248,36 @@ def test_pii_permutes(spark):
     assert spark.range(20_000).select(pii.permute_number(F.col("id"), 100, 200, "k", "x").alias("e")).filter("e between 0 and 19999").distinct().count() == 20_000
 
 
+def plain_feistel(value, a, b, key, kind, rounds=8):
+    """A second writing of the permutation: halves move in turns by a digest of the other."""
+    left, right = divmod(value, b)
+    for i in range(rounds):
+        move = lambda half: int(hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        if i % 2 == 0:
+            left = (left + move(right)) % a
+        else:
+            right = (right + move(left)) % b
+    return left * b + right
+
+
+def test_pii_against_a_plain_feistel(spark):
+    got = spark.range(500).select(pii.permute_number(F.col("id"), 100, 200, "k", "x").alias("e")).collect()
+    assert [r["e"] for r in got] == [plain_feistel(i, 100, 200, "k", "x") for i in range(500)]
+    rows = [f"{a:03}-{b:02}-{c:04}" for a, b, c in [(1, 1, 1), (665, 7, 9), (667, 99, 9999), (899, 50, 1234)]]
+    want = []
+    for x in rows:
+        area, group, serial = map(int, x.split("-"))
+        v = plain_feistel(((area - (2 if area > 666 else 1)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, KEY, "ssn")
+        high, s = divmod(v, 9999)
+        a, g = divmod(high, 99)
+        want.append(f"no {a + (2 if a >= 665 else 1):03}-{g + 1:02}-{s + 1:04}, {x}x")
+    df = spark.createDataFrame([(None, f"no {x}, {x}x", "u", 1) for x in rows] + [(1, "y" * 200_000 + f" {rows[0]}", "u", 2)] * 2, "doc_id long, text string, own_0 string, OWN_1 int").coalesce(1)
+    out = pii.mask(df, KEY)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert [r["text"] for r in got[:4]] == want and got[4] == got[5] and got[4]["text"][:200_001] == "y" * 200_000 + " " and got[4]["own_0"] == "u"
+
+
 def test_language(spark, empty):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(40))
@@ -335,6 +379,9 @@ def test_audio(docs, empty):
     tensors = media.audio_tensors(docs.filter("doc_id = 0")).collect()
     table = pa.ipc.open_stream(tensors[0]["tensor"]).read_all()
     assert table.column("tensor").type.shape == [media.WINDOW, media.MELS] and table.column("end_ms")[0].as_py() == tensors[0]["end_ms"]
+    x = np.arange(2 * media.WINDOW * media.MELS).reshape(2, media.WINDOW, media.MELS).astype(np.float16)
+    back, start, end = media.read_tensors(media.store_tensors(x, *media.spans_of(2)))
+    assert (back == x).all() and start[1] == end[0]
     assert media.audio_summary(empty).count() == 0
 
 
@@ -348,6 +395,20 @@ def test_audio_blocks_agree():
     assert media.segments(np.array([0, 9, 9, 5, 0, 0, 0, 9, 0.0])) == [(20, 80), (140, 160)]
 
 
+def test_special_tokens_in_both_orders():
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.wordtokens import WordTokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|> a", "<|ENDOFTEXT|> a", "x<|EndOfText|>", "<B>b<b>"]
+    for own in (texts, texts[::-1]):
+        tokens = WordTokenizer(tokenizer_path())
+        for t in own:
+            ids, first = tokens.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+            assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids and first.tolist() == [0, len(ids)]
+
+
 @pytest.mark.parametrize("group", [50_000, 5])
 def test_packing(spark, docs, empty, group):
     from tokenizers import Tokenizer
