@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.decontaminate import without_leaks
-from ledgerline.llm.minhash import near_duplicates
+from ledgerline.llm.minhash import without_near_duplicates
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.pii import mask
-from ledgerline.llm.queries import tokenizer_path
+from ledgerline.llm.queries import pii_key, tokenizer_path
 from ledgerline.llm.storage import materialize, read
 from ledgerline.llm.toxicity import clean_documents
 
@@ -23,12 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, and one row of repeated rows; rows without an id stay."""
-    found = materialize(near_duplicates(docs, size=5, percent=80), "near-duplicates")
-    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti")
-    repeated = found.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+    """Keeps one document of each near-duplicate group, and one row of repeated rows; texts without words have no group."""
+    return without_near_duplicates(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal numbers and dates by pseudonyms; all rows stay."""
-    return mask(docs)
+    return mask(docs, pii_key(spark))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
