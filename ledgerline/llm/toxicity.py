@@ -96,14 +96,19 @@ class Model:
     prior: float = 0.0  # the score of a text without words
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        z, n = self.logits(buf, offsets)
+        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
+
+    def logits(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds, distinct words) of each text."""
         bucket, of, words, first, _ = self.subwords.bags(buf, offsets)
         n = np.diff(first)
         if not len(words):
-            return np.full(len(n), self.prior)
+            return np.full(len(n), self.bias), n
         word = np.bincount(of, self.weight[bucket]) / np.bincount(of)
         doc, kind, _ = distinct_words(first, words)
         total, n = np.bincount(doc, word[kind], len(n)), np.bincount(doc, minlength=len(n))
-        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + self.bias, -40, 40))), self.prior)
+        return total / np.maximum(n, 1) + self.bias, n
 
 
 def distinct_words(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,8 +154,7 @@ def logits(model: Model, texts: list[str]) -> np.ndarray:
     out = []
     for lo in range(0, len(texts), 64):  # bounds the memory
         raw = [t.encode() for t in texts[lo : lo + 64]]
-        p = model.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        out.append(np.log(p) - np.log1p(-p))
+        out.append(model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
     return np.concatenate(out) if out else np.zeros(0)
 
 
