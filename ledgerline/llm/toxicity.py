@@ -186,7 +186,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, most_chars: int = 20_000):
-    """(texts, labels, weights) of per_class training rows a label at most, by increasing id; only ids are ranked, texts are joined after. weights: how many rows of the table each stands for."""
+    """(doc_id, y, text, size) of per_class training rows a label at most, None without any; only ids are ranked, texts are joined after. size: how many rows of the table have the label."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"), folds))
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -196,24 +196,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         part = own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     if picked is None:
-        return [], np.zeros(0), np.zeros(0)
-    rows = texts.filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    y = np.array([r["y"] for r in rows], float)
-    have = {k: max(1, int((y == k).sum())) for k in sizes}
-    return [r["text"] for r in rows], y, np.array([sizes[int(k)] / have[int(k)] for k in y], float)
+        return None
+    size = F.create_map(*[F.lit(x) for y in sizes for x in (y, sizes[y])])[F.col("y")].alias("size")
+    return texts.filter(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "y", "text", size)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, folds: int = 5) -> Model:
-    """One in five rows of the sample, of each label, places the threshold; the others train."""
-    texts, y, weights = labelled_sample(docs, labels, label, per_class, folds)
-    if not texts:
-        return Model(Subwords(), np.zeros(Subwords().buckets), -40.0)
-    turn = np.zeros(len(y), int)
-    for k in (0, 1):
-        turn[y == k] = np.arange((y == k).sum())
-    kept = turn % 5 == 4
-    model = train([t for t, own in zip(texts, kept, strict=True) if not own], y[~kept], float((weights * y).sum() / weights.sum()))
-    return calibrate(model, logits(model, [t for t, own in zip(texts, kept, strict=True) if own]), y[kept], weights[kept])
+    """Trained in one task on the bounded sample; one in five of its rows, of each label, places the threshold, the others train."""
+    sample = labelled_sample(docs, labels, label, per_class, folds)
+    none = Model(Subwords(), np.zeros(Subwords().buckets), -40.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        if rows:
+            y = np.array([r[1] for r in rows], float)
+            turn = np.zeros(len(y), int)
+            for k in (0, 1):
+                turn[y == k] = np.arange((y == k).sum())
+            kept = turn % 5 == 4
+            weights = np.array([r[3] for r in rows], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
+            model = train([r[2] for r, own in zip(rows, kept, strict=True) if not own], y[~kept], float((weights * y).sum() / weights.sum()))
+            model = calibrate(model, logits(model, [r[2] for r, own in zip(rows, kept, strict=True) if own]), y[kept], weights[kept])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()]), pa.array([model.bias]), pa.array([model.prior])], names=["weight", "bias", "prior"])
+
+    got = sample.repartition(1).mapInArrow(run, "weight binary, bias double, prior double").collect() if sample is not None else []
+    return replace(none, weight=np.frombuffer(got[0]["weight"], "<f4").astype(float), bias=got[0]["bias"], prior=got[0]["prior"]) if got else none
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5) -> DataFrame:
