@@ -122,8 +122,11 @@ def _collide(pairs: DataFrame, classes: DataFrame, least: int, percent: int) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(cls, shingles), stored: the full sets of classes (cls, rt: the hash of one of its texts) as sorted 64-bit hashes; texts are read where they lie if few are wanted."""
+def sets_of(wanted: DataFrame, texts: DataFrame, size: int, few: bool) -> DataFrame:
+    """(cls, shingles), stored: the full sets of classes (cls, rt: the hash of one of its texts) as sorted 64-bit hashes.
+
+    few: no more than SMALL are wanted, so texts are picked where they lie.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +136,7 @@ def sets_of(wanted: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], names=["cls", "shingles"])
 
     wanted = wanted.select("cls", F.col("rt").alias("thash"))
-    some = texts.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "thash")
+    some = texts.join(F.broadcast(wanted) if few else wanted, "thash")
     return materialize(some.groupBy("cls").agg(F.min("text").alias("text")).mapInArrow(run, "cls long, shingles binary"), "sets")
 
 
@@ -152,11 +155,10 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                 yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * (na + nb - common)))
 
     sides = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = materialize(sides.join(classes.select("cls", "rt"), "cls"), "wanted")
-    sets = sets_of(wanted, texts, size)
+    sets = sets_of(sides.join(classes.select("cls", "rt"), "cls"), texts, size, 2 * pairs.count() <= SMALL)
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
     out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "linked")
-    discard(wanted, sets)
+    discard(sets)
     return out
 
 
@@ -191,7 +193,8 @@ def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
     dealt = members.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
-    sets = sets_of(materialize(members.select("cls").distinct().join(classes.select("cls", "rt"), "cls"), "wanted"), texts, size)
+    wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rt"), "cls"), "wanted")
+    sets = sets_of(wanted, texts, size, wanted.count() <= SMALL)
 
     def compare(pdf):
         import pandas as pd
@@ -264,13 +267,12 @@ def _links(posted: DataFrame, classes: DataFrame, texts: DataFrame, least: int,
                 found = links if found is None else found.unionByName(links)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
         collided = materialize(_collide(pairs, classes, least, percent), "collided")
         if not collided.isEmpty():
             links = _confirm(collided, classes, texts, size, percent)
             found = links if found is None else found.unionByName(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        discard(collided, open_keys)
+        tested = collided if tested is None else tested.unionByName(collided)
+        discard(open_keys)
     return found
 
 
