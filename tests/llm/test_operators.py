@@ -366,6 +366,21 @@ def test_toxicity(spark, empty):
     assert toxicity.clean_documents(df, labels).columns == df.columns and toxicity.score(empty, toxicity.fit(df, labels)).count() == 0
 
 
+def test_toxicity_log_odds_stay_finite():
+    """Probabilities that round to 0 or 1 must not spoil the threshold."""
+    kinds = toxicity.Subwords()
+    model = toxicity.Model(kinds, np.random.default_rng(0).normal(0, 1e5, kinds.buckets), 0.0, 0.3)
+    texts = [prose(i, 20) for i in range(40)] + ["", " 12 "]
+    x = toxicity.logits(model, texts)
+    assert np.isfinite(x).all() and np.abs(x[:40]).max() > 1000
+    fitted = toxicity.calibrate(model, x[:40], (x[:40] > 0).astype(float), np.ones(40))
+    assert np.isfinite(fitted.weight).all() and np.isfinite(fitted.bias)
+    raw = [t.encode() for t in texts]
+    scores = fitted.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert ((scores >= 0) & (scores <= 1)).all() and scores[40:].tolist() == [0.3, 0.3]
+    assert ((scores[:40] >= 0.5) == (x[:40] > 0)).mean() >= 0.9
+
+
 def test_audio(docs, empty):
     got = media.audio_summary(docs).collect()
     assert len(got) == len(TEXTS) + 1
