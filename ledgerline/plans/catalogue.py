@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def _spending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.spending(ledger(spark, sf_dir).bank)
+    return views.spending(ledger(spark, sf_dir).unflagged)
 
 
 def _with(*parts: str) -> str:
@@ -75,7 +75,7 @@ def q4_unusual(spark, sf_dir):
 
 @query(_with(S) + "SELECT dated_on AS date, account_key AS account, merchant, description, flow, amount_cents, net_spend_cents, revisions, status, review_reason, CASE WHEN pending THEN 'not settled yet' ELSE 'restated after posting' END AS what FROM feed WHERE NOT deleted AND (pending OR amount_changed OR status = 'needs_review')")
 def q5_pending_and_restated(spark, sf_dir):
-    return reports.pending_and_restated(ledger(spark, sf_dir).bank)
+    return reports.pending_and_restated(ledger(spark, sf_dir).unflagged)
 
 
 @query(_with(S, oracle.ACCOUNTS, "cov AS (SELECT account_key AS account, min(dated_on) AS covers_from, max(dated_on) AS covers_to FROM feed WHERE dated_on IS NOT NULL GROUP BY 1)") + "SELECT account, name, kind, institution, balance_cents, last_seen_at AS balance_at, covers_from, covers_to, last_seen_at, CASE WHEN unmapped THEN 'NOT IN accounts.toml' ELSE '' END AS warning FROM acc LEFT JOIN cov USING (account)")
@@ -91,18 +91,18 @@ _R = f"rec AS (SELECT 'receipt:' || receipt_id AS id, purchased_on AS date, arra
 @query(_with(S, oracle.RECEIPTS, _R, f"pairs AS (SELECT 'candidate pair' AS kind, r.date AS receipt_date, b.date AS bank_date, r.merchant, r.total_cents, b.net_spend_cents, r.id AS receipt, b.id AS bank FROM rec r JOIN spending b ON {_NEAR})") + f"SELECT * FROM pairs UNION ALL SELECT 'receipt with no candidate', date, NULL, merchant, total_cents, NULL, id, NULL FROM rec r WHERE total_cents IS NOT NULL AND id NOT IN (SELECT receipt FROM pairs) UNION ALL SELECT 'charge over $75 with no receipt', NULL, date, merchant, NULL, net_spend_cents, NULL, id FROM spending b WHERE net_spend_cents > 7500 AND id NOT IN (SELECT bank FROM pairs)")
 def q7_receipt_candidates(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return reports.receipt_candidates(book.receipt_rows, views.spending(book.bank), Q7_DAYS, Q7_CENTS)
+    return reports.receipt_candidates(book.receipt_rows, views.spending(book.unflagged), Q7_DAYS, Q7_CENTS)
 
 
 @query(ORACLE["q0_monthly_by_category"])
 def q8_monthly_view(spark, sf_dir):
-    return views.monthly(ledger(spark, sf_dir).bank)
+    return views.monthly(ledger(spark, sf_dir).unflagged)
 
 
 @query(_with(S, oracle.RECEIPTS, _R) + "SELECT 'bank' AS stream, count(*) AS n, sum(net_spend_cents)::BIGINT AS cents FROM feed WHERE NOT deleted UNION ALL SELECT 'receipt', count(*), 0 FROM rec")
 def q9_everything(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return views.everything(book.bank, book.receipt_rows).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("cents"))
+    return views.everything(book.unflagged, book.receipt_rows).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("cents"))
 
 
 @query(_with(oracle.RECEIPTS, "sub AS (SELECT strftime(purchased_on, '%Y-%m') AS month, coalesce(sum(total_cents) FILTER (WHERE status IN ('ok', 'needs_review')), 0)::BIGINT AS month_cents FROM receipt_txn GROUP BY 1)") + "SELECT receipt_id, sha256(receipt_id::VARCHAR) AS sha256, merchant, purchased_on, category, status, total_cents, month, month_cents FROM receipt_txn t JOIN sub ON strftime(purchased_on, '%Y-%m') IS NOT DISTINCT FROM month")
@@ -176,7 +176,7 @@ def j3_left_outer(spark, sf_dir):
 @query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id AS receipt, b.id AS bank FROM rec r JOIN spending b ON {_NEAR}")
 def j4_range(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return reports.candidate_pairs(book.receipt_rows, views.spending(book.bank), Q7_DAYS, Q7_CENTS).select(F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
+    return reports.candidate_pairs(book.receipt_rows, views.spending(book.unflagged), Q7_DAYS, Q7_CENTS).select(F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
 
 
 @query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id FROM rec r WHERE total_cents IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spending b WHERE {_NEAR})")
@@ -355,7 +355,7 @@ def k9_manifest(spark, sf_dir):
 
 @query(_with(S) + "SELECT txn_key AS id FROM feed WHERE NOT deleted AND dated_on >= DATE '2001-07-01' AND dated_on < DATE '2001-08-01'")
 def p6_month_filter(spark, sf_dir):
-    return reports.month_filter(ledger(spark, sf_dir).bank, "2001-07").select("id")
+    return reports.month_filter(ledger(spark, sf_dir).unflagged, "2001-07").select("id")
 
 
 @query(_with(S) + "SELECT account_key AS account, sum(net_spend_cents)::BIGINT AS cents FROM spending GROUP BY 1")

@@ -25,13 +25,18 @@ class Ledger:
         self.records, self.feed_corrections, self.feed_accounts, self.polls = records, feed_corrections, feed_accounts, polls
         self.receipts, self.extractions, self.corrections = receipts, extractions, corrections
 
+    @cached_property
+    def feed_rows(self) -> DataFrame:
+        """Feed transactions without duplicate_suspect, which takes a join of the projection with itself."""
+        return project_feed(deduplicated(self.records), self.feed_corrections, self.rules)
+
     @cached_property
     def feed_transactions(self) -> DataFrame:
-        return mark_duplicates(project_feed(deduplicated(self.records), self.feed_corrections, self.rules))
+        return mark_duplicates(self.feed_rows)
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return project_accounts(self.feed_accounts, self.feed_transactions, self.rules)
+        return project_accounts(self.feed_accounts, self.feed_rows, self.rules)
 
     @cached_property
     def _receipts(self) -> tuple[DataFrame, DataFrame]:
@@ -49,6 +54,11 @@ class Ledger:
     def bank(self) -> DataFrame:
         return views.bank(self.feed_transactions)
 
+    @cached_property
+    def unflagged(self) -> DataFrame:
+        """bank without duplicate_suspect, for reports that don't read it."""
+        return views.bank(self.feed_rows).drop("duplicate_suspect")
+
     @cached_property
     def receipt_rows(self) -> DataFrame:
         return views.receipts(self.receipt_transactions, self.rules)
@@ -57,10 +67,10 @@ class Ledger:
         views.register(self.bank, self.receipt_rows, reports.balances(self.accounts), self.items, self.polls)
 
     def named(self, as_of: str) -> dict[str, DataFrame]:
-        s = views.spending(self.bank)
+        s = views.spending(self.unflagged)
         return {
             "monthly-by-category": reports.monthly_by_category(s), "top-merchants": reports.top_merchants(s, as_of), "month-over-month": reports.month_over_month(s, as_of), "recurring": reports.recurring(s, as_of),
-            "unusual": reports.unusual(s, as_of), "pending-and-restated": reports.pending_and_restated(self.bank), "balances": reports.balances(self.accounts), "receipt-candidates": reports.receipt_candidates(self.receipt_rows, s),
+            "unusual": reports.unusual(s, as_of), "pending-and-restated": reports.pending_and_restated(self.unflagged), "balances": reports.balances(self.accounts), "receipt-candidates": reports.receipt_candidates(self.receipt_rows, s),
         }
 
     def sql(self, query: str, as_of: str = "2001-08-01", **args) -> DataFrame:
@@ -83,10 +93,12 @@ class Ledger:
         broken = sinks.broken(self.receipt_rows, "net_spend_cents = 0")
         if not broken.isEmpty():
             raise ValueError("a receipt has a measure other than 0")
-        sinks.write_months(views.match_struct(self.bank), f"{path}/bank")
-        sinks.write_months(self.receipt_rows, f"{path}/receipts")
         for name, df in (("bank", self.bank), ("receipts", self.receipt_rows), ("items", self.items), ("accounts", self.accounts)):
             sinks.replace(df, f"{path}/ledger/{name}")
-        sinks.manifest(self.bank, self.receipt_rows, self.polls).write.mode("overwrite").json(f"{path}/manifest")
+        # the projections are evaluated once; month files and manifest come from what was written
+        bank, receipts = (self.spark.read.parquet(f"{path}/ledger/{name}") for name in ("bank", "receipts"))
+        sinks.write_months(views.match_struct(bank), f"{path}/bank")
+        sinks.write_months(receipts, f"{path}/receipts")
+        sinks.manifest(bank, receipts, self.polls).write.mode("overwrite").json(f"{path}/manifest")
         doc = sinks.documentation({"bank": BANK, "receipts": RECEIPT_LEDGER})
         self.spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")

@@ -77,24 +77,40 @@ def _near(days: int, cents: int) -> Column:
     return (F.col("r.merchant_key") == F.col("b.merchant_key")) & (F.abs(F.datediff("r.date", "b.date")) <= days) & (F.abs(F.col("r.total_cents") - F.col("b.net_spend_cents")) <= cents)
 
 
-def candidate_pairs(receipts: DataFrame, spending: DataFrame, days: int = 4, cents: int = 2) -> DataFrame:
-    """Receipts and charges of one merchant, near in day and amount.
+def _in_bucket(rows: DataFrame, days: int) -> DataFrame:
+    """Adds __b, the row's bucket of days. Rows without a date match nothing and are spread by their ids."""
+    return rows.withColumn("__b", F.coalesce(_bucket(F.col("date"), days), F.xxhash64("id")))
 
-    Days are cut into buckets as wide as the tolerance, and each charge is offered to its own and both
-    neighbours, so one merchant's rows spread over as many tasks as it has buckets.
+
+def _in_near_buckets(rows: DataFrame, days: int) -> DataFrame:
+    """Each row once in every bucket of days that its tolerance reaches: two at most."""
+    usable = rows.filter("merchant_key is not null and date is not null")
+    return usable.withColumn("__b", F.explode(F.array_distinct(F.array(_bucket(F.date_sub("date", days), days), _bucket(F.date_add("date", days), days)))))
+
+
+def _bucket(day: Column, days: int) -> Column:
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (2 * days + 1))
+
+
+def candidate_pairs(receipts: DataFrame, spending: DataFrame, days: int = 4, cents: int = 2, how: str = "inner") -> DataFrame:
+    """Receipts (alias r) and charges (alias b) of one merchant, near in day and amount.
+
+    Days are cut into buckets as wide as the tolerance, and each charge is offered to those it reaches, so
+    one merchant's rows spread over as many tasks as it has buckets. how="left" keeps receipts without a charge.
     """
-    width = 2 * days + 1
-    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
-    r = receipts.filter("merchant_key is not null and date is not null and total_cents is not null").withColumn("__b", bucket(F.col("date")))
-    b = spending.filter("merchant_key is not null and date is not null").withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.date_sub("date", days)), bucket(F.date_add("date", days))))))
-    return r.alias("r").join(b.alias("b"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents))
+    r, b = _in_bucket(receipts, days), _in_near_buckets(spending, days)
+    return r.alias("r").join(b.alias("b"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents), how)
 
 
 def receipt_candidates(receipts: DataFrame, spending: DataFrame, days: int = 4, cents: int = 2, over: int = 7500) -> DataFrame:
-    pairs = candidate_pairs(receipts, spending, days, cents).select(F.lit("candidate pair").alias("kind"), F.col("r.date").alias("receipt_date"), F.col("b.date").alias("bank_date"), F.col("r.merchant").alias("merchant"), F.col("r.total_cents").alias("total_cents"), F.col("b.net_spend_cents").alias("net_spend_cents"), F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
-    alone = receipts.filter("total_cents is not null").join(pairs.select(F.col("receipt").alias("id")).distinct(), "id", "left_anti").select(F.lit("receipt with no candidate").alias("kind"), F.col("date").alias("receipt_date"), "merchant", "total_cents", F.col("id").alias("receipt"))
-    large = spending.filter(F.col("net_spend_cents") > over).join(pairs.select(F.col("bank").alias("id")).distinct(), "id", "left_anti").select(F.lit("charge over $75 with no receipt").alias("kind"), F.col("date").alias("bank_date"), "merchant", "net_spend_cents", F.col("id").alias("bank"))
-    return pairs.unionByName(alone, allowMissingColumns=True).unionByName(large, allowMissingColumns=True).orderBy("kind", "receipt_date", "bank_date")
+    """Candidate pairs, receipts without one, and large charges without one: one join from each side."""
+    receipts = receipts.filter("total_cents is not null").select("id", "date", "merchant", "merchant_key", "total_cents")
+    spending = spending.select("id", "date", "merchant", "merchant_key", "net_spend_cents")
+    kind = F.when(F.col("b.id").isNull(), "receipt with no candidate").otherwise("candidate pair")
+    offered = candidate_pairs(receipts, spending, days, cents, "left").select(kind.alias("kind"), F.col("r.date").alias("receipt_date"), F.col("b.date").alias("bank_date"), F.col("r.merchant").alias("merchant"), F.col("r.total_cents").alias("total_cents"), F.col("b.net_spend_cents").alias("net_spend_cents"), F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
+    large, near = _in_bucket(spending.filter(F.col("net_spend_cents") > over), days), _in_near_buckets(receipts, days)
+    alone = large.alias("b").join(near.alias("r"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents), "left_anti").select(F.lit("charge over $75 with no receipt").alias("kind"), F.col("date").alias("bank_date"), "merchant", "net_spend_cents", F.col("id").alias("bank"))
+    return offered.unionByName(alone, allowMissingColumns=True).orderBy("kind", "receipt_date", "bank_date")
 
 
 def receipt_page(transactions: DataFrame, receipts: DataFrame, month: str | None = None, category: str | None = None, review: bool = False) -> DataFrame:
