@@ -38,11 +38,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs every document into sequences of at most 4096 tokens; null and empty texts are one end token, repeated rows are packed each."""
     return pack_documents(docs, tokenizer_path(), 4096, 1)
 
 
 STAGES = [("toxicity", toxicity_stage), ("near duplicates", dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("best-fit packing", pack_stage)]
-#: Trained models and tokenizers are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Trained models and tokenizers are beyond SQL; tests/llm runs all stages on a fixture with planted rows, and the operators' tests hold most of their parts against brute force.
 ORACLE_SQL = None
 
 
