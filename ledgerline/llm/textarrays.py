@@ -59,7 +59,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts take about most_bytes (one longer text is a slice of its own).
 
     Yields (slice, bytes, offsets): text i is bytes[offsets[i]:offsets[i + 1]]; null counts as empty.

@@ -61,7 +61,7 @@ class Subwords:
             of.append(np.repeat(own, count))
         return (np.concatenate(entries) % np.uint64(self.buckets)).astype(np.int32), np.concatenate(of).astype(np.int32), words, first, keys
 
-    def of_texts(self, texts: list[str], slice_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def of_texts(self, texts: list[str], slice_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(entry buckets, entry words, text of each distinct (text, word) pair, its word), a slice at a time, so that memory follows the distinct words."""
         seen, bucket, of, doc, word = np.zeros(0, np.uint64), [], [], [], []
         number = np.zeros(0, np.int64)
@@ -152,8 +152,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords
 
 def logits(model: Model, texts: list[str]) -> np.ndarray:
     out = []
-    for lo in range(0, len(texts), 64):  # bounds the memory
-        raw = [t.encode() for t in texts[lo : lo + 64]]
+    for lo in range(0, len(texts), 32):  # bounds the memory
+        raw = [t.encode() for t in texts[lo : lo + 32]]
         out.append(model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
     return np.concatenate(out) if out else np.zeros(0)
 
