@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import filteraudit
+from ledgerline.llm import filteraudit, vectorcodes
 from ledgerline.llm.storage import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,5 +95,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing, op12_filter_audit)}
-ORACLE: dict[str, str] = {"op12_filter_audit": filteraudit.SQL}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.vectorcodes import compress
+
+    return compress(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing, op12_filter_audit, op13_vector_codes)}
+ORACLE: dict[str, str] = {"op12_filter_audit": filteraudit.SQL, "op13_vector_codes": vectorcodes.SQL}
