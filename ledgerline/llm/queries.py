@@ -89,6 +89,12 @@ def op9_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_summary(read(spark, sf_dir, "documents"))
 
 
+def op11_fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerline.llm.fuzzyhash import half_edits
+
+    return half_edits(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerline.llm.filteraudit import audit
 
@@ -101,5 +107,5 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing, op12_filter_audit, op13_vector_codes)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_scoring, op3_minhash, op4_pii, op5_language_id, op6_token_counts, op7_decontamination, op8_toxicity, op9_audio_features, op10_best_fit_packing, op11_fuzzy_fingerprints, op12_filter_audit, op13_vector_codes)}
 ORACLE: dict[str, str] = {"op12_filter_audit": filteraudit.SQL, "op13_vector_codes": vectorcodes.SQL}
