@@ -13,12 +13,12 @@ from ledgerline.llm.minhash import without_near_duplicates
 from ledgerline.llm.packing import pack_documents
 from ledgerline.llm.pii import mask
 from ledgerline.llm.queries import pii_key, tokenizer_path
-from ledgerline.llm.storage import materialize, read
+from ledgerline.llm.storage import discard, materialize, read
 from ledgerline.llm.toxicity import clean_documents
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the toxicity model rejects."""
+    """Drops the documents that the toxicity model rejects; null and empty texts score the share of label 1, repeated rows alike."""
     return clean_documents(docs, read(spark, sf_dir, "labels"))
 
 
@@ -28,12 +28,12 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold benchmark passages."""
+    """Drops the documents that hold benchmark passages; null and empty texts hold none, repeated rows go or stay together."""
     return without_leaks(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal numbers and dates by pseudonyms; all rows stay."""
+    """Replaces personal numbers and dates by pseudonyms; all rows stay, null texts too."""
     return mask(docs, pii_key(spark))
 
 
@@ -48,8 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES over documents, each one's result written to the shared folder and read back by the next."""
-    docs = read(spark, sf_dir, "documents")
+    """STAGES over documents, each one's result written to the shared folder and read back by the next, then deleted."""
+    docs, written = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(*written)
+        written = [docs]
     return docs

@@ -30,7 +30,9 @@ def _power(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 16)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if size <= 1 << 20:  # those of longer texts go with the text
+            _powers[base] = have
     return have[:n]
 
 
