@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import local_date
@@ -10,12 +10,13 @@ from ledgerline.functions.money import inflow, outflow
 from ledgerline.functions.text import merchant_key, merchant_name, truthy
 from ledgerline.operators.observations import collapsed, edit, edited, last_edits
 from ledgerline.rules import Rules
-from ledgerline.schemas import FEED_FIELDS, FLOWS, SPENDING_FLOWS
+from ledgerline.schemas import COST_FLOWS, FEED_FIELDS, FLOWS, OUTGO
+from ledgerline.storage import once
 
 
 def structural_flow(amount: Column, kind: Column) -> Column:
     """What sign and account kind imply when nothing else says."""
-    return F.when(amount.isNull(), "unknown").when(amount < 0, "spend").when(kind == "credit", "refund").when(kind.isin("checking", "savings"), "income").otherwise("unknown")
+    return F.when(amount.isNull(), "unknown").when(amount < 0, OUTGO).when(kind == "credit", "refund").when(kind.isin("checking", "savings"), "income").otherwise("unknown")
 
 
 def with_accounts(rows: DataFrame, rules: Rules, native: str = "native_account") -> DataFrame:
@@ -64,19 +65,19 @@ def project_feed(records: DataFrame, corrections: DataFrame, rules: Rules) -> Da
         "flow": F.coalesce(manual_flow, rules.flows.match_spaced(F.col("description")), F.nullif("flow_hint", F.lit("")), structural_flow(F.col("amount_cents"), F.col("kind"))),
         "category": F.when(edited("category"), edit("category")).otherwise(rules.categories.match(F.col("merchant"))),
     })
-    counts = F.col("flow").isin(*SPENDING_FLOWS) & ~F.col("deleted") & F.col("amount_cents").isNotNull()
+    counts = F.col("flow").isin(*COST_FLOWS) & ~F.col("deleted") & F.col("amount_cents").isNotNull()
     status, reason = status_of(F.col("unmapped"))
     rows = rows.withColumns({
         "outflow_cents": outflow(F.col("amount_cents")),
         "inflow_cents": inflow(F.col("amount_cents")),
-        "counts_as_spending": counts,
-        "net_spend_cents": F.when(counts, -F.col("amount_cents")).otherwise(F.lit(0)),
+        "counts_as_cost": counts,
+        "net_cost_cents": F.when(counts, -F.col("amount_cents")).otherwise(F.lit(0)),
         "status": status,
         "review_reason": reason,
     })
     return rows.select(
         "txn_key", "account_key", "account_name", "kind", "institution", "source", "native_account", "external_id", F.col("uid").alias("record_uid"), "posted_on", "transacted_on", "dated_on", "pending", "currency", "amount_cents",
-        "outflow_cents", "inflow_cents", "net_spend_cents", "counts_as_spending", "description", "merchant", "merchant_key", "category", "flow", "status", "review_reason", "first_seen_at", "last_seen_at", "revisions", "amount_changed", "deleted", "unmapped",
+        "outflow_cents", "inflow_cents", "net_cost_cents", "counts_as_cost", "description", "merchant", "merchant_key", "category", "flow", "status", "review_reason", "first_seen_at", "last_seen_at", "revisions", "amount_changed", "deleted", "unmapped",
     )
 
 
@@ -85,7 +86,9 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
 
     The first row of a fingerprint is an aggregate joined back, so a fingerprint that many rows share is
     summed before it is shuffled, and the join's hot side can be split. Rows without day or amount are never flagged.
+    rows are evaluated once, into the shared folder.
     """
+    rows = once(rows, "feed-rows")
     keys = ["account_key", "dated_on", "amount_cents", "merchant_key"]
     usable = F.col("dated_on").isNotNull() & F.col("amount_cents").isNotNull()
     first = rows.filter(usable).groupBy(*keys).agg(F.min_by("native_account", "txn_key").alias("__first")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__first")
@@ -97,13 +100,6 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
     return out.withColumn("duplicate_suspect", usable & F.coalesce(F.col("__first") != F.col("native_account"), F.lit(False))).select(*rows.columns, "duplicate_suspect")
 
 
-def mark_duplicates_windowed(rows: DataFrame) -> DataFrame:
-    """mark_duplicates() as one window, for tables without hot fingerprints."""
-    w = Window.partitionBy("account_key", "dated_on", "amount_cents", "merchant_key").orderBy("txn_key")
-    usable = F.col("dated_on").isNotNull() & F.col("amount_cents").isNotNull()
-    return rows.withColumn("duplicate_suspect", usable & (F.first("native_account").over(w) != F.col("native_account")))
-
-
 def project_accounts(observations: DataFrame, transactions: DataFrame, rules: Rules) -> DataFrame:
     """One row an account: attributes from its first native id, balance from the newest observation, coverage from dated rows."""
     newest = observations.groupBy("source", "native_id").agg(F.max_by(F.struct("name", "org_name", "currency", "balance_cents", "balance_at", "observed_at"), F.struct("observed_at", "uid")).alias("o")).select("source", "native_id", "o.*")

@@ -14,6 +14,8 @@ from ledgerline.rules import Rules
 from ledgerline.schemas import RECEIPT_FIELDS
 
 TOLERANCE_CENTS = 2
+#: Seconds until a failed attempt is repeated, at first and at most.
+RETRY_SECONDS, RETRY_MOST_SECONDS = 15, 300
 ITEM = r"^item\.(\d+)\.(description|qty|unit_price|total)$"
 
 
@@ -92,3 +94,22 @@ def _result(status: str, reason):
 def work_queue(receipts: DataFrame, extractions: DataFrame) -> DataFrame:
     """Receipts without a successful extraction."""
     return receipts.join(extractions.filter("status = 'ok'").select("receipt_id"), "receipt_id", "left_anti").select("receipt_id")
+
+
+def retry_schedule(attempts: DataFrame, by: list[str], first_seconds: int = RETRY_SECONDS, most_seconds: int = RETRY_MOST_SECONDS) -> DataFrame:
+    """(by, failures, last_at, due_at): what failed since its last success, and when it is due again; nothing for what succeeded last.
+
+    attempts: (by, id, created_at, status); the delay doubles with each failure in a row, from first_seconds up to
+    most_seconds. Attempts of one time come by id, those without a time before all others; a success is status `ok`.
+    Both steps are partial aggregations, so an item with most of the attempts is no task of its own.
+    """
+    order = F.struct("created_at", "id")
+    last_ok = attempts.groupBy(*by).agg(F.max(F.when(F.col("status") == "ok", order)).alias("__ok"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(f"a.{b}").eqNullSafe(F.col(f"o.{b}"))
+    since = attempts.alias("a").join(last_ok.alias("o"), same).filter(F.col("__ok").isNull() | (F.struct("a.created_at", "a.id") > F.col("__ok")))
+    told = since.groupBy(*[F.col(f"a.{b}").alias(b) for b in by]).agg(F.count(F.lit(1)).alias("failures"), F.max("a.created_at").alias("last_at"))
+    steps = F.least(F.col("failures") - 1, F.lit(40))  # beyond that any delay is over the most
+    delay = F.least(F.lit(first_seconds) * F.pow(F.lit(2.0), steps), F.lit(float(most_seconds))).cast("bigint")
+    return told.withColumn("due_at", F.timestamp_micros(F.unix_micros("last_at") + delay * 1_000_000))

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 
 from ledgerline import rules as rule_files
 from ledgerline.functions.ids import content_hash
-from ledgerline.rules import Accounts, Rules
+from ledgerline.rules import Accounts, Ordered, Rules
 
 AS_OF = "2001-08-01"
 PREFIXES = ("SQ *", "TST* ", "POS DEBIT 09/12 ", "", "ACH PMT ", "PAYPAL *", "CHECKCARD 09/12 ")
 ACCOUNTS = tuple((f"account-{i}", {"name": f"Account {i}", "kind": ("checking", "savings", "credit")[min(i, 2)], "institution": "First Bank" if i < 3 else "Second Bank", "native": [f"ACT-{i}"]}) for i in range(6))
 
 
+#: What the tables' parts are called, as further fragments of the shipped categories.
+PART_WORDS = {"groceries": "widget", "transport": "gear", "household": ("anvil", "bolt"), "entertainment": "gizmo", "clothing": "ring"}
+
+
 def rules() -> Rules:
     base = rule_files.load(tz="UTC")
-    return Rules(base.categories, base.merchants, base.flows, Accounts(ACCOUNTS), "UTC")
+    words = {k: (w,) if isinstance(w, str) else w for k, w in PART_WORDS.items()}
+    categories = Ordered(tuple((label, fragments + words.get(label, ())) for label, fragments in base.categories.entries))
+    return Rules(categories, base.merchants, base.flows, Accounts(ACCOUNTS), "UTC")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +39,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(parts, lines["l_partkey"] == parts["p_partkey"])
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    unread = F.col("l_orderkey") % 67 == 0
     prefix = F.element_at(F.array(*[F.lit(p) for p in PREFIXES]), (F.col("l_linenumber") % len(PREFIXES)).cast("int") + 1)
     rows = rows.select(
         F.when(F.col("l_orderkey") % 2 == 0, "simplefin").otherwise("drop").alias("source"),
@@ -41,10 +48,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("posted_at"),
         F.when(F.col("l_linenumber") % 3 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("transacted_at"),
         (F.col("l_linestatus") == "O").alias("pending"),
-        F.when(F.col("l_returnflag") == "R", cents).otherwise(-cents).alias("amount_cents"),
+        F.when(~unread, F.when(F.col("l_returnflag") == "R", cents).otherwise(-cents)).alias("amount_cents"),
         F.lit("USD").alias("currency"),
         F.concat(prefix, F.upper("p_name"), F.lit(" #"), F.col("l_suppkey").cast("string")).alias("description"),
-        *[F.lit(None).cast("string").alias(c) for c in ("payee", "memo", "flow_hint", "reject_reason", "poll_uid")],
+        F.when(F.col("l_orderkey") % 53 == 0, "Direct Payee").when(F.col("l_orderkey") % 59 == 0, "").alias("payee"),
+        F.when(F.col("l_orderkey") % 59 == 0, "by mail").alias("memo"),
+        F.when(F.col("l_orderkey") % 61 == 0, "transfer").when(F.col("l_orderkey") % 71 == 0, "").alias("flow_hint"),
+        F.when(unread, "not an amount: '?'").alias("reject_reason"),
+        F.lit(None).cast("string").alias("poll_uid"),
         F.col("l_shipdate").alias("observed_at"),
         F.sha2(F.concat_ws("|", "l_partkey", "l_suppkey", cents, F.round(F.col("l_quantity") * 100).cast("bigint"), F.round(F.col("l_discount") * 100).cast("bigint"), F.round(F.col("l_tax") * 100).cast("bigint"), "l_returnflag", "l_linestatus"), 256).alias("uid"),
     )
@@ -52,13 +63,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hand edits of some transactions: a category set, one cleared, one deleted."""
+    """Hand edits of some transactions: a category set or cleared, a merchant, a flow (known or not), a deletion."""
     from ledgerline.functions.ids import txn_key
 
     r = records(spark, sf_dir).select("source", "native_account", "external_id").distinct().withColumn("n", F.substring_index("external_id", "-", 1).cast("bigint"))
     key = txn_key(F.col("source"), F.col("native_account"), F.col("external_id")).alias("txn_key")
-    field = F.when(F.col("n") % 101 == 0, "deleted").when(F.col("n") % 37 == 0, "category").when(F.col("n") % 41 == 0, "merchant")
-    value = F.when(F.col("n") % 101 == 0, "1").when((F.col("n") % 37 == 0) & (F.col("n") % 2 == 0), "services").when((F.col("n") % 37 != 0) & (F.col("n") % 41 == 0), "Corner Shop")
+    field = F.when(F.col("n") % 101 == 0, "deleted").when(F.col("n") % 37 == 0, "category").when(F.col("n") % 41 == 0, "merchant").when(F.col("n") % 43 == 0, "flow")
+    value = F.when(F.col("n") % 101 == 0, "1").when((F.col("n") % 37 == 0) & (F.col("n") % 2 == 0), "services").when((F.col("n") % 37 != 0) & (F.col("n") % 41 == 0), "Corner Shop").when((F.col("n") % 37 != 0) & (F.col("n") % 43 == 0), F.when(F.col("n") % 2 == 0, "fee").otherwise("nonsense"))
     at = F.lit("2001-01-01").cast("timestamp")
     return r.select(key, field.alias("field"), value.alias("value"), at.alias("created_at"), F.lit("a").alias("uid")).filter("field is not null")
 

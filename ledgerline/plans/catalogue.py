@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import dates, ids, money, payload, text
 from ledgerline.operators import feed as feed_ops
+from ledgerline.operators import lines, reconciliation, retention
 from ledgerline.operators import observations as obs
 from ledgerline.operators.receipts import project_receipts, work_queue
 from ledgerline.plans import adapter, oracle, reports, schedule, views
 from ledgerline.plans.ledger import Ledger
+from ledgerline.schemas import OUTGO
 from ledgerline.shipping import ship_package
 from ledgerline.sources import eventlog, sinks
+from ledgerline.storage import once
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,8 +40,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _spending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.spending(ledger(spark, sf_dir).unflagged)
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.costs(ledger(spark, sf_dir).unflagged)
 
 
 def _with(*parts: str) -> str:
@@ -48,32 +51,32 @@ def _with(*parts: str) -> str:
 S = oracle.FEED
 
 
-@query(_with(S) + "SELECT month, coalesce(category, 'uncategorised') AS category, count(*) AS n, sum(net_spend_cents)::BIGINT AS cents FROM spending GROUP BY 1, 2")
+@query(_with(S) + "SELECT month, coalesce(category, 'uncategorised') AS category, count(*) AS n, sum(net_cost_cents)::BIGINT AS cents FROM costs GROUP BY 1, 2")
 def q0_monthly_by_category(spark, sf_dir):
-    return reports.monthly_by_category(_spending(spark, sf_dir))
+    return reports.monthly_by_category(_costs(spark, sf_dir))
 
 
-@query(_with(S) + f"SELECT merchant, n, cents, mean_cents, first_seen, last_seen FROM (SELECT merchant_key, merchant, count(*) AS n, sum(net_spend_cents)::BIGINT AS cents, trunc(avg(net_spend_cents))::BIGINT AS mean_cents, min(date) AS first_seen, max(date) AS last_seen FROM spending WHERE date >= {ASD} - 90 GROUP BY 1, 2 ORDER BY cents DESC, merchant_key, merchant LIMIT 30)")
+@query(_with(S) + f"SELECT merchant, n, cents, mean_cents, first_seen, last_seen FROM (SELECT merchant_key, merchant, count(*) AS n, sum(net_cost_cents)::BIGINT AS cents, trunc(avg(net_cost_cents))::BIGINT AS mean_cents, min(date) AS first_seen, max(date) AS last_seen FROM costs WHERE date >= {ASD} - 90 GROUP BY 1, 2 ORDER BY cents DESC, merchant_key, merchant LIMIT 30)")
 def q1_top_merchants(spark, sf_dir):
-    return reports.top_merchants(_spending(spark, sf_dir), AS_OF)
+    return reports.top_merchants(_costs(spark, sf_dir), AS_OF)
 
 
-@query(_with(S, oracle.MONTHS, "per AS (SELECT month, coalesce(category, 'uncategorised') AS category, sum(net_spend_cents)::BIGINT AS cents FROM spending WHERE month IN (SELECT month FROM months) GROUP BY 1, 2)", "two AS (SELECT category, max(CASE WHEN month = (SELECT max(month) FROM months) THEN cents END) AS this_month, trunc(avg(CASE WHEN month <> (SELECT max(month) FROM months) THEN cents END))::BIGINT AS prior_mean FROM per GROUP BY 1)") + "SELECT category, this_month, prior_mean, this_month - prior_mean AS delta FROM two")
+@query(_with(S, oracle.MONTHS, "per AS (SELECT month, coalesce(category, 'uncategorised') AS category, sum(net_cost_cents)::BIGINT AS cents FROM costs WHERE month IN (SELECT month FROM months) GROUP BY 1, 2)", "two AS (SELECT category, max(CASE WHEN month = (SELECT max(month) FROM months) THEN cents END) AS this_month, trunc(avg(CASE WHEN month <> (SELECT max(month) FROM months) THEN cents END))::BIGINT AS prior_mean FROM per GROUP BY 1)") + "SELECT category, this_month, prior_mean, this_month - prior_mean AS delta FROM two")
 def q2_month_over_month(spark, sf_dir):
-    return reports.month_over_month(_spending(spark, sf_dir), AS_OF)
+    return reports.month_over_month(_costs(spark, sf_dir), AS_OF)
 
 
-@query(_with(S, oracle.MONTHS, "hits AS (SELECT merchant_key, merchant, month, sum(net_spend_cents)::BIGINT AS cents FROM spending WHERE month IN (SELECT month FROM months) AND merchant_key IS NOT NULL GROUP BY 1, 2, 3)") + "SELECT merchant, count(*) AS months_charged, min(cents) AS low_cents, max(cents) AS high_cents, trunc(avg(cents))::BIGINT AS typical_cents FROM hits GROUP BY merchant_key, merchant HAVING count(*) >= 3 AND max(cents) - min(cents) <= avg(cents) * 0.75")
+@query(_with(S, oracle.MONTHS, "hits AS (SELECT merchant_key, merchant, month, sum(net_cost_cents)::BIGINT AS cents FROM costs WHERE month IN (SELECT month FROM months) AND merchant_key IS NOT NULL GROUP BY 1, 2, 3)") + "SELECT merchant, count(*) AS months_charged, min(cents) AS low_cents, max(cents) AS high_cents, trunc(avg(cents))::BIGINT AS typical_cents FROM hits GROUP BY merchant_key, merchant HAVING count(*) >= 3 AND max(cents) - min(cents) <= avg(cents) * 0.75")
 def q3_recurring(spark, sf_dir):
-    return reports.recurring(_spending(spark, sf_dir), AS_OF, spread=0.75)
+    return reports.recurring(_costs(spark, sf_dir), AS_OF, spread=0.75)
 
 
-@query(_with(S, "stats AS (SELECT merchant_key, avg(net_spend_cents) AS mean, count(*) AS times FROM spending WHERE merchant_key IS NOT NULL GROUP BY 1)") + f"SELECT date, merchant, category, net_spend_cents AS cents, trunc(mean)::BIGINT AS merchant_mean, CASE WHEN times = 1 THEN 'first time here' ELSE 'well above its usual' END AS why FROM spending JOIN stats USING (merchant_key) WHERE date >= {ASD} - 180 AND ((times > 1 AND net_spend_cents > mean * 3) OR (times = 1 AND net_spend_cents > 10000))")
+@query(_with(S, "stats AS (SELECT merchant_key, avg(net_cost_cents) AS mean, count(*) AS times FROM costs WHERE merchant_key IS NOT NULL GROUP BY 1)") + f"SELECT date, merchant, category, net_cost_cents AS cents, trunc(mean)::BIGINT AS merchant_mean, CASE WHEN times = 1 THEN 'first time here' ELSE 'well above its usual' END AS why FROM costs JOIN stats USING (merchant_key) WHERE date >= {ASD} - 180 AND ((times > 1 AND net_cost_cents > mean * 3) OR (times = 1 AND net_cost_cents > 10000))")
 def q4_unusual(spark, sf_dir):
-    return reports.unusual(_spending(spark, sf_dir), AS_OF)
+    return reports.unusual(_costs(spark, sf_dir), AS_OF)
 
 
-@query(_with(S) + "SELECT dated_on AS date, account_key AS account, merchant, description, flow, amount_cents, net_spend_cents, revisions, status, review_reason, CASE WHEN pending THEN 'not settled yet' ELSE 'restated after posting' END AS what FROM feed WHERE NOT deleted AND (pending OR amount_changed OR status = 'needs_review')")
+@query(_with(S) + "SELECT dated_on AS date, account_key AS account, merchant, description, flow, amount_cents, net_cost_cents, revisions, status, review_reason, CASE WHEN pending THEN 'not settled yet' ELSE 'restated after posting' END AS what FROM feed WHERE NOT deleted AND (pending OR amount_changed OR status = 'needs_review')")
 def q5_pending_and_restated(spark, sf_dir):
     return reports.pending_and_restated(ledger(spark, sf_dir).unflagged)
 
@@ -84,14 +87,14 @@ def q6_balances(spark, sf_dir):
 
 
 Q7_DAYS, Q7_CENTS = 4, 100_000
-_NEAR = f"r.merchant_key = b.merchant_key AND abs(date_diff('day', b.date, r.date)) <= {Q7_DAYS} AND abs(r.total_cents - b.net_spend_cents) <= {Q7_CENTS}"
+_NEAR = f"r.merchant_key = b.merchant_key AND abs(date_diff('day', b.date, r.date)) <= {Q7_DAYS} AND abs(r.total_cents - b.net_cost_cents) <= {Q7_CENTS}"
 _R = f"rec AS (SELECT 'receipt:' || receipt_id AS id, purchased_on AS date, array_to_string(list_transform(string_split(merchant, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS merchant, merchant_key, total_cents FROM receipt_txn)"
 
 
-@query(_with(S, oracle.RECEIPTS, _R, f"pairs AS (SELECT 'candidate pair' AS kind, r.date AS receipt_date, b.date AS bank_date, r.merchant, r.total_cents, b.net_spend_cents, r.id AS receipt, b.id AS bank FROM rec r JOIN spending b ON {_NEAR})") + f"SELECT * FROM pairs UNION ALL SELECT 'receipt with no candidate', date, NULL, merchant, total_cents, NULL, id, NULL FROM rec r WHERE total_cents IS NOT NULL AND id NOT IN (SELECT receipt FROM pairs) UNION ALL SELECT 'charge over $75 with no receipt', NULL, date, merchant, NULL, net_spend_cents, NULL, id FROM spending b WHERE net_spend_cents > 7500 AND id NOT IN (SELECT bank FROM pairs)")
+@query(_with(S, oracle.RECEIPTS, _R, f"pairs AS (SELECT 'candidate pair' AS kind, r.date AS receipt_date, b.date AS bank_date, r.merchant, r.total_cents, b.net_cost_cents, r.id AS receipt, b.id AS bank FROM rec r JOIN costs b ON {_NEAR})") + f"SELECT * FROM pairs UNION ALL SELECT 'receipt with no candidate', date, NULL, merchant, total_cents, NULL, id, NULL FROM rec r WHERE total_cents IS NOT NULL AND id NOT IN (SELECT receipt FROM pairs) UNION ALL SELECT 'charge over $75 with no receipt', NULL, date, merchant, NULL, net_cost_cents, NULL, id FROM costs b WHERE net_cost_cents > 7500 AND id NOT IN (SELECT bank FROM pairs)")
 def q7_receipt_candidates(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return reports.receipt_candidates(book.receipt_rows, views.spending(book.unflagged), Q7_DAYS, Q7_CENTS)
+    return reports.receipt_candidates(book.receipt_rows, views.costs(book.unflagged), Q7_DAYS, Q7_CENTS)
 
 
 @query(ORACLE["q0_monthly_by_category"])
@@ -99,10 +102,10 @@ def q8_monthly_view(spark, sf_dir):
     return views.monthly(ledger(spark, sf_dir).unflagged)
 
 
-@query(_with(S, oracle.RECEIPTS, _R) + "SELECT 'bank' AS stream, count(*) AS n, sum(net_spend_cents)::BIGINT AS cents FROM feed WHERE NOT deleted UNION ALL SELECT 'receipt', count(*), 0 FROM rec")
+@query(_with(S, oracle.RECEIPTS, _R) + "SELECT 'bank' AS stream, count(*) AS n, sum(net_cost_cents)::BIGINT AS cents FROM feed WHERE NOT deleted UNION ALL SELECT 'receipt', count(*), 0 FROM rec")
 def q9_everything(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return views.everything(book.unflagged, book.receipt_rows).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("cents"))
+    return views.everything(book.unflagged, book.receipt_rows).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.sum("net_cost_cents").alias("cents"))
 
 
 @query(_with(oracle.RECEIPTS, "sub AS (SELECT strftime(purchased_on, '%Y-%m') AS month, coalesce(sum(total_cents) FILTER (WHERE status IN ('ok', 'needs_review')), 0)::BIGINT AS month_cents FROM receipt_txn GROUP BY 1)") + "SELECT receipt_id, sha256(receipt_id::VARCHAR) AS sha256, merchant, purchased_on, category, status, total_cents, month, month_cents FROM receipt_txn t JOIN sub ON strftime(purchased_on, '%Y-%m') IS NOT DISTINCT FROM month")
@@ -170,16 +173,16 @@ def j1_inner(spark, sf_dir):
 
 @query(_with(S) + "SELECT txn_key, CASE WHEN unmapped THEN NULL ELSE 'Account ' || substr(native_account, 5) END AS account_name, kind FROM feed")
 def j3_left_outer(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.select("txn_key", "account_name", "kind")
+    return ledger(spark, sf_dir).feed_rows.select("txn_key", "account_name", "kind")
 
 
-@query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id AS receipt, b.id AS bank FROM rec r JOIN spending b ON {_NEAR}")
+@query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id AS receipt, b.id AS bank FROM rec r JOIN costs b ON {_NEAR}")
 def j4_range(spark, sf_dir):
     book = ledger(spark, sf_dir)
-    return reports.candidate_pairs(book.receipt_rows, views.spending(book.unflagged), Q7_DAYS, Q7_CENTS).select(F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
+    return reports.candidate_pairs(book.receipt_rows, views.costs(book.unflagged), Q7_DAYS, Q7_CENTS).select(F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
 
 
-@query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id FROM rec r WHERE total_cents IS NOT NULL AND NOT EXISTS (SELECT 1 FROM spending b WHERE {_NEAR})")
+@query(_with(S, oracle.RECEIPTS, _R) + f"SELECT r.id FROM rec r WHERE total_cents IS NOT NULL AND NOT EXISTS (SELECT 1 FROM costs b WHERE {_NEAR})")
 def j5_anti_range(spark, sf_dir):
     return q7_receipt_candidates(spark, sf_dir).filter("kind = 'receipt with no candidate'").select(F.col("receipt").alias("id"))
 
@@ -190,9 +193,9 @@ def j6_work_queue(spark, sf_dir):
     return work_queue(book.receipts, book.extractions)
 
 
-@query(_with(S, oracle.MONTHS) + "SELECT id FROM spending WHERE month IN (SELECT month FROM months)")
+@query(_with(S, oracle.MONTHS) + "SELECT id FROM costs WHERE month IN (SELECT month FROM months)")
 def j7_semi(spark, sf_dir):
-    s = _spending(spark, sf_dir)
+    s = once(_costs(spark, sf_dir).select("id", "date"), "costs")
     return s.withColumn("month", dates.month_key(F.col("date"))).join(F.broadcast(reports.recent_months(s, AS_OF)), "month", "left_semi").select("id")
 
 
@@ -229,9 +232,9 @@ def a22_daily_calls(spark, sf_dir):
     return schedule.calls_on(adapter.polls(spark, sf_dir), "2024-01-10")
 
 
-@query(_with(S, _DUP) + "SELECT txn_key, account_key, source, posted_on, transacted_on, dated_on, pending, amount_cents, outflow_cents, inflow_cents, net_spend_cents, counts AS counts_as_spending, merchant, merchant_key, category, flow, status, review_reason, revisions, amount_changed, deleted, duplicate_suspect FROM dup")
+@query(_with(S, _DUP) + "SELECT txn_key, account_key, source, posted_on, transacted_on, dated_on, pending, amount_cents, outflow_cents, inflow_cents, net_cost_cents, counts AS counts_as_cost, merchant, merchant_key, category, flow, status, review_reason, revisions, amount_changed, deleted, duplicate_suspect FROM dup")
 def x3_project_feed(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.select("txn_key", "account_key", "source", "posted_on", "transacted_on", "dated_on", "pending", "amount_cents", "outflow_cents", "inflow_cents", "net_spend_cents", "counts_as_spending", "merchant", "merchant_key", "category", "flow", "status", "review_reason", "revisions", "amount_changed", "deleted", "duplicate_suspect")
+    return ledger(spark, sf_dir).feed_transactions.select("txn_key", "account_key", "source", "posted_on", "transacted_on", "dated_on", "pending", "amount_cents", "outflow_cents", "inflow_cents", "net_cost_cents", "counts_as_cost", "merchant", "merchant_key", "category", "flow", "status", "review_reason", "revisions", "amount_changed", "deleted", "duplicate_suspect")
 
 
 @query(_with(oracle.RECEIPTS) + "SELECT receipt_id, merchant, merchant_key, purchased_on, total_cents, category, status FROM receipt_txn")
@@ -314,7 +317,7 @@ def f23_txn_key(spark, sf_dir):
     return adapter.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.txn_key(F.lit("drop"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("txn_key"))
 
 
-@query(_with(oracle.OBS) + "SELECT id, count(*) AS n FROM (SELECT substr(sha256(native_account || chr(31) || strftime(posted_on, '%Y-%m-%d') || chr(31) || amount_cents || chr(31) || description || chr(31) || (row_number() OVER (PARTITION BY native_account, posted_on, amount_cents, description ORDER BY uid) - 1)), 1, 24) AS id FROM obs) GROUP BY 1")
+@query(_with(oracle.OBS) + "SELECT id, count(*) AS n FROM (SELECT substr(sha256(native_account || chr(31) || strftime(posted_on, '%Y-%m-%d') || chr(31) || coalesce(amount_cents::VARCHAR, 'None') || chr(31) || description || chr(31) || (row_number() OVER (PARTITION BY native_account, posted_on, amount_cents, description ORDER BY uid) - 1)), 1, 24) AS id FROM obs) GROUP BY 1")
 def f26_synthesised_id(spark, sf_dir):
     r = adapter.records(spark, sf_dir)
     return r.select(ids.synthesised_id(F.col("uid")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -330,9 +333,9 @@ def r1_category(spark, sf_dir):
     return adapter.read(spark, sf_dir, "part").select("p_partkey", adapter.rules().categories.match(F.col("p_name")).alias("category"))
 
 
-@query(_with(S) + "SELECT flow, status, count(*) AS n, sum(net_spend_cents)::BIGINT AS net, sum(outflow_cents)::BIGINT AS outflow, sum(inflow_cents)::BIGINT AS inflow FROM feed GROUP BY 1, 2")
+@query(_with(S) + "SELECT flow, status, count(*) AS n, sum(net_cost_cents)::BIGINT AS net, sum(outflow_cents)::BIGINT AS outflow, sum(inflow_cents)::BIGINT AS inflow FROM feed GROUP BY 1, 2")
 def r9_decomposition(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.groupBy("flow", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("net"), F.sum("outflow_cents").alias("outflow"), F.sum("inflow_cents").alias("inflow"))
+    return ledger(spark, sf_dir).feed_rows.groupBy("flow", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("net_cost_cents").alias("net"), F.sum("outflow_cents").alias("outflow"), F.sum("inflow_cents").alias("inflow"))
 
 
 @query("SELECT c_custkey, c_name, round(c_acctbal * 100)::BIGINT + CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS cents FROM customer")
@@ -358,20 +361,20 @@ def p6_month_filter(spark, sf_dir):
     return reports.month_filter(ledger(spark, sf_dir).unflagged, "2001-07").select("id")
 
 
-@query(_with(S) + "SELECT account_key AS account, sum(net_spend_cents)::BIGINT AS cents FROM spending GROUP BY 1")
+@query(_with(S) + "SELECT account_key AS account, sum(net_cost_cents)::BIGINT AS cents FROM costs GROUP BY 1")
 def s16_sql(spark, sf_dir):
-    return ledger(spark, sf_dir).sql("SELECT account, sum(net_spend_cents) AS cents FROM spending GROUP BY account")
+    return ledger(spark, sf_dir).sql("SELECT account, sum(net_cost_cents) AS cents FROM costs GROUP BY account")
 
 
-@query(_with(S, "stats AS (SELECT merchant_key, count(*) AS times FROM spending GROUP BY 1)") + "SELECT id, times FROM spending JOIN stats USING (merchant_key)")
+@query(_with(S, "stats AS (SELECT merchant_key, count(*) AS times FROM costs GROUP BY 1)") + "SELECT id, times FROM costs JOIN stats USING (merchant_key)")
 def j2_join_on_aggregate(spark, sf_dir):
-    s = _spending(spark, sf_dir)
+    s = once(_costs(spark, sf_dir).select("id", "merchant_key"), "costs")
     return s.join(s.groupBy("merchant_key").agg(F.count(F.lit(1)).alias("times")), "merchant_key").select("id", "times")
 
 
-@query(_with(S, oracle.MONTHS) + "SELECT id, coalesce(month = (SELECT max(month) FROM months), false) AS latest FROM spending")
+@query(_with(S, oracle.MONTHS) + "SELECT id, coalesce(month = (SELECT max(month) FROM months), false) AS latest FROM costs")
 def j8_scalar_subquery(spark, sf_dir):
-    s = _spending(spark, sf_dir)
+    s = once(_costs(spark, sf_dir).select("id", "date"), "costs")
     latest = reports.recent_months(s, AS_OF).agg(F.max("month").alias("m"))
     return s.crossJoin(F.broadcast(latest)).select("id", F.coalesce(dates.month_key(F.col("date")) == F.col("m"), F.lit(False)).alias("latest"))
 
@@ -384,18 +387,18 @@ def j9_correlated_count(spark, sf_dir):
 
 @query(_with(S) + "SELECT DISTINCT native_account, account_key, unmapped FROM feed")
 def j11_account_membership(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.select("native_account", "account_key", "unmapped").distinct()
+    return ledger(spark, sf_dir).feed_rows.select("native_account", "account_key", "unmapped").distinct()
 
 
 @query(_with(S) + "SELECT account_key, count(*) AS n, sum(amount_cents)::BIGINT AS total, min(amount_cents) AS low, max(amount_cents) AS high, trunc(avg(amount_cents))::BIGINT AS mean FROM feed GROUP BY 1")
 def a2_truncated_mean(spark, sf_dir):
     c = F.col("amount_cents")
-    return ledger(spark, sf_dir).feed_transactions.groupBy("account_key").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), reports.truncated_mean(c).alias("mean"))
+    return ledger(spark, sf_dir).feed_rows.groupBy("account_key").agg(F.count(F.lit(1)).alias("n"), F.sum(c).alias("total"), F.min(c).alias("low"), F.max(c).alias("high"), reports.truncated_mean(c).alias("mean"))
 
 
 @query(_with(S) + "SELECT account_key, min(dated_on) AS covers_from, max(dated_on) AS covers_to FROM feed WHERE dated_on IS NOT NULL GROUP BY 1")
 def a16_coverage(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.filter("dated_on is not null").groupBy("account_key").agg(F.min("dated_on").alias("covers_from"), F.max("dated_on").alias("covers_to"))
+    return ledger(spark, sf_dir).feed_rows.filter("dated_on is not null").groupBy("account_key").agg(F.min("dated_on").alias("covers_from"), F.max("dated_on").alias("covers_to"))
 
 
 @query(_with(oracle.ACCOUNTS) + "SELECT source, native_id, balance_cents FROM acc_new")
@@ -410,23 +413,22 @@ def a20_item_sums(spark, sf_dir):
 
 @query(_with(S) + f"SELECT txn_key, {oracle.first_match(oracle.R.flows, 'low')} AS rule FROM feed")
 def r3_flow_rule(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.select("txn_key", adapter.rules().flows.match_spaced(F.col("description")).alias("rule"))
+    return ledger(spark, sf_dir).feed_rows.select("txn_key", adapter.rules().flows.match_spaced(F.col("description")).alias("rule"))
 
 
-@query("SELECT kind, sign, CASE WHEN sign < 0 THEN 'spend' WHEN sign IS NULL THEN 'unknown' WHEN kind = 'credit' THEN 'refund' WHEN kind IN ('checking', 'savings') THEN 'income' ELSE 'unknown' END AS flow FROM (VALUES ('credit'), ('checking'), ('savings'), ('other')) k(kind), (VALUES (-1), (0), (1), (NULL)) s(sign)")
+@query(_with(S) + f"SELECT txn_key, CASE WHEN amount_cents IS NULL THEN 'unknown' WHEN amount_cents < 0 THEN '{OUTGO}' WHEN kind = 'credit' THEN 'refund' WHEN kind IN ('checking', 'savings') THEN 'income' ELSE 'unknown' END AS flow FROM feed")
 def r5_structural_flow(spark, sf_dir):
-    rows = [(k, s) for k in ("credit", "checking", "savings", "other") for s in (-1, 0, 1, None)]
-    return spark.createDataFrame(rows, "kind string, sign int").withColumn("flow", feed_ops.structural_flow(F.col("sign"), F.col("kind")))
+    return ledger(spark, sf_dir).feed_rows.select("txn_key", feed_ops.structural_flow(F.col("amount_cents"), F.col("kind")).alias("flow"))
 
 
 @query(_with(S) + "SELECT status, review_reason, count(*) AS n FROM feed GROUP BY 1, 2")
 def r10_status_ladder(spark, sf_dir):
-    return ledger(spark, sf_dir).feed_transactions.groupBy("status", "review_reason").agg(F.count(F.lit(1)).alias("n"))
+    return ledger(spark, sf_dir).feed_rows.groupBy("status", "review_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_with(S, oracle.MONTHS) + "SELECT month FROM months")
 def w8_top_months(spark, sf_dir):
-    return reports.recent_months(_spending(spark, sf_dir), AS_OF)
+    return reports.recent_months(_costs(spark, sf_dir), AS_OF)
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -465,3 +467,38 @@ def d1_vanished(spark, sf_dir):
     """Transactions of listed accounts that the newest poll no longer has; here, it lists every tenth order."""
     lines = adapter.read(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.lit("s").alias("source"), F.lit("a").alias("native_account"), F.col("l_orderkey").alias("external_id")).distinct()
     return obs.vanished(lines, lines.filter("external_id % 10 = 0")).select(F.col("external_id").alias("l_orderkey"))
+
+
+@query("""WITH f AS (
+  SELECT doc_id, w.i - 1 AS seq, ((w.i - 1) * 37) % 101 AS x, 10 * ((w.i - 1) // 8) + ((w.i - 1) * 7) % 5 AS y, 4 + length(w.t) % 9 AS h, w.t AS text
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS t) w
+), b AS (SELECT *, CASE WHEN abs(y - lag(y) OVER o) > 0.6::DOUBLE * greatest(h, lag(h) OVER o) THEN 1 ELSE 0 END AS brk FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY y, seq)),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY y, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS line_no FROM b)
+SELECT doc_id, line_no, count(*) AS fragments, string_agg(text, '  ' ORDER BY x, y, seq) AS line FROM n GROUP BY 1, 2""")
+def w9_line_clustering(spark, sf_dir):
+    """The words of every document, placed eight to a row of ten units, shuffled within it and uneven in height."""
+    words = adapter.read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text"))
+    i = F.col("i").cast("bigint")
+    placed = words.select("doc_id", i.alias("seq"), (i * 37 % 101).alias("x"), (10 * F.floor(i / 8) + i * 7 % 5).alias("y"), (4 + F.length("text") % 9).alias("h"), "text")
+    return lines.cluster_lines(placed, "doc_id")
+
+
+_EVICT_BUDGET = 1_000_000
+
+
+@query(f"WITH f AS (SELECT doc_id AS path, make_timestamp(978307200000000 + (doc_id % 997) * 1000000) AS \"at\", strlen(text) AS bytes FROM documents), s AS (SELECT *, sum(coalesce(bytes, 0)) OVER () AS total, sum(coalesce(bytes, 0)) OVER (ORDER BY \"at\", bytes NULLS FIRST, path ROWS UNBOUNDED PRECEDING) - coalesce(bytes, 0) AS freed FROM f) SELECT path, \"at\", bytes FROM s WHERE total - freed > {_EVICT_BUDGET}")
+def w10_eviction(spark, sf_dir):
+    """Documents as files of a store with room for a million bytes."""
+    files = adapter.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.timestamp_seconds(978307200 + F.col("doc_id") % 997).alias("at"), F.octet_length("text").cast("bigint").alias("bytes"))
+    return retention.evicted(files, _EVICT_BUDGET)
+
+
+@query(_with(S, oracle.ACCOUNTS) + """, moves AS (SELECT native_account AS account, dated_on AS day, 0 AS kind, NULL::TIMESTAMP AS "at", NULL AS uid, sum(amount_cents)::BIGINT AS amount, NULL::BIGINT AS balance_cents FROM feed WHERE dated_on IS NOT NULL AND amount_cents IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT native_id, CAST(observed_at AS DATE), 1, observed_at, uid, NULL, balance_cents FROM acc_obs),
+run AS (SELECT *, coalesce(sum(amount) OVER (PARTITION BY account ORDER BY day, kind, "at" NULLS FIRST, uid ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS moved_cents FROM moves),
+obs2 AS (SELECT *, lag(balance_cents) OVER w AS previous_balance_cents, moved_cents - lag(moved_cents) OVER w AS explained_cents FROM run WHERE kind = 1 WINDOW w AS (PARTITION BY account ORDER BY day, "at", uid))
+SELECT account, "at", uid, balance_cents, moved_cents, previous_balance_cents, explained_cents, balance_cents - previous_balance_cents - explained_cents AS unexplained_cents FROM obs2""")
+def d2_balance_reconciliation(spark, sf_dir):
+    book = ledger(spark, sf_dir)
+    seen = book.feed_accounts.select(F.col("native_id").alias("account"), F.col("balance_at").alias("at"), "uid", "balance_cents")
+    return reconciliation.reconciled(seen, book.feed_rows.select(F.col("native_account").alias("account"), F.col("dated_on").alias("day"), "amount_cents"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from functools import cached_property
 from pathlib import Path
 
@@ -13,8 +15,12 @@ from ledgerline.operators.observations import deduplicated
 from ledgerline.operators.receipts import project_receipts
 from ledgerline.plans import reports, views
 from ledgerline.rules import Rules
-from ledgerline.schemas import BANK, RECEIPT_LEDGER
+from ledgerline.schemas import BANK, EXTRACTIONS, RECEIPT_LEDGER, RECEIPTS
+from ledgerline.operators import edits
+from ledgerline.sources import polls as feed_polls
 from ledgerline.sources import sinks
+from ledgerline.sources.snapshots import Store
+from ledgerline.storage import once
 
 
 class Ledger:
@@ -25,6 +31,13 @@ class Ledger:
         self.records, self.feed_corrections, self.feed_accounts, self.polls = records, feed_corrections, feed_accounts, polls
         self.receipts, self.extractions, self.corrections = receipts, extractions, corrections
 
+    @classmethod
+    def of(cls, store: Store, rules: Rules) -> Ledger:
+        """The ledger over a store's truth tables, all as of one version."""
+        at, tables = store.version(), feed_polls.SCHEMAS | edits.SCHEMAS | {"receipts": RECEIPTS, "extractions": EXTRACTIONS}
+        t = {name: store.table(name, schema, at=at) for name, schema in tables.items()}
+        return cls(store.spark, rules, t["feed_records"], t["feed_corrections"], t["feed_accounts"], t["feed_polls"], t["receipts"], t["extractions"], t["corrections"])
+
     @cached_property
     def feed_rows(self) -> DataFrame:
         """Feed transactions without duplicate_suspect, which takes a join of the projection with itself."""
@@ -66,39 +79,58 @@ class Ledger:
     def register(self) -> None:
         views.register(self.bank, self.receipt_rows, reports.balances(self.accounts), self.items, self.polls)
 
-    def named(self, as_of: str) -> dict[str, DataFrame]:
-        s = views.spending(self.unflagged)
+    def evaluated(self) -> Ledger:
+        """This ledger with its projections written to the shared folder once, for many reports."""
+        out = copy(self)
+        for derived in ("feed_transactions", "accounts", "bank", "unflagged", "receipt_rows"):
+            out.__dict__.pop(derived, None)
+        out.feed_rows = once(self.feed_rows, "feed-rows")
+        items = once(self.items, "items")
+        out._receipts = (once(self.receipt_transactions, "receipt-rows"), items)
+        return out
+
+    def named(self, as_of: str) -> dict[str, Callable[[], DataFrame]]:
+        """The canned reports by name."""
+        s = views.costs(self.unflagged)
         return {
-            "monthly-by-category": reports.monthly_by_category(s), "top-merchants": reports.top_merchants(s, as_of), "month-over-month": reports.month_over_month(s, as_of), "recurring": reports.recurring(s, as_of),
-            "unusual": reports.unusual(s, as_of), "pending-and-restated": reports.pending_and_restated(self.unflagged), "balances": reports.balances(self.accounts), "receipt-candidates": reports.receipt_candidates(self.receipt_rows, s),
+            "monthly-by-category": lambda: reports.monthly_by_category(s), "top-merchants": lambda: reports.top_merchants(s, as_of), "month-over-month": lambda: reports.month_over_month(s, as_of), "recurring": lambda: reports.recurring(s, as_of),
+            "unusual": lambda: reports.unusual(s, as_of), "pending-and-restated": lambda: reports.pending_and_restated(self.unflagged), "balances": lambda: reports.balances(self.accounts), "receipt-candidates": lambda: reports.receipt_candidates(self.receipt_rows, s),
         }
 
     def sql(self, query: str, as_of: str = "2001-08-01", **args) -> DataFrame:
         """A named query, a path to a file with SQL, or SQL text over the published views."""
         named = self.named(as_of)
         if query in named:
-            return named[query]
+            return named[query]()
         self.register()
         text = Path(query).read_text() if query.endswith(".sql") and Path(query).exists() else query
         return self.spark.sql(text, args=args or None)
 
-    def unchanged(self, edits: DataFrame) -> DataFrame:
-        """(receipt_id, field, value) edits that would change nothing."""
-        t = self.receipt_transactions
-        now = t.select("receipt_id", F.explode(F.create_map(*[x for f in ("merchant", "merchant_location", "currency", "category") for x in (F.lit(f), F.col(f))])).alias("field", "now"))
-        return edits.join(now, ["receipt_id", "field"]).filter(F.coalesce("value", F.lit("")) == F.coalesce("now", F.lit(""))).select(*edits.columns)
+    def correct(self, store: Store, changes: DataFrame, at: str) -> dict[str, int]:
+        """Append hand edits of receipts, (receipt_id, field, value), made at an instant; returns how many were {recorded, unchanged, refused}.
+
+        An edit that says what the projection already shows isn't recorded, and one of a receipt that isn't there is refused.
+        """
+        judged = once(edits.judged(changes, self.receipt_transactions), "edits")
+        store.append_new({"corrections": edits.as_corrections(judged, at)}, edits.KEYED)
+        return {r["verdict"]: r["n"] for r in judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def correct_feed(self, store: Store, changes: DataFrame, at: str) -> int:
+        """Append hand edits of transactions, (txn_key, field, value); other fields than those that may be edited are left out."""
+        return store.append_new({"feed_corrections": edits.as_feed_corrections(changes, at)}, edits.KEYED)["feed_corrections"]
 
     def publish(self, path: str) -> None:
-        """Month files, ledger tables, manifest and documentation under path."""
-        broken = sinks.broken(self.receipt_rows, "net_spend_cents = 0")
-        if not broken.isEmpty():
+        """Ledger tables, month files, manifest and documentation under path, all of them in one commit.
+
+        Each projection is evaluated once. Readers have the last publication until this one is whole, and keep it if it fails.
+        """
+        own, store = self.evaluated(), Store(self.spark, path)
+        bank, receipts, build = once(own.bank, "bank"), own.receipt_rows, store.new_build()
+        if not sinks.broken(receipts, "net_cost_cents = 0").isEmpty():
             raise ValueError("a receipt has a measure other than 0")
-        for name, df in (("bank", self.bank), ("receipts", self.receipt_rows), ("items", self.items), ("accounts", self.accounts)):
-            sinks.replace(df, f"{path}/ledger/{name}")
-        # the projections are evaluated once; month files and manifest come from what was written
-        bank, receipts = (self.spark.read.parquet(f"{path}/ledger/{name}") for name in ("bank", "receipts"))
-        sinks.write_months(views.match_struct(bank), f"{path}/bank")
-        sinks.write_months(receipts, f"{path}/receipts")
-        sinks.manifest(bank, receipts, self.polls).write.mode("overwrite").json(f"{path}/manifest")
+        sinks.write_months(views.match_struct(bank), f"{build}/bank")
+        sinks.write_months(receipts, f"{build}/receipts")
+        sinks.manifest(bank, receipts, own.polls).write.json(f"{build}/manifest")
         doc = sinks.documentation({"bank": BANK, "receipts": RECEIPT_LEDGER})
-        self.spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/schema")
+        self.spark.createDataFrame([(doc,)], "value string").coalesce(1).write.text(f"{build}/schema")
+        store.replace(build=build, bank=bank, receipts=receipts, items=own.items, accounts=own.accounts)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerline import rules as rule_files
 from ledgerline.functions.text import KEEP_LOWER, KEEP_UPPER, LEADING_DATE, PASSES, PREFIXES, TRAILERS
 from ledgerline.plans import adapter
 from ledgerline.rules import Ordered
+from ledgerline.schemas import COST_FLOWS, OUTGO
 
 
 def _q(text: str) -> str:
@@ -34,14 +34,15 @@ def _list(words: tuple[str, ...]) -> str:
     return "(" + ", ".join(_q(w) for w in words) + ")"
 
 
-R = rule_files.load(tz="UTC")
+R = adapter.rules()
 _PREFIX = "[" + ", ".join(_q(p) for p in adapter.PREFIXES) + "]"
 _CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 
 OBS = f"""obs AS (
   SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'simplefin' ELSE 'drop' END AS source, 'ACT-' || (o_custkey % 7) AS native_account, l_orderkey || '-' || l_linenumber AS external_id, l_orderkey,
     CAST(l_shipdate AS DATE) AS posted_on, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS transacted_on, l_linestatus = 'O' AS pending,
-    CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END * {_CENTS} AS amount_cents, {_PREFIX}[1 + l_linenumber % {len(adapter.PREFIXES)}] || upper(p_name) || ' #' || l_suppkey AS description, l_shipdate AS observed_at,
+    CASE WHEN l_orderkey % 67 <> 0 THEN CASE WHEN l_returnflag = 'R' THEN 1 ELSE -1 END * {_CENTS} END AS amount_cents, CASE WHEN l_orderkey % 67 = 0 THEN 'not an amount: ''?''' END AS reject_reason,
+    CASE WHEN l_orderkey % 53 = 0 THEN 'Direct Payee' WHEN l_orderkey % 59 = 0 THEN '' END AS payee, CASE WHEN l_orderkey % 61 = 0 THEN 'transfer' WHEN l_orderkey % 71 = 0 THEN '' END AS flow_hint, {_PREFIX}[1 + l_linenumber % {len(adapter.PREFIXES)}] || upper(p_name) || ' #' || l_suppkey AS description, l_shipdate AS observed_at,
     sha256(l_partkey || '|' || l_suppkey || '|' || {_CENTS} || '|' || CAST(round(l_quantity * 100) AS BIGINT) || '|' || CAST(round(l_discount * 100) AS BIGINT) || '|' || CAST(round(l_tax * 100) AS BIGINT) || '|' || l_returnflag || '|' || l_linestatus) AS uid
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 COLLAPSED = f"""{OBS}, dedup AS (
@@ -58,18 +59,19 @@ n3 AS (SELECT *, coalesce(nullif({_strip_trailers('x2')}, ''), x2) AS x3 FROM n2
 n4 AS (SELECT *, lower(trim(regexp_replace(description, '\\s+', ' ', 'g'))) AS low, string_split(trim(x3, ' -,'), ' ') AS words FROM n3),
 named AS (SELECT *, coalesce({first_match(R.merchants, 'low')}, array_to_string(list_transform(words, lambda w, i: CASE WHEN lower(w) IN {_list(KEEP_UPPER)} THEN upper(w) WHEN lower(w) IN {_list(KEEP_LOWER)} AND i > 1 THEN lower(w) ELSE upper(w[1:1]) || lower(w[2:]) END), ' ')) AS auto_name FROM n4)"""
 FEED = f"""{COLLAPSED}, {NAMED},
-edits AS (SELECT *, l_orderkey % 101 = 0 AS deleted, l_orderkey % 101 <> 0 AND l_orderkey % 37 = 0 AS has_category, CASE WHEN l_orderkey % 2 = 0 THEN 'services' END AS new_category, l_orderkey % 101 <> 0 AND l_orderkey % 37 <> 0 AND l_orderkey % 41 = 0 AS has_merchant FROM named),
-f0 AS (SELECT *, CASE WHEN has_merchant THEN 'Corner Shop' ELSE auto_name END AS merchant, native_account = 'ACT-6' AS unmapped, CASE native_account WHEN 'ACT-0' THEN 'checking' WHEN 'ACT-1' THEN 'savings' WHEN 'ACT-6' THEN 'other' ELSE 'credit' END AS kind, coalesce(transacted_on, posted_on) AS dated_on FROM edits),
+edits AS (SELECT *, l_orderkey % 101 = 0 AS deleted, l_orderkey % 101 <> 0 AND l_orderkey % 37 = 0 AS has_category, CASE WHEN l_orderkey % 2 = 0 THEN 'services' END AS new_category, l_orderkey % 101 <> 0 AND l_orderkey % 37 <> 0 AND l_orderkey % 41 = 0 AS has_merchant,
+  CASE WHEN l_orderkey % 101 <> 0 AND l_orderkey % 37 <> 0 AND l_orderkey % 41 <> 0 AND l_orderkey % 43 = 0 AND l_orderkey % 2 = 0 THEN 'fee' END AS manual_flow FROM named),
+f0 AS (SELECT *, CASE WHEN has_merchant THEN 'Corner Shop' ELSE coalesce(nullif(payee, ''), auto_name) END AS merchant, native_account = 'ACT-6' AS unmapped, CASE native_account WHEN 'ACT-0' THEN 'checking' WHEN 'ACT-1' THEN 'savings' WHEN 'ACT-6' THEN 'other' ELSE 'credit' END AS kind, coalesce(transacted_on, posted_on) AS dated_on FROM edits),
 f1 AS (SELECT *, nullif(trim(regexp_replace(regexp_replace(lower(merchant), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g')), '') AS merchant_key,
-  coalesce({first_match(R.flows, 'low')}, CASE WHEN amount_cents IS NULL THEN 'unknown' WHEN amount_cents < 0 THEN 'spend' WHEN kind = 'credit' THEN 'refund' WHEN kind IN ('checking', 'savings') THEN 'income' ELSE 'unknown' END) AS flow,
+  coalesce(manual_flow, {first_match(R.flows, 'low')}, nullif(flow_hint, ''), CASE WHEN amount_cents IS NULL THEN 'unknown' WHEN amount_cents < 0 THEN '{OUTGO}' WHEN kind = 'credit' THEN 'refund' WHEN kind IN ('checking', 'savings') THEN 'income' ELSE 'unknown' END) AS flow,
   CASE WHEN has_category THEN new_category ELSE {first_match(R.categories, 'lower(merchant)')} END AS category FROM f0),
-f2 AS (SELECT *, flow IN ('spend', 'refund', 'fee') AND NOT deleted AND amount_cents IS NOT NULL AS counts FROM f1),
-feed AS (SELECT *, CASE WHEN unmapped THEN 'unmapped:' || native_account ELSE 'account-' || substr(native_account, 5) END AS account_key, CASE WHEN counts THEN -amount_cents ELSE 0 END AS net_spend_cents, greatest(-amount_cents, 0) AS outflow_cents, greatest(amount_cents, 0) AS inflow_cents,
+f2 AS (SELECT *, flow IN {_list(COST_FLOWS)} AND NOT deleted AND amount_cents IS NOT NULL AS counts FROM f1),
+feed AS (SELECT *, CASE WHEN unmapped THEN 'unmapped:' || native_account ELSE 'account-' || substr(native_account, 5) END AS account_key, CASE WHEN counts THEN -amount_cents ELSE 0 END AS net_cost_cents, CASE WHEN amount_cents IS NOT NULL THEN greatest(-amount_cents, 0) END AS outflow_cents, CASE WHEN amount_cents IS NOT NULL THEN greatest(amount_cents, 0) END AS inflow_cents,
   CASE WHEN deleted THEN 'ignored' WHEN amount_cents IS NULL OR unmapped OR dated_on IS NULL THEN 'needs_review' WHEN pending THEN 'pending' ELSE 'ok' END AS status,
-  CASE WHEN deleted THEN 'deleted' WHEN amount_cents IS NULL THEN 'amount unparseable: unknown' WHEN unmapped THEN native_account || ' is not named in accounts.toml' WHEN dated_on IS NULL THEN 'no date' END AS review_reason FROM f2),
-spending AS (SELECT *, txn_key AS id, dated_on AS date, strftime(dated_on, '%Y-%m') AS month FROM feed WHERE counts)"""
+  CASE WHEN deleted THEN 'deleted' WHEN amount_cents IS NULL THEN 'amount unparseable: ' || coalesce(reject_reason, 'unknown') WHEN unmapped THEN native_account || ' is not named in accounts.toml' WHEN dated_on IS NULL THEN 'no date' END AS review_reason FROM f2),
+costs AS (SELECT *, txn_key AS id, dated_on AS date, strftime(dated_on, '%Y-%m') AS month FROM feed WHERE counts)"""
 AS_OF = f"DATE '{adapter.AS_OF}'"
-MONTHS = f"months AS (SELECT DISTINCT month FROM spending WHERE month < strftime({AS_OF}, '%Y-%m') ORDER BY month DESC LIMIT 4)"
+MONTHS = f"months AS (SELECT DISTINCT month FROM costs WHERE month < strftime({AS_OF}, '%Y-%m') ORDER BY month DESC LIMIT 4)"
 _MONEY = lambda c: f"(({c}) // 100) || '.' || lpad((({c}) % 100)::VARCHAR, 2, '0')"
 RECEIPTS = f"""items AS (SELECT l_orderkey, p_name, CAST(l_quantity AS BIGINT)::VARCHAR AS qty, {_CENTS} AS cents, {_MONEY(_CENTS)} AS total FROM lineitem JOIN part ON l_partkey = p_partkey),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY p_name, qty, total) AS n FROM items),

@@ -1,4 +1,7 @@
-"""The canned queries. `as_of` is the day they are asked on; nothing reads the clock."""
+"""The canned queries. `as_of` is the day they are asked on; nothing reads the clock.
+
+What a query reads twice, it evaluates once: the few columns it needs are written to the shared folder first.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.dates import month_key
 from ledgerline.functions.payload import needs_a_human
+from ledgerline.storage import once
 
 UNCATEGORISED = "uncategorised"
 
@@ -23,49 +27,52 @@ def _category() -> Column:
     return F.coalesce("category", F.lit(UNCATEGORISED))
 
 
-def recent_months(spending: DataFrame, as_of: str, n: int = 4) -> DataFrame:
-    """(month) of the n latest months that are over and have spending: n rows at most."""
-    return spending.select(month_key(F.col("date")).alias("month")).filter(F.col("month") < month_key(_as_of(as_of))).distinct().orderBy(F.desc("month")).limit(n)
+def recent_months(costs: DataFrame, as_of: str, n: int = 4) -> DataFrame:
+    """(month) of the n latest months that are over and have costs: n rows at most."""
+    return costs.select(month_key(F.col("date")).alias("month")).filter(F.col("month") < month_key(_as_of(as_of))).distinct().orderBy(F.desc("month")).limit(n)
 
 
-def monthly_by_category(spending: DataFrame) -> DataFrame:
-    return spending.groupBy(month_key(F.col("date")).alias("month"), _category().alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("cents")).orderBy(F.desc("month"), F.desc("cents"))
+def monthly_by_category(costs: DataFrame) -> DataFrame:
+    return costs.groupBy(month_key(F.col("date")).alias("month"), _category().alias("category")).agg(F.count(F.lit(1)).alias("n"), F.sum("net_cost_cents").alias("cents")).orderBy(F.desc("month"), F.desc("cents"))
 
 
-def top_merchants(spending: DataFrame, as_of: str, days: int = 90, n: int = 30) -> DataFrame:
-    recent = spending.filter(F.col("date") >= F.date_sub(_as_of(as_of), days))
-    sums = recent.groupBy("merchant_key", "merchant").agg(F.count(F.lit(1)).alias("n"), F.sum("net_spend_cents").alias("cents"), truncated_mean("net_spend_cents").alias("mean_cents"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+def top_merchants(costs: DataFrame, as_of: str, days: int = 90, n: int = 30) -> DataFrame:
+    recent = costs.filter(F.col("date") >= F.date_sub(_as_of(as_of), days))
+    sums = recent.groupBy("merchant_key", "merchant").agg(F.count(F.lit(1)).alias("n"), F.sum("net_cost_cents").alias("cents"), truncated_mean("net_cost_cents").alias("mean_cents"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
     return sums.orderBy(F.desc("cents"), "merchant_key", "merchant").limit(n).drop("merchant_key")
 
 
-def month_over_month(spending: DataFrame, as_of: str) -> DataFrame:
-    months = recent_months(spending, as_of)
+def month_over_month(costs: DataFrame, as_of: str) -> DataFrame:
+    costs = once(costs.select("date", "category", "net_cost_cents"), "costs")
+    months = recent_months(costs, as_of)
     latest = months.agg(F.max("month").alias("latest"))
-    per = spending.withColumn("month", month_key(F.col("date"))).join(F.broadcast(months), "month", "left_semi").groupBy("month", _category().alias("category")).agg(F.sum("net_spend_cents").alias("cents"))
+    per = costs.withColumn("month", month_key(F.col("date"))).join(F.broadcast(months), "month", "left_semi").groupBy("month", _category().alias("category")).agg(F.sum("net_cost_cents").alias("cents"))
     now = F.when(F.col("month") == F.col("latest"), F.col("cents"))
     before = F.when(F.col("month") != F.col("latest"), F.col("cents"))
     out = per.crossJoin(F.broadcast(latest)).groupBy("category").agg(F.max(now).alias("this_month"), truncated_mean(before).alias("prior_mean"))
     return out.withColumn("delta", F.col("this_month") - F.col("prior_mean")).orderBy(F.desc("delta"))
 
 
-def recurring(spending: DataFrame, as_of: str, spread: float = 0.10, least: int = 3) -> DataFrame:
-    hits = spending.filter("merchant_key is not null").withColumn("month", month_key(F.col("date"))).join(F.broadcast(recent_months(spending, as_of)), "month", "left_semi").groupBy("merchant_key", "merchant", "month").agg(F.sum("net_spend_cents").alias("cents"))
+def recurring(costs: DataFrame, as_of: str, spread: float = 0.10, least: int = 3) -> DataFrame:
+    costs = once(costs.select("date", "merchant_key", "merchant", "net_cost_cents"), "costs")
+    hits = costs.filter("merchant_key is not null").withColumn("month", month_key(F.col("date"))).join(F.broadcast(recent_months(costs, as_of)), "month", "left_semi").groupBy("merchant_key", "merchant", "month").agg(F.sum("net_cost_cents").alias("cents"))
     out = hits.groupBy("merchant_key", "merchant").agg(F.count(F.lit(1)).alias("months_charged"), F.min("cents").alias("low_cents"), F.max("cents").alias("high_cents"), F.avg("cents").alias("mean"))
     kept = out.filter((F.col("months_charged") >= least) & (F.col("high_cents") - F.col("low_cents") <= F.col("mean") * spread))
     return kept.select("merchant", "months_charged", "low_cents", "high_cents", F.col("mean").cast("bigint").alias("typical_cents")).orderBy(F.desc("typical_cents"))
 
 
-def unusual(spending: DataFrame, as_of: str, days: int = 180, times: int = 3, first_over: int = 10_000) -> DataFrame:
+def unusual(costs: DataFrame, as_of: str, days: int = 180, times: int = 3, first_over: int = 10_000) -> DataFrame:
     """Means are over all history, one small row a merchant; the charges are recent ones only."""
-    stats = spending.filter("merchant_key is not null").groupBy("merchant_key").agg(F.avg("net_spend_cents").alias("mean"), F.count(F.lit(1)).alias("times"))
-    s = spending.filter(F.col("date") >= F.date_sub(_as_of(as_of), days)).join(stats, "merchant_key")
-    odd = ((F.col("times") > 1) & (F.col("net_spend_cents") > F.col("mean") * times)) | ((F.col("times") == 1) & (F.col("net_spend_cents") > first_over))
-    return s.filter(odd).select("date", "merchant", "category", F.col("net_spend_cents").alias("cents"), F.col("mean").cast("bigint").alias("merchant_mean"), F.when(F.col("times") == 1, "first time here").otherwise("well above its usual").alias("why")).orderBy(F.desc("date"))
+    costs = once(costs.select("date", "merchant_key", "merchant", "category", "net_cost_cents"), "costs")
+    stats = costs.filter("merchant_key is not null").groupBy("merchant_key").agg(F.avg("net_cost_cents").alias("mean"), F.count(F.lit(1)).alias("times"))
+    s = costs.filter(F.col("date") >= F.date_sub(_as_of(as_of), days)).join(stats, "merchant_key")
+    odd = ((F.col("times") > 1) & (F.col("net_cost_cents") > F.col("mean") * times)) | ((F.col("times") == 1) & (F.col("net_cost_cents") > first_over))
+    return s.filter(odd).select("date", "merchant", "category", F.col("net_cost_cents").alias("cents"), F.col("mean").cast("bigint").alias("merchant_mean"), F.when(F.col("times") == 1, "first time here").otherwise("well above its usual").alias("why")).orderBy(F.desc("date"))
 
 
 def pending_and_restated(bank: DataFrame) -> DataFrame:
     odd = bank.filter(F.col("pending") | F.col("amount_changed") | (F.col("status") == "needs_review"))
-    return odd.select("date", "account", "merchant", "description", "flow", "amount_cents", "net_spend_cents", "revisions", "status", "review_reason", F.when(F.col("pending"), "not settled yet").otherwise("restated after posting").alias("what")).orderBy(F.desc("date"))
+    return odd.select("date", "account", "merchant", "description", "flow", "amount_cents", "net_cost_cents", "revisions", "status", "review_reason", F.when(F.col("pending"), "not settled yet").otherwise("restated after posting").alias("what")).orderBy(F.desc("date"))
 
 
 def balances(accounts: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def balances(accounts: DataFrame) -> DataFrame:
 
 
 def _near(days: int, cents: int) -> Column:
-    return (F.col("r.merchant_key") == F.col("b.merchant_key")) & (F.abs(F.datediff("r.date", "b.date")) <= days) & (F.abs(F.col("r.total_cents") - F.col("b.net_spend_cents")) <= cents)
+    return (F.col("r.merchant_key") == F.col("b.merchant_key")) & (F.abs(F.datediff("r.date", "b.date")) <= days) & (F.abs(F.col("r.total_cents") - F.col("b.net_cost_cents")) <= cents)
 
 
 def _in_bucket(rows: DataFrame, days: int) -> DataFrame:
@@ -92,24 +99,24 @@ def _bucket(day: Column, days: int) -> Column:
     return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (2 * days + 1))
 
 
-def candidate_pairs(receipts: DataFrame, spending: DataFrame, days: int = 4, cents: int = 2, how: str = "inner") -> DataFrame:
+def candidate_pairs(receipts: DataFrame, costs: DataFrame, days: int = 4, cents: int = 2, how: str = "inner") -> DataFrame:
     """Receipts (alias r) and charges (alias b) of one merchant, near in day and amount.
 
     Days are cut into buckets as wide as the tolerance, and each charge is offered to those it reaches, so
     one merchant's rows spread over as many tasks as it has buckets. how="left" keeps receipts without a charge.
     """
-    r, b = _in_bucket(receipts, days), _in_near_buckets(spending, days)
+    r, b = _in_bucket(receipts, days), _in_near_buckets(costs, days)
     return r.alias("r").join(b.alias("b"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents), how)
 
 
-def receipt_candidates(receipts: DataFrame, spending: DataFrame, days: int = 4, cents: int = 2, over: int = 7500) -> DataFrame:
+def receipt_candidates(receipts: DataFrame, costs: DataFrame, days: int = 4, cents: int = 2, over: int = 7500) -> DataFrame:
     """Candidate pairs, receipts without one, and large charges without one: one join from each side."""
-    receipts = receipts.filter("total_cents is not null").select("id", "date", "merchant", "merchant_key", "total_cents")
-    spending = spending.select("id", "date", "merchant", "merchant_key", "net_spend_cents")
+    receipts = once(receipts.filter("total_cents is not null").select("id", "date", "merchant", "merchant_key", "total_cents"), "receipts")
+    costs = once(costs.select("id", "date", "merchant", "merchant_key", "net_cost_cents"), "costs")
     kind = F.when(F.col("b.id").isNull(), "receipt with no candidate").otherwise("candidate pair")
-    offered = candidate_pairs(receipts, spending, days, cents, "left").select(kind.alias("kind"), F.col("r.date").alias("receipt_date"), F.col("b.date").alias("bank_date"), F.col("r.merchant").alias("merchant"), F.col("r.total_cents").alias("total_cents"), F.col("b.net_spend_cents").alias("net_spend_cents"), F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
-    large, near = _in_bucket(spending.filter(F.col("net_spend_cents") > over), days), _in_near_buckets(receipts, days)
-    alone = large.alias("b").join(near.alias("r"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents), "left_anti").select(F.lit("charge over $75 with no receipt").alias("kind"), F.col("date").alias("bank_date"), "merchant", "net_spend_cents", F.col("id").alias("bank"))
+    offered = candidate_pairs(receipts, costs, days, cents, "left").select(kind.alias("kind"), F.col("r.date").alias("receipt_date"), F.col("b.date").alias("bank_date"), F.col("r.merchant").alias("merchant"), F.col("r.total_cents").alias("total_cents"), F.col("b.net_cost_cents").alias("net_cost_cents"), F.col("r.id").alias("receipt"), F.col("b.id").alias("bank"))
+    large, near = _in_bucket(costs.filter(F.col("net_cost_cents") > over), days), _in_near_buckets(receipts, days)
+    alone = large.alias("b").join(near.alias("r"), (F.col("r.__b") == F.col("b.__b")) & _near(days, cents), "left_anti").select(F.lit("charge over $75 with no receipt").alias("kind"), F.col("date").alias("bank_date"), "merchant", "net_cost_cents", F.col("id").alias("bank"))
     return offered.unionByName(alone, allowMissingColumns=True).orderBy("kind", "receipt_date", "bank_date")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Fixed values.
-FLOWS = ("spend", "refund", "fee", "income", "transfer", "payment", "unknown")
-SPENDING_FLOWS = ("spend", "refund", "fee")
+OUTGO = "spend"
+FLOWS = (OUTGO, "refund", "fee", "income", "transfer", "payment", "unknown")
+COST_FLOWS = (OUTGO, "refund", "fee")
 OUTCOMES = ("ok", "partial", "error")
 STATUSES = ("ok", "pending", "needs_review", "ignored", "failed")
 FEED_FIELDS = ("merchant", "category", "flow", "note", "deleted")
@@ -33,12 +34,12 @@ EVENTS = table(("sha", "s"), ("kind", "s"), ("at", "t"), ("body", "s"), ("corrup
 BANK = table(
     ("id", "s", "stable across rebuilds"), ("stream", "s", "always bank"), ("date", "d", "local calendar date; group by this one"), ("posted_on", "d", "null while pending"), ("transacted_on", "d"), ("pending", "b", "the amount can still change"),
     ("account", "s"), ("account_name", "s"), ("account_kind", "s"), ("institution", "s"), ("source", "s"), ("description", "s", "verbatim"), ("merchant", "s"), ("merchant_key", "s", "joins to receipts"), ("category", "s"), ("flow", "s"),
-    ("amount_cents", "l", "signed; negative left the account; not to be summed"), ("outflow_cents", "l", "counts card payments twice", True), ("inflow_cents", "l", "", True), ("net_spend_cents", "l", "the one to sum", True), ("amount", "s", "display only"),
-    ("currency", "s"), ("counts_as_spending", "b"), ("status", "s"), ("review_reason", "s"), ("revisions", "l"), ("amount_changed", "b"), ("duplicate_suspect", "b"), ("external_id", "s"), ("first_seen_at", "t"), ("last_seen_at", "t"),
+    ("amount_cents", "l", "signed; negative left the account; not to be summed"), ("outflow_cents", "l", "counts card payments twice", True), ("inflow_cents", "l", "", True), ("net_cost_cents", "l", "the one to sum", True), ("amount", "s", "display only"),
+    ("currency", "s"), ("counts_as_cost", "b"), ("status", "s"), ("review_reason", "s"), ("revisions", "l"), ("amount_changed", "b"), ("duplicate_suspect", "b"), ("external_id", "s"), ("first_seen_at", "t"), ("last_seen_at", "t"),
 )
 RECEIPT_LEDGER = table(
-    ("id", "s", "receipt:<n>"), ("stream", "s", "always receipt"), ("receipt_id", "l"), ("date", "d"), ("merchant", "s"), ("merchant_raw", "s"), ("merchant_key", "s", "joins to bank"), ("category", "s"), ("flow", "s", "always spend"), ("total_cents", "l", "positive; of receipts only"),
-    ("subtotal_cents", "l"), ("tax_cents", "l"), ("tip_cents", "l"), ("currency", "s"), ("net_spend_cents", "l", "always 0, so that sums over all streams hold", True), ("status", "s"), ("review_reason", "s"), ("receipt_url", "s"),
+    ("id", "s", "receipt:<n>"), ("stream", "s", "always receipt"), ("receipt_id", "l"), ("date", "d"), ("merchant", "s"), ("merchant_raw", "s"), ("merchant_key", "s", "joins to bank"), ("category", "s"), ("flow", "s", f"always {OUTGO}"), ("total_cents", "l", "positive; of receipts only"),
+    ("subtotal_cents", "l"), ("tax_cents", "l"), ("tip_cents", "l"), ("currency", "s"), ("net_cost_cents", "l", "always 0, so that sums over all streams hold", True), ("status", "s"), ("review_reason", "s"), ("receipt_url", "s"),
 )
 
 

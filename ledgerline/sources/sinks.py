@@ -1,8 +1,8 @@
-"""Idempotent appends, replacements and published forms."""
+"""New and changed rows, and published forms; snapshots.Store commits them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,43 +15,21 @@ def new_rows(batch: DataFrame, stored: DataFrame, keys: list[str], order: list[s
     return first_of_each(batch, keys, order).join(stored.select(*keys), keys, "left_anti").select(*batch.columns)
 
 
-def append_new(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> int:
-    """Append new rows to a Parquet table; returns how many. Appending the same batch again adds none."""
-    spark = batch.sparkSession
-    stored = spark.read.schema(batch.schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], batch.schema)
-    before = stored.count()
-    new_rows(batch, stored, keys, order).write.mode("append").parquet(path)
-    return spark.read.schema(batch.schema).parquet(path).count() - before
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def upserted(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """stored with batch's rows in place of theirs."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
     return latest_of_each(both, keys, ["__new", *order]).drop("__new")
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """The whole table anew: written beside the old one, then renamed over it, so readers see one or the other."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.next")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    target = hadoop(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    fs.rename(hadoop(f"{path}.next"), target)
-
-
 def write_months(df: DataFrame, path: str, day: str = "date", key: str = "id") -> None:
-    """JSON lines in year and month folders, sorted within, keys sorted, nulls kept; undated rows under 0000-00."""
+    """JSON lines in year and month folders, sorted within, keys sorted, nulls kept; undated rows under 0000-00.
+
+    Months are dealt out by ranges of day and key, so one that holds most rows is several files, each sorted and after the last.
+    """
     month = F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("0000-00"))
     columns = sorted(df.columns)
     rows = df.select(F.substring(month, 1, 4).alias("year"), F.substring(month, 6, 2).alias("month"), F.col(day).alias("__d"), F.col(key).alias("__k"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value"))
-    rows.repartition("year", "month").sortWithinPartitions("__d", "__k").select("year", "month", "value").write.mode("overwrite").partitionBy("year", "month").text(path)
+    rows.repartitionByRange("year", "month", "__d", "__k").sortWithinPartitions("year", "month", "__d", "__k").select("year", "month", "value").write.mode("overwrite").partitionBy("year", "month").text(path)
 
 
 def broken(df: DataFrame, rule: str) -> DataFrame:

@@ -82,7 +82,7 @@ def project(rows: DataFrame, dialect: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """FIELDS with file and line of the CSV files under path that share one header."""
-    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("multiLine", True).csv(path)
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("escape", "\"").option("multiLine", True).csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     dialect = sniff(rows.columns)
     placed = rows.select("*", F.col("_metadata.file_name").alias("file")).withColumn("line", F.monotonically_increasing_id())

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.schemas import FEED_RECORDS
-from ledgerline.sources.sinks import append_new
+from ledgerline.sources.polls import KEYED, RECORD_KEYS, record_uid
+from ledgerline.sources.snapshots import Store
 from ledgerline.sources.statements import GLOB
 
-KEYS = ["source", "native_account", "external_id", "content_sha256"]
-
 
 def watched_folder(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFrame:
     """(path, content) of export files as they arrive."""
@@ -25,14 +24,14 @@ def observed(spark: SparkSession, path: str, files_a_batch: int = 100) -> DataFr
 
 def without_repeats(stream: DataFrame, late: str = "5 days") -> DataFrame:
     """Observations delivered again within the overlap count once; state older than that is dropped."""
-    return stream.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(KEYS)
+    return stream.withWatermark("observed_at", late).dropDuplicatesWithinWatermark(list(RECORD_KEYS))
 
 
-def append(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append new observations; a batch delivered twice adds nothing. Runs until the input is used up."""
+def append(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Append new observations to feed_records; a batch delivered twice adds nothing. Runs until the input is used up."""
 
     def one(batch: DataFrame, _: int) -> None:
-        append_new(batch, target, KEYS, ["observed_at", "uid"])
+        Store(batch.sparkSession, store.root).append_new({"feed_records": batch.withColumn("uid", record_uid())}, KEYED)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ledgerline.plans.ledger import Ledger
 from ledgerline.rules import Accounts, Ordered, Rules
 from ledgerline.sources import feed as feed_source
 from ledgerline.sources import sinks, statements
+from ledgerline.sources.polls import KEYED
+from ledgerline.sources.snapshots import Store
 from ledgerline.streaming import ingest
 
 RULES = Rules(
@@ -52,7 +55,7 @@ def project(spark, rows, edits=()):
 
 def test_newest_observation_wins_and_revisions_count(spark):
     got = project(spark, [record(amount=-5200, pending=True, observed=at(14)), record(amount=-6100, observed=at(15)), record(amount=-6100, observed=at(16))])["A", "1"]
-    assert (got["amount_cents"], got["revisions"], got["amount_changed"], got["pending"], got["net_spend_cents"]) == (-6100, 2, True, False, 6100)
+    assert (got["amount_cents"], got["revisions"], got["amount_changed"], got["pending"], got["net_cost_cents"]) == (-6100, 2, True, False, 6100)
 
 
 def test_listed_ids_are_counted_without_arrays(spark):
@@ -65,22 +68,22 @@ def test_listed_ids_are_counted_without_arrays(spark):
 
 
 def test_flows_and_measure(spark):
-    rows = [record(external="spend"), record(external="refund", amount=300), record("C", "income", 900), record(external="pay", amount=9000, description="CAPITAL ONE    AUTOPAY   PYMT"), record(external="bad", amount=None, reject_reason="no digits in 'x'"), record("Z", "unmapped", -100), record(external="undated", day=None), record(external="pending", pending=True)]
+    rows = [record(external="out"), record(external="refund", amount=300), record("C", "income", 900), record(external="pay", amount=9000, description="CAPITAL ONE    AUTOPAY   PYMT"), record(external="bad", amount=None, reject_reason="no digits in 'x'"), record("Z", "unmapped", -100), record(external="undated", day=None), record(external="pending", pending=True)]
     got = project(spark, rows)
-    assert {e: (r["flow"], r["status"], r["net_spend_cents"]) for (_, e), r in got.items()} == {
-        "spend": ("spend", "ok", 500), "refund": ("refund", "ok", -300), "income": ("income", "ok", 0), "pay": ("payment", "ok", 0), "bad": ("unknown", "needs_review", 0), "unmapped": ("spend", "needs_review", 100), "undated": ("spend", "needs_review", 500), "pending": ("spend", "pending", 500),
+    assert {e: (r["flow"], r["status"], r["net_cost_cents"]) for (_, e), r in got.items()} == {
+        "out": (schemas.OUTGO, "ok", 500), "refund": ("refund", "ok", -300), "income": ("income", "ok", 0), "pay": ("payment", "ok", 0), "bad": ("unknown", "needs_review", 0), "unmapped": (schemas.OUTGO, "needs_review", 100), "undated": (schemas.OUTGO, "needs_review", 500), "pending": ("spend", "pending", 500),
     }
     assert got["A", "bad"]["outflow_cents"] is None and got["A", "bad"]["review_reason"] == "amount unparseable: no digits in 'x'"
     assert all((r["outflow_cents"] or 0) * (r["inflow_cents"] or 0) == 0 for r in got.values())
-    assert sum(r["net_spend_cents"] for r in got.values()) == sum(r["net_spend_cents"] for r in got.values() if r["counts_as_spending"])
+    assert sum(r["net_cost_cents"] for r in got.values()) == sum(r["net_cost_cents"] for r in got.values() if r["counts_as_cost"])
 
 
 def test_edits_outweigh_rules_and_may_clear(spark):
     rows = [record(external=str(i)) for i in range(4)]
     got = project(spark, rows, [("A", "0", "category", "fuel"), ("A", "0", "category", "services"), ("A", "1", "category", None), ("A", "2", "deleted", "yes"), ("A", "3", "merchant", "Coffee Spot"), ("A", "3", "flow", "nonsense")])
     assert [got["A", str(i)]["category"] for i in range(4)] == ["services", None, "groceries", "restaurant"]
-    assert (got["A", "2"]["status"], got["A", "2"]["net_spend_cents"], got["A", "2"]["counts_as_spending"]) == ("ignored", 0, False)
-    assert (got["A", "3"]["merchant_key"], got["A", "3"]["flow"]) == ("coffee spot", "spend")
+    assert (got["A", "2"]["status"], got["A", "2"]["net_cost_cents"], got["A", "2"]["counts_as_cost"]) == ("ignored", 0, False)
+    assert (got["A", "3"]["merchant_key"], got["A", "3"]["flow"]) == ("coffee spot", schemas.OUTGO)
 
 
 def test_duplicates_across_native_accounts(spark):
@@ -196,31 +199,32 @@ def book(spark):
 
 
 def test_reports(spark, book):
-    s = views.spending(book.bank)
+    s = views.costs(book.bank)
     assert [tuple(r) for r in reports.recurring(s, "2026-08-20").collect()] == [("Netflix", 4, 1000, 1003, 1001)]
     assert [(r["merchant"], r["why"]) for r in reports.unusual(s, "2026-08-20").collect()] == [("Lamp Store", "first time here")]
     pairs = reports.receipt_candidates(book.receipt_rows, s).collect()
     assert [(r["kind"], r["merchant"]) for r in pairs] == [("candidate pair", "Key Food"), ("charge over $75 with no receipt", "Lamp Store")]
-    assert book.sql("SELECT sum(net_spend_cents) AS c FROM everything").first()["c"] == 4006 + 20000 + 500
+    assert book.sql("SELECT sum(net_cost_cents) AS c FROM everything").first()["c"] == 4006 + 20000 + 500
     assert "(no rows)" == sinks.render(book.sql("balances"))
 
 
 def test_publish(spark, book, tmp_path):
     book.publish(str(tmp_path / "out"))
     book.publish(str(tmp_path / "out"))
-    lines = [json.loads(x) for p in (tmp_path / "out/bank/year=2026/month=08").glob("part-*") for x in p.read_text().splitlines()]
+    store = Store(spark, str(tmp_path / "out"))
+    assert store.numbers() == [1, 2] and len(store.vacuum()) >= 5
+    lines = [json.loads(x) for p in Path(store.build(), "bank/year=2026/month=08").glob("part-*") for x in p.read_text().splitlines()]
     assert [x["date"] for x in lines] == ["2026-08-01", "2026-08-14"] and list(lines[0]) == sorted(lines[0])
-    assert spark.read.parquet(str(tmp_path / "out/ledger/bank")).count() == 6
-    assert schemas.unsafe_sums(schemas.BANK, ["amount_cents", "net_spend_cents"]) == ["amount_cents"]
+    assert store.table("bank").count() == 6 and spark.read.json(f"{store.build()}/manifest").first()["bank_rows"] == 6
+    assert schemas.unsafe_sums(schemas.BANK, ["amount_cents", "net_cost_cents"]) == ["amount_cents"]
 
 
 def test_idempotent_appends_and_stream(spark, tmp_path):
     batch = records(spark, [record(external=str(i)) for i in range(3)])
-    keys = ["source", "native_account", "external_id", "content_sha256"]
-    assert [sinks.append_new(batch, str(tmp_path / "t"), keys, ["observed_at", "uid"]) for _ in range(3)] == [3, 0, 0]
+    assert [Store(spark, str(tmp_path / "t")).append_new({"feed_records": batch}, KEYED) for _ in range(3)] == [{"feed_records": n} for n in (3, 0, 0)]
     batch.write.parquet(str(tmp_path / "in/a"))
     batch.write.parquet(str(tmp_path / "in/b"))
-    q = ingest.append(ingest.observed(spark, str(tmp_path / "in/*"), 1), str(tmp_path / "s"), str(tmp_path / "c"))
+    q = ingest.append(ingest.observed(spark, str(tmp_path / "in/*"), 1), Store(spark, str(tmp_path / "s")), str(tmp_path / "c"))
     q.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+    assert Store(spark, str(tmp_path / "s")).table("feed_records").count() == 3
     assert sinks.upserted(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b")], "k int, v string"), ["k"], ["v"]).first()["v"] == "b"
