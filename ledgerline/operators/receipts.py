@@ -109,7 +109,7 @@ def retry_schedule(attempts: DataFrame, by: list[str], first_seconds: int = RETR
     for b in by:
         same = same & F.col(f"a.{b}").eqNullSafe(F.col(f"o.{b}"))
     since = attempts.alias("a").join(last_ok.alias("o"), same).filter(F.col("__ok").isNull() | (F.struct("a.created_at", "a.id") > F.col("__ok")))
-    told = since.groupBy(*[F.col(f"a.{b}").alias(b) for b in by]).agg(F.count(F.lit(1)).alias("failures"), F.max("a.created_at").alias("last_at"))
+    told = since.groupBy(*[F.col(f"a.{b}").alias(b) for b in by]).agg(F.count(F.lit(1)).alias("failures"), F.max(F.col("a.created_at").cast("timestamp")).alias("last_at"))
     steps = F.least(F.col("failures") - 1, F.lit(40))  # beyond that any delay is over the most
     delay = F.least(F.lit(first_seconds) * F.pow(F.lit(2.0), steps), F.lit(float(most_seconds))).cast("bigint")
     return told.withColumn("due_at", F.timestamp_micros(F.unix_micros("last_at") + delay * 1_000_000))

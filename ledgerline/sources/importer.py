@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ids import synthesised_id
+from ledgerline.functions.text import let
 from ledgerline.sources.statements import DIALECTS, FIELDS, GLOB, looks_like_ofx, parse_ofx
 from ledgerline.storage import once
 
@@ -52,8 +53,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _values(line: Column) -> Column:
     """A line's values; those that it doesn't have are null."""
-    parsed = F.from_csv(line, F.lit(_CSV), _OPTIONS)
-    return F.array(*[parsed[f"c{i}"] for i in range(MOST_COLUMNS)])
+    return let(F.from_csv(line, F.lit(_CSV), _OPTIONS), lambda parsed: F.array(*[parsed[f"c{i}"] for i in range(MOST_COLUMNS)]))
 
 
 def _names(line: Column) -> Column:

@@ -7,9 +7,11 @@ all rows so far, in whatever order they came.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -31,6 +33,10 @@ def with_state(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# a query's processor also starts in a process beside the driver, which has none of what was shipped to the executors
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class _Newest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.contents = handle.getListState("contents", _CONTENT)
@@ -59,7 +65,7 @@ def newest_transactions(records: DataFrame) -> DataFrame:
     """
     rest = [c for c in records.columns if c not in (*KEYS, "content_sha256", "uid", "observed_at")]
     # as text, so that nothing passes through floats
-    rows = records.select(*KEYS, "content_sha256", F.coalesce(F.unix_micros("observed_at"), F.lit(-(2**62))).alias("observed"), F.coalesce("uid", F.lit("")).alias("uid"), F.col("amount_cents").cast("string").alias("amount"), F.to_json(F.struct(*rest)).alias("row"))
+    rows = records.select(*KEYS, "content_sha256", F.coalesce(F.unix_micros(F.col("observed_at").cast("timestamp")), F.lit(-(2**62))).alias("observed"), F.coalesce("uid", F.lit("")).alias("uid"), F.col("amount_cents").cast("string").alias("amount"), F.to_json(F.struct(*rest)).alias("row"))
     found = rows.groupBy(*KEYS).transformWithStateInPandas(_Newest(), _NEWEST, "Update", "None")
     schema = records.select(*rest).schema
     time = lambda c: F.when(F.col(c) > -(2**62), F.timestamp_micros(c))
@@ -121,7 +127,7 @@ def replayed(events: DataFrame, late: str = "5 days", wait_ms: int = 5 * 86_400_
     longer than wait_ms, by the stream's event time, is told as an orphan and kept: should its receipt come after all,
     it is told again, as resolved. Repeated events are told again alike.
     """
-    keyed = events.select("receipt", "sha", "kind", "at", "body").filter("receipt is not null").withWatermark("at", late)
+    keyed = events.select("receipt", "sha", "kind", F.col("at").cast("timestamp").alias("at"), "body").filter("receipt is not null").withWatermark("at", late)
     return keyed.groupBy("receipt").transformWithStateInPandas(_Replay(wait_ms), RESOLVED, "Update", "EventTime")
 
 

@@ -62,7 +62,7 @@ def test_merchant_keys_of_all_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for folder in (str(tmp_path), "/root/testdata/sf0.001"):
         want = {r["doc_id"]: r["text"] and (" ".join(re.sub(r"[^\w\s]", "", r["text"].casefold()).split()) or None) or None for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
-        assert {r["doc_id"]: r["key"] for r in catalogue.QUERIES["f11_merchant_key_all"](spark, folder).collect()} == want
+        assert {r["doc_id"]: r["key"] for r in catalogue.QUERIES["f11_merchant_key"](spark, folder).collect()} == want
 
 
 def test_other_text(spark):
