@@ -341,6 +341,75 @@ def test_decontamination_beyond_the_basis(spark, monkeypatch):
     assert sorted(r["doc_id"] or -1 for r in decontaminate.without_leaks(df, bench).collect()) == [-1, *range(200, 240)]
 
 
+def planted(n, share, seed, corpus):
+    """(items, texts): texts hold one item each, of whose words a share are others of the corpus, between words of the corpus."""
+    rng = random.Random(seed)
+    words_in = [w for t in corpus for w in t.split()]
+    items = [" ".join(rng.choices(words_in, k=rng.randrange(15, 60))) for _ in range(n)]
+    texts = []
+    for i in range(min(n, 150)):
+        w = [rng.choice(words_in) if rng.random() < share else x for x in items[i].split()]
+        texts.append(" ".join(rng.choices(words_in, k=rng.randrange(0, 70)) + w + rng.choices(words_in, k=rng.randrange(0, 70))))
+    return items, texts
+
+
+def exhaustive(items, texts, verbatim=0.75, paraphrase=0.5, answer=0.6):
+    """Which items each text leaks by the subsequence and answer rules alone, every item compared with every passage."""
+    hashed = lambda t: decontaminate.words_of(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    own = [hashed(t) for t in items]
+    counts = np.bincount(np.concatenate([np.unique(decontaminate.feature(hashed(t))) for t in texts]), minlength=decontaminate.FEATURES)
+    out = []
+    for t in texts:
+        h, found = hashed(t), set()
+        for k, w in enumerate(own):
+            rare = set(np.unique(w[np.argsort(counts[decontaminate.feature(w)], kind="stable")[: max(2, len(w) // 3)]]).tolist())
+            for at in range(0, len(h), decontaminate.STEP):
+                text = h[max(0, at - decontaminate.STEP) : at + max(decontaminate.WINDOW, len(w)) + decontaminate.STEP].tolist()
+                told = len(rare & set(text)) / len(rare)
+                if not told or len(set(w.tolist()) & set(text)) < paraphrase * len(set(w.tolist())) * 0.5:
+                    continue
+                lcs = decontaminate.lcs_length(w.tolist(), text) / len(w)
+                if lcs >= verbatim or lcs >= paraphrase and told >= answer:
+                    found.add(k)
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.35])
+def test_retrieval_against_exhaustive_search(spark, share):
+    corpus = [prose(i, 400) for i in range(40)]
+    items, texts = planted(200, share, 3, corpus)
+    texts += [prose(6000 + i, 200) for i in range(30)]
+    want = exhaustive(items, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), bench).collect()}
+    due = [i for i, w in enumerate(want) if w]
+    assert len(due) >= 40 and sum(got[i]["contaminated"] for i in due) >= 0.95 * len(due)
+    assert not any(r["contaminated"] and r["item_id"] not in want[i] for i, r in got.items())
+
+
+def test_candidates_come_from_the_latent_space(spark, monkeypatch):
+    corpus = [prose(i, 400) for i in range(40)]
+    items, texts = planted(60, 0.2, 4, corpus)
+    texts += items[:5]
+    bench, docs = spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect() if r["contaminated"]}
+    every = found()
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda *a: np.zeros((decontaminate.FEATURES, 8), np.float32))
+    assert len(every) > 50 and found() == set(range(60, 65))  # whole items need no cosine
+
+
+def test_decontamination_of_long_and_nameless_rows(spark):
+    item = prose(77, 40)
+    rows = [(None, prose(1, 300_000) + " " + item + " " + prose(2, 10)), (None, prose(3, 50)), (None, prose(3, 50)), (7, item + " x"), (7, item + " x"), (7, prose(4, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id as item_id", "text as lcs", "1 as cosine")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.leaks(docs.select("doc_id", "text"), bench).collect()
+    assert sorted((r["doc_id"] or 0, r["contaminated"]) for r in got) == [(0, False), (0, False), (0, True), (7, False), (7, True), (7, True)]
+    kept = decontaminate.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == 3
+
+
 def test_lcs():
     for seed in range(50):
         rng = random.Random(seed)
