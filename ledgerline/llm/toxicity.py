@@ -1,11 +1,15 @@
 """Toxicity scores: averaged subword-bag embeddings under a linear softmax.
 
 A word's vector is the mean of the vectors of its character n-grams (and of itself), hashed into a fixed
-number of buckets, so an unseen misspelling shares most of its vector with the word it comes from. A
-document is the mean of its distinct words. Embeddings and softmax are trained jointly, in numpy, on a bounded
-sample of labelled rows (`per_class` of each label, of `most_chars` characters at most; nothing else is sampled);
-a fifth of it, from which the embeddings don't learn, places the threshold. The softmax is linear, so a
-trained model is one number a bucket: 512 KiB whatever the corpus, which is what goes to the tasks.
+number of buckets, so an unseen misspelling shares most of its vector with the word it comes from. A window of
+WINDOW words is the mean of its words, and a document scores as its highest window, so that a few words count
+in a long text too; the more windows, the higher the score that it takes (`length`, fitted). Embeddings and
+softmax are trained jointly, in numpy, on windows of a bounded sample of labelled rows (`per_class` of each
+label, of `most_chars` characters at most; nothing else is sampled): of whole texts first, then in ROUNDS of
+each text's highest window and a share of the clean ones. Buckets of fewer than LEAST texts don't train: they
+would only tell texts apart. A fifth of the sample, from which the embeddings don't learn, places the
+threshold. The softmax is linear, so a trained model is one number a bucket: 512 KiB whatever the corpus,
+which is what goes to the tasks.
 
 Null and empty texts, and texts without letters, say nothing: their score is the share of label 1. Rows with a null id or
 label don't train; of several labels of an id the larger counts, of its texts the smallest. Repeated rows score
@@ -23,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.textarrays import prefix_hash, ragged, repeat_of, span_hash, text_slices, word_spans
+from ledgerline.llm.textarrays import prefix_hash, ragged, span_hash, text_slices, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+WINDOW, STRIDE, LEAST, ROUNDS = 4, 2, 4, 3
+#: Windows of clean texts that a round trains on beside each text's highest.
+CLEAN_WINDOWS = 8000
 SCORES = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -62,8 +69,8 @@ class Subwords:
         return (np.concatenate(entries) % np.uint64(self.buckets)).astype(np.int32), np.concatenate(of).astype(np.int32), words, first, keys
 
     def of_texts(self, texts: list[str], slice_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(entry buckets, entry words, text of each distinct (text, word) pair, its word), a slice at a time, so that memory follows the distinct words."""
-        seen, bucket, of, doc, word = np.zeros(0, np.uint64), [], [], [], []
+        """(entry buckets, entry words, words of all texts in order, first): distinct words are numbered over all texts, a slice at a time."""
+        seen, bucket, of, word, sizes = np.zeros(0, np.uint64), [], [], [], []
         number = np.zeros(0, np.int64)
         done = n_words = 0
         while done < len(texts):
@@ -78,14 +85,32 @@ class Subwords:
             keep = new[o]
             bucket.append(b[keep])
             of.append(own[o[keep]].astype(np.int32))
-            d, w, _ = distinct_words(first, words)
-            doc.append(d + done)
-            word.append(own[w])
+            word.append(own[words].astype(np.int32))
+            sizes.append(np.diff(first))
             seen, number = np.concatenate([seen, keys[new]]), np.concatenate([number, own[new]])
             order = np.argsort(seen)
             seen, number, n_words, done = seen[order], number[order], n_words + int(new.sum()), done + len(raw)
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return cat(bucket, np.int32), cat(of, np.int32), cat(doc, np.int64), cat(word, np.int64)
+        return cat(bucket, np.int32), cat(of, np.int32), cat(word, np.int32), np.concatenate([[0], np.cumsum(cat(sizes, np.int64))])
+
+
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of WINDOW words each, every STRIDE; a shorter text is one window, one without words none."""
+    n = np.diff(first)
+    count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
+    text = np.repeat(np.arange(len(n)), count)
+    start = first[text] + STRIDE * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    return start, np.minimum(start + WINDOW, first[text + 1]), text
+
+
+def highest(word_scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows' means, each text's highest, each text's number of windows) from the scores of all words in order."""
+    start, end, text = windows(first)
+    sums = np.concatenate([[0.0], np.cumsum(word_scores)])
+    means = (sums[end] - sums[start]) / np.maximum(end - start, 1)
+    best = np.full(len(first) - 1, -np.inf)
+    np.maximum.at(best, text, means)
+    return means, best, np.bincount(text, minlength=len(first) - 1)
 
 
 @dataclass(frozen=True)
@@ -94,91 +119,103 @@ class Model:
     weight: np.ndarray  # a bucket's vector times the softmax's difference
     bias: float
     prior: float = 0.0  # the score of a text without words
+    length: float = 0.0  # what each doubling (base e) of the number of windows adds
 
     def score(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z, n = self.logits(buf, offsets)
         return np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.prior)
 
     def logits(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds, distinct words) of each text."""
+        """(log-odds, windows) of each text."""
         bucket, of, words, first, _ = self.subwords.bags(buf, offsets)
-        n = np.diff(first)
         if not len(words):
-            return np.full(len(n), self.bias), n
+            return np.full(len(offsets) - 1, self.bias), np.zeros(len(offsets) - 1, np.int64)
         word = np.bincount(of, self.weight[bucket]) / np.bincount(of)
-        doc, kind, _ = distinct_words(first, words)
-        total, n = np.bincount(doc, word[kind], len(n)), np.bincount(doc, minlength=len(n))
-        return total / np.maximum(n, 1) + self.bias, n
-
-
-def distinct_words(first: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word, occurrences), each pair once: a text is the mean of its distinct words, so chanting one word doesn't drown the rest."""
-    kinds = int(words.max(initial=-1)) + 1
-    pairs, tf = np.unique(repeat_of(first) * max(kinds, 1) + words, return_counts=True)
-    return *np.divmod(pairs, max(kinds, 1)), tf
+        _, best, n = highest(word[words], first)
+        return np.where(n > 0, best, 0.0) + self.bias + self.length * np.log(np.maximum(n, 1)), n
 
 
-def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords = Subwords(), dim: int = 8, epochs: int = 150, rate: float = 0.1, decay: float = 3e-5) -> Model:
+def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords = Subwords(), dim: int = 8, epochs: int = 100, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Full-batch Adam on log-loss, both labels with equal weight. prior: the share of label 1 in the table.
 
     As all is linear up to the softmax, a step needs the embeddings' products with the softmax's difference only,
-    forwards and backwards: one number a bucket, word and text.
+    forwards and backwards: one number a bucket, word and bag. A bag is a whole text at first, then a window.
     """
-    bucket, of, doc, word = subwords.of_texts(texts)
-    n_docs, n_words = len(texts), int(of.max(initial=-1)) + 1
-    share = 1 / np.bincount(doc, minlength=n_docs)[doc]
+    bucket, of, words, first = subwords.of_texts(texts)
+    n_words = int(of.max(initial=-1)) + 1
     parts = 1 / np.maximum(np.bincount(of, minlength=n_words), 1)
-    rng = np.random.default_rng(7)
-    e = rng.normal(0, 0.05, (dim, subwords.buckets))
-    w = rng.normal(0, 0.5, dim)
-    weights = 1 / np.maximum(np.bincount(labels.astype(int), minlength=2), 1)[labels.astype(int)]
-    weights = weights / weights.sum()
-    bias = np.zeros(1)
-    values = (e, w, bias)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
-    gain = 30.0  # a document's mean over hundreds of words is small
-    for step in range(1, epochs + 1):
-        u = np.bincount(of, (w @ e)[bucket], n_words) * parts
-        p = 1 / (1 + np.exp(-np.clip(gain * np.bincount(doc, share * u[word], n_docs) + bias, -40, 40)))
-        g = weights * (p - labels)
-        gu = gain * np.bincount(word, share * g[doc], n_words) * parts
-        ge = np.bincount(bucket, gu[of], subwords.buckets)
-        for (m, s), grad, x in zip(state, (np.outer(w, ge) + decay * e, e @ ge, g.sum(keepdims=True)), values, strict=True):
-            m += 0.1 * (grad - m)
-            s += 0.01 * (grad * grad - s)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return Model(subwords, gain * (w @ e), float(bias[0]), prior)
-
-
-def logits(model: Model, texts: list[str]) -> np.ndarray:
-    out = []
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
+    pairs = np.unique(text * max(n_words, 1) + words)  # a text's distinct words
+    of_word = np.bincount(pairs % max(n_words, 1), minlength=n_words)
+    entries = np.unique(bucket.astype(np.int64) * max(n_words, 1) + of)
+    trained = np.bincount(entries // max(n_words, 1), of_word[entries % max(n_words, 1)], subwords.buckets) >= LEAST
+
+    def fit_bags(bag: np.ndarray, word: np.ndarray, y: np.ndarray, gain: float) -> tuple[np.ndarray, float]:
+        """(weight of each bucket, bias) of bags y, whose words are the pairs (bag, word); gain: a mean over many words is small."""
+        n = len(y)
+        share = 1 / np.bincount(bag, minlength=n)[bag]
+        rng = np.random.default_rng(7)
+        e = rng.normal(0, 0.05, (dim, subwords.buckets)) * trained
+        w = rng.normal(0, 0.5, dim)
+        weights = 1 / np.maximum(np.bincount(y.astype(int), minlength=2), 1)[y.astype(int)]
+        weights = weights / weights.sum()
+        bias = np.zeros(1)
+        values = (e, w, bias)
+        state = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
+        for step in range(1, epochs + 1):
+            u = np.bincount(of, (w @ e)[bucket], n_words) * parts
+            p = 1 / (1 + np.exp(-np.clip(gain * np.bincount(bag, share * u[word], n) + bias, -40, 40)))
+            g = weights * (p - y)
+            gu = gain * np.bincount(word, share * g[bag], n_words) * parts
+            ge = np.bincount(bucket, gu[of], subwords.buckets) * trained
+            for (m, s), grad, x in zip(state, (np.outer(w, ge) + decay * e, e @ ge, g.sum(keepdims=True)), values, strict=True):
+                m += 0.1 * (grad - m)
+                s += 0.01 * (grad * grad - s)
+                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        return gain * (w @ e), float(bias[0])
+
+    weight, bias = fit_bags(pairs // max(n_words, 1), pairs % max(n_words, 1), labels, 30.0)
+    start, end, own = windows(first)
+    for turn in range(ROUNDS if len(start) else 0):
+        means, best, _ = highest((np.bincount(of, weight[bucket], n_words) * parts)[words], first)
+        clean = labels[own] == 0
+        chosen = np.flatnonzero((means >= best[own]) | clean & (np.random.default_rng(turn).random(len(own)) < min(0.1, CLEAN_WINDOWS / max(1, clean.sum()))))
+        size = end[chosen] - start[chosen]
+        weight, bias = fit_bags(np.repeat(np.arange(len(chosen)), size), words[ragged(start[chosen], size)], labels[own[chosen]], 3.0)
+    return Model(subwords, weight, bias, prior)
+
+
+def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(log-odds, windows) of each text."""
+    out = [(np.zeros(0), np.zeros(0, np.int64))]
     for lo in range(0, len(texts), 32):  # bounds the memory
         raw = [t.encode() for t in texts[lo : lo + 32]]
-        out.append(model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[0])
-    return np.concatenate(out) if out else np.zeros(0)
+        out.append(model.logits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))
+    return np.concatenate([z for z, _ in out]), np.concatenate([n for _, n in out])
 
 
-def calibrate(model: Model, x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> Model:
-    """Slope and bias fitted to logits of rows that the model didn't learn from, so that 0.5 is where either label is as likely in the table."""
+def calibrate(model: Model, x: np.ndarray, windows_of: np.ndarray, y: np.ndarray, weights: np.ndarray) -> Model:
+    """Slope, length and bias fitted to logits of rows that the model didn't learn from, so that 0.5 is where either label is as likely in the table."""
     if not 0 < y.sum() < len(y):
         return model
     weights = weights / weights.sum() * len(y)
-    a = np.array([0.0, 1.0])
-    design = np.column_stack([np.ones(len(x)), x])
+    a = np.array([0.0, 1.0, 0.0])
+    design = np.column_stack([np.ones(len(x)), x, np.log(np.maximum(windows_of, 1))])
+    firm, at = np.array([0.01, 1.0, 1.0]), np.array([0.0, 1.0, 0.0])
 
     def loss(a: np.ndarray) -> float:
         z = design @ a
-        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (a[1] - 1) ** 2 + 0.005 * a[0] ** 2)
+        return float((weights * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (firm * (a - at) ** 2).sum())
 
     for _ in range(50):  # Newton steps, halved until they help
         p = 1 / (1 + np.exp(-np.clip(design @ a, -40, 40)))
-        grad = design.T @ (weights * (p - y)) + np.array([0.01 * a[0], a[1] - 1])
-        step = np.linalg.solve((design * (weights * p * (1 - p))[:, None]).T @ design + np.diag([0.01, 1.0]), grad)
+        grad = design.T @ (weights * (p - y)) + firm * (a - at)
+        step = np.linalg.solve((design * (weights * p * (1 - p))[:, None]).T @ design + np.diag(firm), grad)
         size = 1.0
         while size > 1e-6 and loss(a - size * step) > loss(a):
             size /= 2
         a = a - size * step
-    return replace(model, weight=model.weight * max(a[1], 0), bias=float(a[0] + a[1] * model.bias))
+    return replace(model, weight=model.weight * max(a[1], 0), bias=float(a[0] + a[1] * model.bias), length=float(min(a[2], 0)))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -216,11 +253,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             kept = turn % 5 == 4
             weights = np.array([r[3] for r in rows], float) / np.where(y == 1, max(1, y.sum()), max(1, (1 - y).sum()))
             model = train([r[2] for r, own in zip(rows, kept, strict=True) if not own], y[~kept], float((weights * y).sum() / weights.sum()))
-            model = calibrate(model, logits(model, [r[2] for r, own in zip(rows, kept, strict=True) if own]), y[kept], weights[kept])
-            yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()]), pa.array([model.bias]), pa.array([model.prior])], names=["weight", "bias", "prior"])
+            model = calibrate(model, *logits(model, [r[2] for r, own in zip(rows, kept, strict=True) if own]), y[kept], weights[kept])
+            yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()]), *(pa.array([x]) for x in (model.bias, model.prior, model.length))], names=["weight", "bias", "prior", "length"])
 
-    got = sample.repartition(1).mapInArrow(run, "weight binary, bias double, prior double").collect() if sample is not None else []
-    return replace(none, weight=np.frombuffer(got[0]["weight"], "<f4").astype(float), bias=got[0]["bias"], prior=got[0]["prior"]) if got else none
+    got = sample.repartition(1).mapInArrow(run, "weight binary, bias double, prior double, length double").collect() if sample is not None else []
+    return replace(none, weight=np.frombuffer(got[0]["weight"], "<f4").astype(float), bias=got[0]["bias"], prior=got[0]["prior"], length=got[0]["length"]) if got else none
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, threshold: float = 0.5) -> DataFrame:

@@ -440,9 +440,9 @@ def test_toxicity_log_odds_stay_finite():
     kinds = toxicity.Subwords()
     model = toxicity.Model(kinds, np.random.default_rng(0).normal(0, 1e5, kinds.buckets), 0.0, 0.3)
     texts = [prose(i, 20) for i in range(40)] + ["", " 12 "]
-    x = toxicity.logits(model, texts)
+    x, n = toxicity.logits(model, texts)
     assert np.isfinite(x).all() and np.abs(x[:40]).max() > 1000
-    fitted = toxicity.calibrate(model, x[:40], (x[:40] > 0).astype(float), np.ones(40))
+    fitted = toxicity.calibrate(model, x[:40], n[:40], (x[:40] > 0).astype(float), np.ones(40))
     assert np.isfinite(fitted.weight).all() and np.isfinite(fitted.bias)
     raw = [t.encode() for t in texts]
     scores = fitted.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
@@ -450,6 +450,55 @@ def test_toxicity_log_odds_stay_finite():
     assert ((scores[:40] >= 0.5) == (x[:40] > 0)).mean() >= 0.9
 
 
+def plain_log_odds(model, text):
+    """A text's highest window, one word and one n-gram at a time."""
+    letters = [chr(b).lower() if chr(b).isascii() and chr(b).isalpha() else chr(b) if b >= 128 else " " for b in text.encode()]
+    raw = bytearray(ord(c) for c in letters)
+    for i in range(1, len(raw)):
+        if text.encode()[i - 1] == 0xC3 and 0x80 <= text.encode()[i] <= 0x9E:
+            raw[i] += 32
+
+    def bucket(gram):
+        h = sum(int(textarrays._BYTE[b]) * textarrays._R**i for i, b in enumerate(gram)) % 2**64
+        return int(textarrays.mix(np.array([h ^ len(gram) * 0xD6E8FEB86659FD93 % 2**64], np.uint64))[0]) % model.subwords.buckets
+
+    scores = []
+    for w in bytes(raw).split(b" "):
+        if w:
+            marked = b" " + w + b" "
+            grams = [marked] + [marked[i : i + n] for n in model.subwords.sizes if n != len(marked) for i in range(len(marked) - n + 1)]
+            scores.append(np.mean([model.weight[bucket(g)] for g in grams]))
+    starts = range(0, max(1, len(scores) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)
+    means = [np.mean(scores[a : a + toxicity.WINDOW]) for a in starts] if scores else []
+    return max(means) + model.bias + model.length * math.log(len(means)) if means else None
+
+
+def test_toxicity_against_plain_writing():
+    kinds = toxicity.Subwords()
+    model = toxicity.Model(kinds, np.random.default_rng(1).normal(0, 1, kinds.buckets), 0.4, 0.2, -0.3)
+    texts = [None, "", "a", "A b", "one two three", "one two three four", "It's five-words: right? Yes", "ÀÉÎ naïve 日本 Straße", prose(1, 9), prose(2, 10), prose(3, 57), " 12 "]
+    z, n = toxicity.logits(model, [t or "" for t in texts])
+    for t, x, k in zip(texts, z, n, strict=True):
+        want = plain_log_odds(model, t or "")
+        assert (want is None) == (k == 0) and (want is None or abs(want - x) < 1e-9)
+
+
+def test_toxicity_in_long_texts(spark):
+    """A few words in a long text, repeated rows, texts without letters and columns of clashing names."""
+    rng = random.Random(3)
+    rows = [(i, prose(i, rng.randrange(20, 200)), int(i % 4 == 0)) for i in range(300)]
+    rows = [(i, t.replace(" ", " moronic fool ", 1) if y else t, y) for i, t, y in rows]
+    long = " ".join(prose(5000 + i, 300) for i in range(20))
+    df = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, long + " moronic fool " + long, "x"), (901, long, "x"), (901, long, "x"), (902, "12 34", "x"), (None, "moronic fool", "x")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, labels)).collect()
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert len(got) == 305 and by[900] > by[901] and by[None] > 0.5
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    pos, neg = (np.array([by[i] for i in held if rows[i][2] == y]) for y in (1, 0))
+    assert (pos[:, None] > neg).mean() >= 0.9
+
+
 def test_audio(docs, empty):
     got = media.audio_summary(docs).collect()
     assert len(got) == len(TEXTS) + 1
