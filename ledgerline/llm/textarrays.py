@@ -5,6 +5,7 @@ All hashes are 64 bits and depend on the bytes alone, so they agree between task
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,14 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Give freed memory back to the machine: a worker that waits for its next task shouldn't hold what the last one needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts take about most_bytes (one longer text is a slice of its own).
 
@@ -81,6 +90,9 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 19) -
         data = part.buffers()[2]
         buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
         yield batch.slice(lo, hi - lo), buf, offsets - offsets[0]
+        del part, data, buf
+    del texts
+    release()
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

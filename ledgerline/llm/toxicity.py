@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.textarrays import prefix_hash, ragged, span_hash, text_slices, word_spans
+from ledgerline.llm.textarrays import prefix_hash, ragged, release, span_hash, text_slices, word_spans
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -147,13 +147,19 @@ def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     pairs = np.unique(text * max(n_words, 1) + words)  # a text's distinct words
     of_word = np.bincount(pairs % max(n_words, 1), minlength=n_words)
-    entries = np.unique(bucket.astype(np.int64) * max(n_words, 1) + of)
-    trained = np.bincount(entries // max(n_words, 1), of_word[entries % max(n_words, 1)], subwords.buckets) >= LEAST
+    trained = np.zeros(subwords.buckets, np.int32)
+    for a in range(0, len(of), 1 << 19):
+        trained += np.bincount(bucket[a : a + (1 << 19)], of_word[of[a : a + (1 << 19)]], subwords.buckets).astype(np.int32)
+    trained = trained >= LEAST
+    keep = trained[bucket]  # the others' vectors are zero
+    bucket, of = bucket[keep], of[keep]
+    of_text, of_pair = (pairs // max(n_words, 1)).astype(np.int32), (pairs % max(n_words, 1)).astype(np.int32)
+    del text, pairs, keep
 
     def fit_bags(bag: np.ndarray, word: np.ndarray, y: np.ndarray, gain: float) -> tuple[np.ndarray, float]:
         """(weight of each bucket, bias) of bags y, whose words are the pairs (bag, word); gain: a mean over many words is small."""
         n = len(y)
-        share = 1 / np.bincount(bag, minlength=n)[bag]
+        share = (1 / np.maximum(np.bincount(bag, minlength=n), 1)).astype(np.float32)
         rng = np.random.default_rng(7)
         e = rng.normal(0, 0.05, (dim, subwords.buckets)) * trained
         w = rng.normal(0, 0.5, dim)
@@ -164,9 +170,9 @@ def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords
         state = [(np.zeros_like(x), np.zeros_like(x)) for x in values]
         for step in range(1, epochs + 1):
             u = np.bincount(of, (w @ e)[bucket], n_words) * parts
-            p = 1 / (1 + np.exp(-np.clip(gain * np.bincount(bag, share * u[word], n) + bias, -40, 40)))
+            p = 1 / (1 + np.exp(-np.clip(gain * share * np.bincount(bag, u[word], n) + bias, -40, 40)))
             g = weights * (p - y)
-            gu = gain * np.bincount(word, share * g[bag], n_words) * parts
+            gu = gain * np.bincount(word, (share * g)[bag], n_words) * parts
             ge = np.bincount(bucket, gu[of], subwords.buckets) * trained
             for (m, s), grad, x in zip(state, (np.outer(w, ge) + decay * e, e @ ge, g.sum(keepdims=True)), values, strict=True):
                 m += 0.1 * (grad - m)
@@ -174,7 +180,8 @@ def train(texts: list[str], labels: np.ndarray, prior: float, subwords: Subwords
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
         return gain * (w @ e), float(bias[0])
 
-    weight, bias = fit_bags(pairs // max(n_words, 1), pairs % max(n_words, 1), labels, 30.0)
+    weight, bias = fit_bags(of_text, of_pair, labels, 30.0)
+    del of_text, of_pair
     start, end, own = windows(first)
     for turn in range(ROUNDS if len(start) else 0):
         means, best, _ = highest((np.bincount(of, weight[bucket], n_words) * parts)[words], first)
@@ -255,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
             model = train([r[2] for r, own in zip(rows, kept, strict=True) if not own], y[~kept], float((weights * y).sum() / weights.sum()))
             model = calibrate(model, *logits(model, [r[2] for r, own in zip(rows, kept, strict=True) if own]), y[kept], weights[kept])
             yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f4").tobytes()]), *(pa.array([x]) for x in (model.bias, model.prior, model.length))], names=["weight", "bias", "prior", "length"])
+        release()
 
     got = sample.repartition(1).mapInArrow(run, "weight binary, bias double, prior double, length double").collect() if sample is not None else []
     return replace(none, weight=np.frombuffer(got[0]["weight"], "<f4").astype(float), bias=got[0]["bias"], prior=got[0]["prior"], length=got[0]["length"]) if got else none
