@@ -6,7 +6,7 @@ documents that run over block edges are stitched by a prefix scan over one small
 ends came before, and how many tokens stand open. The scan has two levels, so that a single file may hold
 any share of the data: no task ever holds more than SUPER rows of one file's blocks.
 
-Null and empty texts count 0 tokens. Repeated rows count alike. A file whose last document has no end id
+Null and empty texts count 0 tokens. Repeated rows count alike; a null doc_id stays null. A file whose last document has no end id
 still has it counted. Other columns are ignored; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ from ledgerline.llm.wordtokens import word_tokenizer
 END_ID = 49407
 BLOCK_BYTES = 1 << 20
 SUPER = 4096
-STREAM = "file long, block long, data binary, ids binary, first_ordinal long"
+STREAM = "file long, block long, data binary, ids array<long>, first_ordinal long"
 
 
 def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -37,12 +37,12 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block
 
         file, block, ordinal, held = TaskContext.get().partitionId(), 0, 0, b""
         tokens = word_tokenizer(tokenizer_path, special_as_text=True)
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["file", "block", "data", "ids", "first_ordinal"])
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["file", "block", "data", "ids", "first_ordinal"])
         for batch in batches:
             for part, buf, offsets in text_slices(batch, "text", 1 << 20):
                 ids, first = tokens.encode(buf, offsets)
                 held += np.insert(ids.astype("<u2"), first[1:], np.uint16(end_id)).tobytes()
-                rows = [(file, None, None, part.column(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), ordinal)]
+                rows = [(file, None, None, part.column(0).to_pylist(), ordinal)]
                 ordinal += len(part)
                 while len(held) >= block_bytes:
                     rows.append((file, block, held[:block_bytes], None, None))
@@ -51,11 +51,11 @@ def write_flat(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block
         if held:
             yield make([(file, block, held, None, None)])
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STREAM)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STREAM)
 
 
 def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(file, block, data) of existing flat files under path, each at most as large as one binaryFile row may be."""
+    """(file, block, data) of existing flat files under path, each at most as large as one binaryFile row may be (2 GiB). file is the path's xxhash64; empty files have no blocks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +112,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, blo
     """(doc_id, n_tokens): docs written flat into the shared folder, scanned and stitched."""
     flat = materialize(write_flat(docs, tokenizer_path, end_id, block_bytes), "flat-tokens")
     counts = stitch(materialize(scan_blocks(flat, end_id), "flat-scan"))
-
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, ids, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                own = np.frombuffer(ids.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), file)), pa.array(at + np.arange(len(own))), pa.array(own)], names=["file", "ordinal", "doc_id"])
-
-    ids = flat.filter("ids is not null").select("file", "ids", "first_ordinal").mapInArrow(names, "file long, ordinal long, doc_id long")
+    ids = flat.select("file", "first_ordinal", F.posexplode("ids").alias("at", "doc_id")).select("file", (F.col("first_ordinal") + F.col("at")).alias("ordinal"), "doc_id")
     return ids.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")

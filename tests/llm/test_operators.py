@@ -314,6 +314,31 @@ def test_token_counts(docs, empty, monkeypatch, block):
     assert tokencount.count_tokens(empty, tokenizer_path()).count() == 0
 
 
+def test_token_counts_without_ids(spark):
+    """A null id stays null, beside a real -1."""
+    rows = spark.createDataFrame([(-1, "a b c"), (None, "d"), (None, None), (-(2**63), "")], "doc_id long, text string")
+    got = [tuple(r) for r in tokencount.count_tokens(rows, tokenizer_path()).collect()]
+    assert collections.Counter(got) == {(-1, 3): 1, (None, 1): 1, (None, 0): 1, (-(2**63), 0): 1}
+
+
+@pytest.mark.parametrize("block", [2, 10, 1 << 20])
+def test_existing_flat_files(spark, tmp_path, monkeypatch, block):
+    """Several files in nested folders: documents over many blocks, empty ones, a last one that isn't ended, an empty file."""
+    monkeypatch.setattr(tokencount, "SUPER", 4)
+    rng, want = random.Random(5), {}
+    for k, (lengths, ended) in enumerate([([3, 0, 0, 41, 1], True), ([0], True), ([17], False), ([5, 0, 2], False), ([], True), ([0, 0, 60, 4], True)]):
+        ids = [x for n in lengths for x in (*(rng.randrange(9) for _ in range(n)), 9)]
+        path = tmp_path / f"part {k % 2}" / f"{k}.bin"
+        path.parent.mkdir(exist_ok=True)
+        np.array(ids if ended else ids[:-1], "<u2").tofile(path)
+        want[path.name] = list(enumerate(lengths))
+    blocks = tokencount.read_flat(spark, f"{tmp_path}/*", block)
+    got = collections.defaultdict(list)
+    for r in tokencount.stitch(tokencount.scan_blocks(blocks, 9)).collect():
+        got[r["file"]].append((r["ordinal"], r["n_tokens"]))
+    assert sorted(sorted(x) for x in got.values()) == sorted(x for x in want.values() if x)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(i, prose(1000 + i, 36)) for i in range(12)]
     bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
