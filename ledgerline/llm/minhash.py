@@ -12,7 +12,8 @@ pairs that are still in different components. There the members of lists longer
 pairs of coordinates, of which similar sets share one but for a chance below `miss`; what is crowded even then
 is compared in blocks. So no link between different texts is lost and no list is written out as pairs.
 
-Texts move only where a pair needs them, as sets of hashes. Null and empty texts, and texts of white space, have
+Texts move only where a pair needs them, as sets of hashes. Of a pair, the class with fewer pairs moves first, and a
+class with more than SPREAD pairs is dealt over salts, so a hub's set is copied once a salt and not once a pair. Null and empty texts, and texts of white space, have
 empty sets and are linked with nothing. A text with
 fewer words than a shingle has its whole sequence as one. Other columns are ignored; an empty table gives an
 empty result. doc_id names a row; identical repeated rows are copies of each other. A row without an id gets the component of its
@@ -37,6 +38,8 @@ COORDINATES = 32
 STARS = 2
 CROWD = 32  # posting lists with more open members are split by further coordinates
 BLOCK = 512  # members of a list that pairs of coordinates don't split
+BLOCK_BYTES = 16 << 20  # of their sets; only a single larger set makes a larger block
+SPREAD = 4096  # pairs of one class that meet in one task
 SMALL = 200_000  # rows of (id, hash) that may be broadcast: 10 MB at most
 _RNG = np.random.default_rng(411)
 _ODD = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -108,18 +111,47 @@ def prefixes(classes: DataFrame, least: int) -> DataFrame:
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(cls, links): how many of the pairs (a, b) each class is in."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
+
+
+def _meet(pairs: DataFrame, ends: DataFrame, facts: DataFrame) -> DataFrame:
+    """Stored pairs (a, b) with facts (cls, value) of both: (a, b, va, vb). ends: what _ends() says of the pairs, stored.
+
+    Of each pair b is the class with more links if that is a hub (more than SPREAD). Values move with a's rows, so a
+    hub's value is copied once a salt.
+    """
+    hubs = ends.filter(F.col("links") > SPREAD)
+    hubs = F.broadcast(hubs) if hubs.count() <= SMALL else hubs
+    by = lambda cls, links: hubs.select(F.col("cls").alias(cls), F.col("links").alias(links))
+    known = pairs.join(by("a", "la"), "a", "left").join(by("b", "lb"), "b", "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("la", "lb")})
+    swap = F.col("la") > F.col("lb")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("links") / SPREAD))
+    turned = known.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.greatest("la", "lb").alias("links"))
+    turned = turned.withColumn("salt", F.pmod(F.xxhash64("a"), salts)).drop("links")
+    one = facts.select(F.col("cls").alias("a"), F.col("value").alias("va"))
+    two = facts.join(hubs, "cls", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    two = two.select(F.col("cls").alias("b"), F.col("value").alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return turned.join(one, "a").join(two, ["b", "salt"]).select("a", "b", "va", "vb")
+
+
 def _collide(pairs: DataFrame, classes: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree in `least` coordinates and whose set sizes allow the similarity."""
+    """(a, b), stored: the pairs (a, b) whose signatures agree in `least` coordinates and whose set sizes allow the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= least))
 
-    left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    pairs = materialize(pairs, "pairs")
+    ends = materialize(_ends(pairs), "ends")
+    both = _meet(pairs, ends, classes.select("cls", F.struct("n", "sig").alias("value")))
+    both = both.filter((100 * F.col("va.n") >= percent * F.col("vb.n")) & (100 * F.col("vb.n") >= percent * F.col("va.n")))
+    out = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("va.sig").alias("sa"), F.col("vb.sig").alias("sb")).mapInArrow(run, "a long, b long")
+    out = materialize(out, "collided")
+    discard(pairs, ends)
+    return out
 
 
 def sets_of(wanted: DataFrame, texts: DataFrame, size: int, few: bool) -> DataFrame:
@@ -154,11 +186,11 @@ def _confirm(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
                 common = np.bincount(owner[order][np.flatnonzero(keys[order][1:] == keys[order][:-1])], minlength=len(part))
                 yield part.select(["a", "b"]).filter(pa.array(100 * common >= percent * (na + nb - common)))
 
-    sides = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = sets_of(sides.join(classes.select("cls", "rt"), "cls"), texts, size, 2 * pairs.count() <= SMALL)
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
-    out = materialize(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "linked")
-    discard(sets)
+    ends = materialize(_ends(pairs), "ends")
+    sets = sets_of(ends.join(classes.select("cls", "rt"), "cls"), texts, size, ends.count() <= SMALL)
+    both = _meet(pairs, ends, sets.withColumnRenamed("shingles", "value")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("va").alias("sa"), F.col("vb").alias("sb"))
+    out = materialize(both.mapInArrow(run, "a long, b long").distinct(), "linked")
+    discard(sets, ends)
     return out
 
 
@@ -175,23 +207,25 @@ def _bands(members: DataFrame) -> DataFrame:
     return members.select("cls", "comp", "n", "sig").distinct().mapInArrow(run, "key long, cls long, comp long, n long")
 
 
-def _by_size(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lists of CROWD members at most, longer ones with `members`) of those that hold several components."""
-    size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "members")
-    sized = materialize(lists.join(materialize(size, "list-sizes"), "key"), "lists")
-    return sized.filter(F.col("members") <= CROWD), sized.filter(F.col("members") > CROWD)
+def _by_size(lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lists (key, cls, comp, n, ...) that hold several components: of CROWD members at most, longer ones with `blocks`; and both, stored.
+
+    A list's blocks have about BLOCK members and BLOCK_BYTES of sets.
+    """
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") * 8 / BLOCK_BYTES))
+    size = lists.groupBy("key").agg(F.count(F.lit(1)).alias("members"), blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key", "members", "blocks")
+    sized = materialize(lists.join(size, "key"), "lists")
+    return sized.filter(F.col("members") <= CROWD), sized.filter(F.col("members") > CROWD), sized
 
 
 def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) among members (key, cls, comp, members) of crowded posting lists: enough of them to join all that link.
+    """(a, b), stored: links among members (key, cls, comp, blocks) of crowded posting lists, enough of them to join all that link.
 
-    A list is dealt into blocks of about BLOCK members, and each two of its blocks meet in one task, where full
+    Each two blocks of a list meet in one task, where full
     sets are compared by counting shared shingles in a matrix product. What leaves a task is a forest over
     components, never all pairs.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks.cast("long")).cast("int")
-    dealt = members.withColumns({"own": own, "blocks": blocks}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "comp")
     wanted = materialize(members.select("cls").distinct().join(classes.select("cls", "rt"), "cls"), "wanted")
     sets = sets_of(wanted, texts, size, wanted.count() <= SMALL)
@@ -230,52 +264,62 @@ def _blocks(members: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     links = dealt.join(sets, "cls").select("key", "i", "j", "cls", "comp", "shingles").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    return materialize(links, "blocks")
+    out = materialize(links, "blocks")
+    discard(wanted, sets)
+    return out
 
 
-def _links(posted: DataFrame, classes: DataFrame, texts: DataFrame, least: int, size: int, percent: int) -> DataFrame | None:
-    """Links (a, b) that connect everything that links at all; None without any."""
-    found: DataFrame | None = None
-    tested: DataFrame | None = None
-    rest = posted  # lists that may still hold members of several components
+def _links(posted: DataFrame, classes: DataFrame, texts: DataFrame, least: int, size: int, percent: int) -> list[DataFrame]:
+    """Links (a, b), stored tables of them, that connect everything that links at all."""
+    found: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    rest, before = posted, None  # lists that may still hold members of several components
     for turn in range(STARS + 1):
-        if found is None:
+        labels = components(_union(found)) if found else None
+        if labels is None:
             own = rest.withColumn("comp", F.col("cls"))
         else:
-            labels = components(found)
             own = rest.join(labels, rest["cls"] == labels["node"], "left").select("cls", "key", F.coalesce("label", "cls").alias("comp"))
         open_keys = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("hub")).filter("lo < hi")
         open_keys = materialize(open_keys.select("key", "hub"), "open-keys")
         own = materialize(own.join(open_keys, "key"), "open")
-        rest = own.select("cls", "key")
+        discard(open_keys, *(x for x in (labels, before) if x is not None))
+        rest, before = own.select("cls", "key"), own
+        spent = []
         if turn < STARS:
             pairs = own.filter(F.col("comp") != F.col("hub.comp"))
             pairs = pairs.groupBy("cls", F.col("hub.cls").alias("hub")).agg(F.count(F.lit(1)).alias("often"))
             pairs = pairs.groupBy("cls").agg(F.max_by("hub", F.struct("often", "hub")).alias("hub")).select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         else:
-            here = materialize(own.select("key", "cls", "comp").join(classes.select("cls", "n", "sig"), "cls").select("key", "cls", "comp", "n", "sig"), "lists")
-            few, many = _by_size(here)
-            few = few.select("key", "cls", "comp", "n")
+            here = own.select("key", "cls", "comp").join(classes.select("cls", "n", "sig"), "cls").select("key", "cls", "comp", "n", "sig")
+            few, many, sized = _by_size(here)
+            few, spent = few.select("key", "cls", "comp", "n"), [own, sized]
             if not many.isEmpty():
-                banded, many = _by_size(_bands(many))
-                few = few.unionByName(banded.select("key", "cls", "comp", "n"))
+                banded, many, sized = _by_size(_bands(many))
+                few, spent = few.unionByName(banded.select("key", "cls", "comp", "n")), [*spent, sized]
             one = few.select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
             two = few.select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
             pairs = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
             if not many.isEmpty():
-                links = _blocks(many, classes, texts, size, percent)
-                found = links if found is None else found.unionByName(links)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        collided = materialize(_collide(pairs, classes, least, percent), "collided")
+                found.append(_blocks(many, classes, texts, size, percent))
+        if tested:
+            pairs = pairs.join(_union(tested), ["a", "b"], "left_anti")
+        collided = _collide(pairs, classes, least, percent)
+        discard(*spent)
         if not collided.isEmpty():
-            links = _confirm(collided, classes, texts, size, percent)
-            found = links if found is None else found.unionByName(links)
-        tested = collided if tested is None else tested.unionByName(collided)
-        discard(open_keys)
+            found.append(_confirm(collided, classes, texts, size, percent))
+        tested.append(collided)
+    discard(*tested)
     return found
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
 def _decided(docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """(doc_id, thash, n, cls, label), stored: docs (doc_id, thash, text) with the class and the component of each set; null ones are empty sets."""
     least = least_collisions(percent / 100, miss)
@@ -284,13 +328,13 @@ def _decided(docs: DataFrame, size: int, percent: int, miss: float) -> DataFrame
     posted = prefixes(classes, least)
     found = _links(posted, classes, docs.select("thash", "text"), least, size, percent)
     out = signed.select("doc_id", "thash", "n", "cls")
-    if found is None:
+    labels = components(_union(found)) if found else None
+    if labels is None:
         out = out.withColumn("label", F.col("cls"))
     else:
-        labels = components(found)
         out = out.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "thash", "n", "cls", F.coalesce("label", "cls").alias("label"))
     out = materialize(out, "decided")
-    discard(signed, classes, posted)
+    discard(signed, classes, posted, *found, *([labels] if labels is not None else []))
     return out
 
 

@@ -165,10 +165,13 @@ def brute_components(texts, size, percent):
     return [len(s) for s in sets], [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("crowd,block", [(32, 512), (1, 8)])
-def test_minhash(spark, docs, empty, monkeypatch, crowd, block):
+@pytest.mark.parametrize("crowd,block,block_bytes,spread", [(32, 512, 16 << 20, 4096), (1, 8, 16 << 20, 2), (1, 10**6, 3000, 1)])
+def test_minhash(spark, docs, empty, monkeypatch, crowd, block, block_bytes, spread):
     monkeypatch.setattr(minhash, "CROWD", crowd)
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(minhash, "SPREAD", spread)
+    monkeypatch.setattr(minhash, "SMALL", 5 * spread)
     rng = random.Random(3)
     near = []
     for _ in range(25):  # near copies of one text, some of which link only through others
@@ -198,6 +201,36 @@ def test_minhash_keeps_one_of_each(spark):
     assert (1, 1, True) in found and (2, 1, False) in found and (2, 2, True) in found and (None, 1, None) in found and (None, None, None) in found
 
 
+@pytest.mark.parametrize("spread", [1, 2, 100])
+def test_minhash_hubs(spark, monkeypatch, spread):
+    """Every pair meets once with its own values, whether one, both or no side is a hub; hubs are dealt over salts."""
+    monkeypatch.setattr(minhash, "SPREAD", spread)
+    pairs = [(0, i) for i in range(1, 8)] + [(i, 9) for i in range(5)] + [(20, 21), (-4, 0)]
+    pairs = spark.createDataFrame(pairs, "a long, b long")
+    facts = spark.createDataFrame([(i, f"v{i}") for i in range(-5, 30)], "cls long, value string")
+    ends = minhash._ends(pairs)
+    links = {r["cls"]: r["links"] for r in ends.collect()}
+    assert links[0] == 9 and links[9] == 5 and links[20] == 1
+    got = minhash._meet(pairs, ends, facts).collect()
+    assert sorted(tuple(sorted((r["a"], r["b"]))) for r in got) == sorted(tuple(sorted(r)) for r in pairs.collect())
+    for r in got:
+        assert (r["va"], r["vb"]) == (f"v{r['a']}", f"v{r['b']}")
+        assert links[r["b"]] <= spread or links[r["a"]] <= links[r["b"]]
+
+
+def test_minhash_leaves_no_tables(spark, docs):
+    """What is left in the shared folder is what the result reads."""
+    from pathlib import Path
+
+    from ledgerline.llm.storage import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = minhash.near_duplicates(docs, 3, 85)
+    assert sorted(x.name.rsplit("-", 1)[0] for x in set(folder.iterdir()) - before) == ["decided", "smallest"]
+    assert out.count() == len(TEXTS) + 1
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (103, 101)], "a long, b long")
     got = {r["node"]: r["label"] for r in graph.components(links).collect()}
