@@ -58,6 +58,16 @@ def test_newest_observation_wins_and_revisions_count(spark):
     assert (got["amount_cents"], got["revisions"], got["amount_changed"], got["pending"], got["net_cost_cents"]) == (-6100, 2, True, False, 6100)
 
 
+def test_transactions_are_shuffled_once(spark):
+    rows = [record(amount=a, observed=at(d), external=e) for a, d, e in ((-5, 2, "1"), (-5, 1, "1"), (-6, 3, "1"), (-5, 4, "1"), (-7, 1, "2"))] + [record(external="3", observed=None), record(external="3", observed=at(2), amount=None)]
+    df = observations.collapsed(observations.deduplicated(records(spark, rows)))
+    got = {r["external_id"]: (r["amount_cents"], r["first_seen_at"], r["last_seen_at"], r["revisions"], r["amount_changed"]) for r in df.collect()}
+    assert got == {"1": (-6, at(1), at(3), 2, True), "2": (-7, at(1), at(1), 1, False), "3": (None, at(2), at(2), 2, False)}
+    edited = df.join(observations.last_edits(corrections(spark, [("A", "1", "category", "fuel")]).hint("shuffle_merge"), "txn_key", ("category",), ["created_at", "uid"]).hint("shuffle_merge"), "txn_key", "left")
+    plan = edited.select("txn_key", "amount_cents", "edit_category")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_listed_ids_are_counted_without_arrays(spark):
     rows = [("p", "A", "1"), ("p", "A", "1"), ("p", "A", "2"), ("p", "B", "1"), ("q", "A", None), ("q", "A", "3"), ("r", "C", None)]
     df = spark.createDataFrame(rows, "poll_uid string, native_account string, external_id string")
