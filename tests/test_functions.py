@@ -105,3 +105,20 @@ def test_payload(spark):
 @pytest.mark.parametrize("errors,wanted", [('[{"code":"con.auth"}]', True), ('[{"code":"act.failed"}]', False), ("[]", False), (None, False)])
 def test_error_codes(spark, errors, wanted):
     assert apply(spark, [errors], payload.needs_a_human) == [wanted]
+
+
+def test_folding_scans_few_ranges(spark):
+    """Every mark is folded as Python does, in long texts too, and looked for by ranges instead of one by one."""
+    every = "".join(text.FOLDED)
+    rows = [(c,) for c in every] + [("Straße " * 3000 + every,), ("plain " * 3000,)]
+    df = spark.createDataFrame(rows, "t string").select("t", text.folded(F.col("t")).alias("folded"))
+    assert all(r["folded"] == r["t"].lower().casefold() for r in df.collect())
+    assert "".join(text.FOLDED)[:20] not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(text._ranges(list(text.FOLDED))) < 10 * len(text.FOLDED)
+
+
+def test_passes_that_change_nothing_are_the_last(spark):
+    want = {"SQ *KEY FOOD 0012 BROOKLYN NY": "Key Food", "SHOP, - #12  #34 #56": "Shop", "SHOP #1 #2 #3 #4": "Shop #1", "TST* #12": "#12", "A  B  C": "A B C"}
+    df = spark.createDataFrame([(d,) for d in want], "d string").select("d", text.stripped(F.col("d")).alias("s"))
+    assert {r["d"]: r["s"].upper() for r in df.collect()}["SHOP #1 #2 #3 #4"] == "SHOP #1"
+    assert {r["s"].upper() for r in df.collect()} >= {"SHOP", "A B C"}
