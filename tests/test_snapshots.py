@@ -177,3 +177,18 @@ def test_reconciliation(spark):
     out = reconciliation.reconciled(spark.createDataFrame(seen, "account string, at timestamp, uid string, balance_cents long"), spark.createDataFrame(moves, "account string, day date, amount_cents long"))
     got = sorted((r["account"], r["uid"], r["moved_cents"], r["explained_cents"], r["unexplained_cents"]) for r in out.collect())
     assert got == [("A", "1", -500, None, None), ("A", "2", -800, -300, 0), ("A", "3", -800, 0, -10), ("B", "1", 0, None, None)]
+
+
+def test_a_large_batch_is_grouped_once(spark, tmp_path):
+    """Whether a batch is small is asked of its rows as they come; one that is not runs through its grouping only to be stored."""
+    rows = lambda n: spark.range(n).select(F.col("id").cast("string").alias("uid"), F.lit("s").alias("source"), F.lit("2026-08-01").cast("timestamp").alias("started_at"))
+    store = Store(spark, str(tmp_path / "s"))
+    polls_of = lambda n: schemas.shaped(rows(n), schemas.FEED_POLLS)
+    assert store.append_new({"feed_polls": polls_of(2000)}, polls.KEYED) == {"feed_polls": 2000}
+    assert sum(f.stat().st_size for f in (tmp_path / "s" / "data").rglob("*.parquet")) < 500_000  # filters fit the rows
+    seen = spark.sparkContext.accumulator(0)
+    counted = polls_of(3000).rdd.map(lambda r: (seen.add(1), r)[1])
+    assert store.append_new({"feed_polls": spark.createDataFrame(counted, schemas.FEED_POLLS)}, polls.KEYED) == {"feed_polls": 1000}
+    assert seen.value < 3 * 3000
+    repeated = polls_of(3).unionAll(polls_of(3)).unionAll(polls_of(3003).filter("uid >= 3000"))
+    assert store.append_new({"feed_polls": repeated}, polls.KEYED) == {"feed_polls": 3}
