@@ -238,3 +238,8 @@ def test_idempotent_appends_and_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert Store(spark, str(tmp_path / "s")).table("feed_records").count() == 3
     assert sinks.upserted(spark.createDataFrame([(1, "a")], "k int, v string"), spark.createDataFrame([(1, "b")], "k int, v string"), ["k"], ["v"]).first()["v"] == "b"
+
+
+def test_manifest_does_not_write_the_flagged_rows(spark):
+    query = catalogue.QUERIES["k9_manifest"](spark, "/root/testdata/sf0.001")
+    assert "feed-rows" not in query._jdf.queryExecution().executedPlan().toString()
