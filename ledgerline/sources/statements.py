@@ -102,7 +102,9 @@ def looks_like_ofx(text: Column) -> Column:
 def parse_ofx(files: DataFrame) -> DataFrame:
     """FIELDS with file and line of whole OFX texts: (file, value)."""
     account = F.when(F.col("value").rlike(r"(?i)<ACCTID>\s*[^\s<]"), F.regexp_extract("value", r"(?i)<ACCTID>\s*([^\s<]+)", 1))
-    blocks = files.select("file", F.concat(F.lit("drop:ofx:"), last_four(account, "ofx")).alias("native_account"), F.posexplode(F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1))).alias("line", "block"))
+    # the account first: beside exploded blocks, each of them would carry the whole text
+    read = files.select("file", F.concat(F.lit("drop:ofx:"), last_four(account, "ofx")).alias("native_account"), F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1)).alias("blocks"))
+    blocks = read.select("file", "native_account", F.posexplode("blocks").alias("line", "block"))
     b = F.col("block")
     money, posted = to_cents(_tag(b, "TRNAMT")), parse_date(_tag(b, "DTPOSTED")).cast("string")
     return blocks.select(

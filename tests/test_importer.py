@@ -72,6 +72,15 @@ def test_one_file_in_many_splits(spark, tmp_path):
     assert len({r["external_id"] for r in rows}) == n
 
 
+def test_blocks_do_not_carry_their_file(spark):
+    """A row a block, each with the whole text beside it, takes the square of a file's length."""
+    plan = statements.parse_ofx(spark.createDataFrame([("a", OFX)], "file string, value string"))._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate ")]
+    assert "value#" not in above
+    beneath = plan[plan.index("Generate ") :].split("\n")
+    assert "value#" not in beneath[0] and "Project" in beneath[1] and "native_account" in beneath[1]
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "notes.md").write_text("x")
     (tmp_path / "empty.csv").write_text("")
