@@ -243,3 +243,13 @@ def test_idempotent_appends_and_stream(spark, tmp_path):
 def test_manifest_does_not_write_the_flagged_rows(spark):
     query = catalogue.QUERIES["k9_manifest"](spark, "/root/testdata/sf0.001")
     assert "feed-rows" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_leaves_out_the_flag_that_it_does_not_read(spark, book, monkeypatch):
+    """Registering the views wrote all rows for a flag that few queries read."""
+    monkeypatch.setattr("ledgerline.operators.feed.once", None)
+    sums = book.sql("SELECT account, sum(net_cost_cents) AS cents FROM costs GROUP BY account")
+    assert "__first" not in sums._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    flags = book.sql("SELECT id, duplicate_suspect FROM bank")
+    assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, book.bank.select("id", "duplicate_suspect").collect())) != []
