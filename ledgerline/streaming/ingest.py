@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.schemas import FEED_RECORDS
-from ledgerline.sources.polls import KEYED, RECORD_KEYS, record_uid
+from ledgerline.sources.polls import KEYED, RECORD_KEYS
 from ledgerline.sources.snapshots import Store
 from ledgerline.sources.statements import GLOB
 
@@ -31,7 +31,7 @@ def append(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     """Append new observations to feed_records; a batch delivered twice adds nothing. Runs until the input is used up."""
 
     def one(batch: DataFrame, _: int) -> None:
-        Store(batch.sparkSession, store.root).append_new({"feed_records": batch.withColumn("uid", record_uid())}, KEYED)
+        Store(batch.sparkSession, store.root).append_new({"feed_records": batch.drop("uid")}, KEYED)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

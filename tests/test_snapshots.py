@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,15 @@ def test_a_large_batch_is_grouped_once(spark, tmp_path):
     assert seen.value < 3 * 3000
     repeated = polls_of(3).unionAll(polls_of(3)).unionAll(polls_of(3003).filter("uid >= 3000"))
     assert store.append_new({"feed_polls": repeated}, polls.KEYED) == {"feed_polls": 3}
+
+
+def test_digests_are_made_where_rows_are_stored(spark, tmp_path):
+    """A batch without them doesn't move them: a stream's files were shuffled and written at twice their size."""
+    store = Store(spark, str(tmp_path / "t"))
+    seen = [("s", "a", e, c, "2026-08-01", at) for e, c, at in (("1", "x", datetime(2026, 8, 2)), ("1", "x", datetime(2026, 8, 1)), ("2", "y", None))]
+    batch = spark.createDataFrame(seen, "source string, native_account string, external_id string, content_sha256 string, posted_at string, observed_at timestamp").withColumn("transacted_at", F.lit(None).cast("string"))
+    assert [store.append_new({"feed_records": batch}, polls.KEYED)["feed_records"] for _ in range(2)] == [2, 0]
+    rows = store.table("feed_records").withColumn("want", polls.record_uid()).filter("external_id = '1'").collect()
+    assert [(r["uid"] == r["want"], r["observed_at"]) for r in rows] == [(True, datetime(2026, 8, 1))]
+    paths = [f["path"] for f in store.version().folders("feed_records")]
+    assert any(".zstd." in p.name for path in paths for p in Path(path).rglob("*.parquet"))
