@@ -205,3 +205,13 @@ def test_digests_are_made_where_rows_are_stored(spark, tmp_path):
     assert [(r["uid"] == r["want"], r["observed_at"]) for r in rows] == [(True, datetime(2026, 8, 1))]
     paths = [f["path"] for f in store.version().folders("feed_records")]
     assert any(".zstd." in p.name for path in paths for p in Path(path).rglob("*.parquet"))
+
+
+def test_lines_of_small_pages_are_shuffled_once(spark):
+    """They were written twice and shuffled six times; large pages still go over ranges, with the same lines."""
+    boxes = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 9 % 3 * (F.col("id") % 2)).alias("page"), F.col("id").alias("seq"), (F.col("id") * 37 % 101).alias("x"), (F.col("id") * 7919 % 901).cast("double").alias("y"), (1 + F.col("id") % 3).cast("double").alias("h"), F.col("id").cast("string").alias("text"))
+    one = cluster_lines(boxes)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = sorted(map(str, one.collect()))
+    assert boxes.groupBy("page").count().filter("count > 250").count() in (1, 2)
+    assert len(want) > 500 and sorted(map(str, cluster_lines(boxes, most=250).collect())) == want == sorted(map(str, cluster_lines(boxes, most=1).collect()))
