@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
-from ledgerline.operators import edits, reconciliation, retention
+from ledgerline.operators import edits, observations, reconciliation, retention
 from ledgerline.operators.lines import cluster_lines
 from ledgerline.operators.receipts import retry_schedule
 from ledgerline.plans.ledger import Ledger
@@ -215,3 +215,13 @@ def test_lines_of_small_pages_are_shuffled_once(spark):
     want = sorted(map(str, one.collect()))
     assert boxes.groupBy("page").count().filter("count > 250").count() in (1, 2)
     assert len(want) > 500 and sorted(map(str, cluster_lines(boxes, most=250).collect())) == want == sorted(map(str, cluster_lines(boxes, most=1).collect()))
+
+
+def test_digests_are_moved_as_bytes(spark):
+    """A record's uid was most of what its one shuffle moved; other texts than digests stay as they are."""
+    uids = ["ab" * 32, "00ff", "0FF0", "abc", "", "x", "é", "ab\n", None]
+    given = spark.createDataFrame([(u, f"e{i}") for i, u in enumerate(uids)], "uid string, external_id string").withColumns({"source": F.lit("s"), "native_account": F.lit("a"), "content_sha256": F.lit("c")})
+    dealt = observations.by_transaction(given)
+    assert sorted(((r["external_id"], r["uid"]) for r in dealt.collect())) == [(f"e{i}", u) for i, u in enumerate(uids)]
+    assert dealt.columns == [*given.columns, "txn_key", "__content"]
+    assert "unhex(uid" in dealt._jdf.queryExecution().optimizedPlan().toString()
