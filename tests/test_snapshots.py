@@ -12,6 +12,7 @@ from ledgerline import schemas
 from ledgerline.operators import edits, observations, reconciliation, retention
 from ledgerline.operators.lines import cluster_lines
 from ledgerline.operators.receipts import retry_schedule
+from ledgerline.plans import adapter
 from ledgerline.plans.ledger import Ledger
 from ledgerline.sources import polls
 from ledgerline.sources.snapshots import Conflict, Keyed, Store, month_of
@@ -225,3 +226,21 @@ def test_digests_are_moved_as_bytes(spark):
     assert sorted(((r["external_id"], r["uid"]) for r in dealt.collect())) == [(f"e{i}", u) for i, u in enumerate(uids)]
     assert dealt.columns == [*given.columns, "txn_key", "__content"]
     assert "unhex(uid" in dealt._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_columns_are_moved_and_sorted_once(spark):
+    """Line items moved the digests and descriptions made of them, and were sorted again for the newest observation."""
+    dealt = adapter.records(spark, "/root/testdata/sf0.001", dealt=True)
+    newest = observations.collapsed(observations.deduplicated(dealt)).drop("poll_uid")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Sort [") == 1
+    moved = newest._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert "to_json" not in moved and "upper(p_name" not in moved
+    plain = observations.collapsed(observations.deduplicated(adapter.records(spark, "/root/testdata/sf0.001"))).select(*newest.columns)
+    assert sorted(map(str, newest.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_one_of_tied_observations_is_the_newest(spark):
+    tied = spark.createDataFrame([("u", c, a) for c, a in (("c", 1), ("d", 2), ("c", 1))], "uid string, content_sha256 string, amount_cents long").withColumns({"source": F.lit("s"), "native_account": F.lit("a"), "external_id": F.lit("e"), "observed_at": F.lit(None).cast("timestamp")})
+    for rows, revisions in ((tied, 3), (observations.deduplicated(tied), 2)):
+        assert [(r["revisions"], r["amount_changed"]) for r in observations.collapsed(rows).collect()] == [(revisions, True)]
