@@ -624,3 +624,26 @@ def test_packing(spark, docs, empty, group):
         assert at <= 256
     assert len(bins) <= 1.25 * sum(r["length"] for r in got) / 256 + 2
     assert packing.pack_documents(empty, tokenizer_path()).count() == 0
+
+
+def test_nearest_items_are_offered_in_order():
+    """By the order of a partial sort before, which all passages went through whether they had as many near items or not."""
+    rng = np.random.default_rng(3)
+    item = [" ".join(f"w{x}" for x in rng.integers(0, 60, 30)) for _ in range(40)]
+    texts = [" ".join([*item[i].split()[: 5 + i % 26], *(f"w{x}" for x in rng.integers(0, 90, i * 7 % 71))]) for i in range(40)] + ["", "w1"]
+    df, idf = np.ones(decontaminate.FEATURES), np.ones(decontaminate.FEATURES, np.float32)
+    basis = rng.standard_normal((decontaminate.FEATURES, 12)).astype(np.float32)
+    items = decontaminate.Items(list(range(40)), item, idf, basis, df, 0.3, 0.75, 0.6)
+    raw = [t.encode() for t in texts]
+    h, first = decontaminate.words_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    begin = np.concatenate([np.arange(a, b, decontaminate.STEP) for a, b in zip(first[:-1], first[1:], strict=True)])
+    doc = np.searchsorted(first, begin, side="right") - 1
+    at, _ = items.met(h)
+    got = list(items.near(h, first, begin, doc, at, basis))
+    want = []
+    for p, a in enumerate(begin):
+        if (np.searchsorted(at, min(a + items.reach.max(), first[doc[p] + 1])) - np.searchsorted(at, max(a - decontaminate.STEP, first[doc[p]]))) >= items.least:
+            v = basis[decontaminate.feature(h[a : min(a + decontaminate.WINDOW, first[doc[p] + 1])])].astype(float).sum(0)
+            cosines = items.vectors.astype(float) @ (v / np.sqrt((v * v).sum()))
+            want += [(p, int(q)) for q in sorted(np.argsort(-cosines)[: decontaminate.NEAREST]) if cosines[q] >= 0.3]
+    assert len(want) > 100 and [(p, q) for p, q, _ in got] == want
