@@ -253,3 +253,15 @@ def test_sql_leaves_out_the_flag_that_it_does_not_read(spark, book, monkeypatch)
     monkeypatch.undo()
     flags = book.sql("SELECT id, duplicate_suspect FROM bank")
     assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, book.bank.select("id", "duplicate_suspect").collect())) != []
+
+
+def test_flags_of_shared_accounts_only(spark, monkeypatch):
+    rows = [record("A", "1"), record("B", "9"), record("C", "1"), record("Z", "1"), record("A", "2", None), record("B", "3", day=None)]
+    projected = feed.project_feed(observations.deduplicated(records(spark, rows)), corrections(spark, ()), RULES)
+    assert RULES.accounts.shared() == ["card"] and Accounts((("unmapped:Z", {"native": ["Q"]}),)).shared() == ["unmapped:Z"]
+    flags = lambda df: sorted(map(tuple, df.select("txn_key", "duplicate_suspect").collect()))
+    assert flags(feed.mark_duplicates(projected, rules=RULES)) == flags(feed.mark_duplicates(projected)) and sum(f for _, f in flags(feed.mark_duplicates(projected))) == 1
+    monkeypatch.setattr("ledgerline.operators.feed.once", None)
+    alone = Rules(RULES.categories, RULES.merchants, RULES.flows, Accounts((("card", {"native": ["A"]}),)))
+    assert not any(f for _, f in flags(feed.mark_duplicates(projected, rules=alone)))
+    assert "txn_key" in catalogue.QUERIES["w4_duplicate_flag"](spark, "/root/testdata/sf0.001").columns  # nothing is written for it
