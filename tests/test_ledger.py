@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline import schemas
+from ledgerline import schemas, storage
 from ledgerline.functions.ids import content_hash, txn_key
 from ledgerline.operators import feed, observations
 from ledgerline.operators.receipts import project_receipts, work_queue
@@ -265,3 +265,22 @@ def test_flags_of_shared_accounts_only(spark, monkeypatch):
     alone = Rules(RULES.categories, RULES.merchants, RULES.flows, Accounts((("card", {"native": ["A"]}),)))
     assert not any(f for _, f in flags(feed.mark_duplicates(projected, rules=alone)))
     assert "txn_key" in catalogue.QUERIES["w4_duplicate_flag"](spark, "/root/testdata/sf0.001").columns  # nothing is written for it
+
+
+def _written(monkeypatch):
+    """Columns of what once() writes, by name."""
+    seen = {}
+    for module in ("ledgerline.operators.feed", "ledgerline.plans.ledger"):
+        monkeypatch.setattr(f"{module}.once", lambda df, name: (seen.setdefault(name, []).append(df.columns), storage.once(df, name))[1])
+    return seen
+
+
+def test_counters_write_only_what_the_flag_reads(spark, book, monkeypatch):
+    """All of the projection's columns were written for a flag; those of other accounts than shared ones aren't even compared."""
+    seen = _written(monkeypatch)
+    got = reports.feed_counters(views.bank(book.flagged("deleted", "pending", "status", "amount_changed", "amount_cents"))).collect()
+    assert got == reports.feed_counters(book.bank).collect()
+    assert set(seen["feed-rows"][0]) == {*feed.FLAG_READS, "deleted", "pending", "status", "amount_changed"}
+    seen.clear()
+    query = catalogue.QUERIES["q13_feed_counters"](spark, "/root/testdata/sf0.001")
+    assert not seen and "__first" not in query._jdf.queryExecution().optimizedPlan().toString()
