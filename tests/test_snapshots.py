@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
+from ledgerline.functions.ids import content_hash
 from ledgerline.operators import edits, observations, reconciliation, retention
 from ledgerline.operators.lines import cluster_lines
 from ledgerline.operators.receipts import retry_schedule
@@ -244,3 +245,22 @@ def test_one_of_tied_observations_is_the_newest(spark):
     tied = spark.createDataFrame([("u", c, a) for c, a in (("c", 1), ("d", 2), ("c", 1))], "uid string, content_sha256 string, amount_cents long").withColumns({"source": F.lit("s"), "native_account": F.lit("a"), "external_id": F.lit("e"), "observed_at": F.lit(None).cast("timestamp")})
     for rows, revisions in ((tied, 3), (observations.deduplicated(tied), 2)):
         assert [(r["revisions"], r["amount_changed"]) for r in observations.collapsed(rows).collect()] == [(revisions, True)]
+
+
+def test_contents_are_told_where_rows_are_stored(spark, tmp_path):
+    """Digests of contents were moved as text, and stored keys shuffled beside the batch's for a join; filters took 64 KiB a file."""
+    store = Store(spark, str(tmp_path / "t"))
+    seen = [("s", "a", e, d, "2026-08-01", at) for e, d, at in (("1", "x", datetime(2026, 8, 2)), ("1", "x", datetime(2026, 8, 1)), ("1", "y", datetime(2026, 8, 1)), ("2", None, None))]
+    batch = spark.createDataFrame(seen, "source string, native_account string, external_id string, description string, posted_at string, observed_at timestamp").withColumns({c: F.lit(None).cast("string") for c in ("transacted_at", "payee", "memo")} | {"amount_cents": F.lit(5), "pending": F.lit(False)})
+    assert store.append_new({"feed_records": batch}, polls.KEYED)["feed_records"] == 3
+    more = batch.unionByName(batch.filter("external_id = '2'").withColumn("amount_cents", F.lit(6)))
+    assert [store.append_new({"feed_records": more}, polls.KEYED)["feed_records"] for _ in range(2)] == [1, 0]
+    given = batch.withColumn("content_sha256", content_hash())
+    assert store.append_new({"feed_records": given}, polls.KEYED)["feed_records"] == 0
+    rows = store.table("feed_records").withColumn("want", polls.record_uid()).collect()
+    assert len(rows) == 4 and all(r["uid"] == r["want"] and len(r["content_sha256"]) == 64 for r in rows)
+    new = store._new("feed_records", more, polls.KEYED["feed_records"], store.version())
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "to_json" not in new._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
+    assert max(f.stat().st_size for f in (tmp_path / "t" / "data").rglob("*.parquet")) < 20_000
