@@ -14,6 +14,7 @@ from ledgerline.operators import edits, observations, reconciliation, retention
 from ledgerline.operators.lines import cluster_lines
 from ledgerline.operators.receipts import retry_schedule
 from ledgerline.plans import adapter
+from ledgerline.plans.exchange import _delivered
 from ledgerline.plans.ledger import Ledger
 from ledgerline.sources import polls
 from ledgerline.sources.snapshots import Conflict, Keyed, Store, month_of
@@ -264,3 +265,12 @@ def test_contents_are_told_where_rows_are_stored(spark, tmp_path):
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert "to_json" not in new._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
     assert max(f.stat().st_size for f in (tmp_path / "t" / "data").rglob("*.parquet")) < 20_000
+
+
+def test_a_stream_file_is_written_without_a_shuffle(spark):
+    """Observations were moved to four tasks to be written; four folders need no shuffle."""
+    rows = spark.range(100).withColumn("uid", F.sha2(F.col("id").cast("string"), 256)).repartition(3)
+    path, half = _delivered(rows, F.crc32("uid"))
+    back = spark.read.parquet(path)
+    assert half == 6 and sorted(r["delivery"] for r in back.select("delivery").distinct().collect()) == [0, 1, 2, 3]
+    assert sorted(r["id"] for r in back.collect()) == list(range(100))
