@@ -136,20 +136,18 @@ def t1_overlapping_polls(spark, sf_dir):
     return store.table("feed_records").select("source", "native_account", "external_id", "amount_cents")
 
 
-def _observation_files(spark: SparkSession, sf_dir: str) -> str:
-    """All observations as files, dealt without regard to time."""
-    path = new_path(spark, "observations")
-    adapter.records(spark, sf_dir).repartition(4, F.crc32(F.col("uid").cast("binary"))).write.parquet(path)
-    return path
+_NEWEST = ["txn_key", "source", "native_account", "external_id", "amount_cents", "description", "first_seen_at", "last_seen_at", "revisions", "amount_changed"]
 
 
 @query(ORACLE["a9_latest_observation"])
 def t2_newest_stream(spark, sf_dir):
-    """The observations as a stream of files in no order, each transaction's newest one kept in state."""
-    path, out = _observation_files(spark, sf_dir), new_path(spark, "updates")
-    rows = stateful.with_state(spark).readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 2).parquet(path)
-    stateful.into_folder(stateful.newest_transactions(rows), out, new_path(spark, "stream")).awaitTermination()
-    return stateful.latest(spark.read.parquet(out), list(stateful.KEYS)).select("txn_key", "source", "native_account", "external_id", "amount_cents", "description", "first_seen_at", "last_seen_at", "revisions", "amount_changed")
+    """The observations as a stream of files in no order, each transaction's contents kept in state. Files have uids, which order, as bytes."""
+    told, out = adapter.records(spark, sf_dir).drop("content_sha256", "poll_uid"), new_path(spark, "updates")
+    told = told.withColumn("uid", F.unhex("uid"))
+    path, half = _delivered(told, F.crc32("uid"))
+    rows = stateful.with_state(spark).readStream.schema(told.schema).option("maxFilesPerTrigger", half).parquet(path).withColumn("content_sha256", ids.content_hash())
+    stateful.into_folder(stateful.newest_transactions(rows, ["description"]), out, new_path(spark, "stream")).awaitTermination()
+    return stateful.latest(spark.read.parquet(out), list(stateful.KEYS)).select(*_NEWEST)
 
 
 @query("SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sha, l_orderkey::VARCHAR AS receipt FROM lineitem WHERE l_orderkey IN (SELECT event_id FROM events) GROUP BY ALL")
