@@ -192,7 +192,7 @@ def x10_publish(spark, sf_dir):
     """The ledger published twice; its month files as a reader finds them."""
     book, path = ledger(spark, sf_dir), new_path(spark, "published")
     for _ in range(2):
-        book.publish(path)
+        book.publish(path, compression="gzip")
     lines = spark.read.text(f"{Store(spark, path).build()}/bank").select(F.concat_ws("-", F.lpad(F.col("year").cast("string"), 4, "0"), F.lpad(F.col("month").cast("string"), 2, "0")).alias("month"), F.get_json_object("value", "$.net_cost_cents").cast("bigint").alias("cents"))
     return lines.groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("cents"))
 

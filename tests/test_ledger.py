@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from copy import copy
 from datetime import date, datetime
 from pathlib import Path
 
@@ -255,18 +256,6 @@ def test_sql_leaves_out_the_flag_that_it_does_not_read(spark, book, monkeypatch)
     assert sorted(map(tuple, flags.collect())) == sorted(map(tuple, book.bank.select("id", "duplicate_suspect").collect())) != []
 
 
-def test_flags_of_shared_accounts_only(spark, monkeypatch):
-    rows = [record("A", "1"), record("B", "9"), record("C", "1"), record("Z", "1"), record("A", "2", None), record("B", "3", day=None)]
-    projected = feed.project_feed(observations.deduplicated(records(spark, rows)), corrections(spark, ()), RULES)
-    assert RULES.accounts.shared() == ["card"] and Accounts((("unmapped:Z", {"native": ["Q"]}),)).shared() == ["unmapped:Z"]
-    flags = lambda df: sorted(map(tuple, df.select("txn_key", "duplicate_suspect").collect()))
-    assert flags(feed.mark_duplicates(projected, rules=RULES)) == flags(feed.mark_duplicates(projected)) and sum(f for _, f in flags(feed.mark_duplicates(projected))) == 1
-    monkeypatch.setattr("ledgerline.operators.feed.once", None)
-    alone = Rules(RULES.categories, RULES.merchants, RULES.flows, Accounts((("card", {"native": ["A"]}),)))
-    assert not any(f for _, f in flags(feed.mark_duplicates(projected, rules=alone)))
-    assert "txn_key" in catalogue.QUERIES["w4_duplicate_flag"](spark, "/root/testdata/sf0.001").columns  # nothing is written for it
-
-
 def _written(monkeypatch):
     """Columns of what once() writes, by name."""
     seen = {}
@@ -284,3 +273,32 @@ def test_counters_write_only_what_the_flag_reads(spark, book, monkeypatch):
     seen.clear()
     query = catalogue.QUERIES["q13_feed_counters"](spark, "/root/testdata/sf0.001")
     assert not seen and "__first" not in query._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flags_of_shared_accounts_only(spark, monkeypatch):
+    rows = [record("A", "1"), record("B", "9"), record("C", "1"), record("Z", "1"), record("A", "2", None), record("B", "3", day=None)]
+    projected = feed.project_feed(observations.deduplicated(records(spark, rows)), corrections(spark, ()), RULES)
+    assert RULES.accounts.shared() == ["card"] and Accounts((("unmapped:Z", {"native": ["Q"]}),)).shared() == ["unmapped:Z"]
+    flags = lambda df: sorted(map(tuple, df.select("txn_key", "duplicate_suspect").collect()))
+    assert flags(feed.mark_duplicates(projected, rules=RULES)) == flags(feed.mark_duplicates(projected)) and sum(f for _, f in flags(feed.mark_duplicates(projected))) == 1
+    monkeypatch.setattr("ledgerline.operators.feed.once", None)
+    alone = Rules(RULES.categories, RULES.merchants, RULES.flows, Accounts((("card", {"native": ["A"]}),)))
+    assert not any(f for _, f in flags(feed.mark_duplicates(projected, rules=alone)))
+    assert "txn_key" in catalogue.QUERIES["w4_duplicate_flag"](spark, "/root/testdata/sf0.001").columns  # nothing is written for it
+
+
+def test_publishing_evaluates_once(spark, book, tmp_path, monkeypatch):
+    """Rows were written three times a publication, and moved as lines of text; month files may be compressed."""
+    seen, dealt, book = _written(monkeypatch), [], copy(book)
+    book.__dict__.pop("_evaluated", None)
+    monkeypatch.setattr(sinks, "write_months", lambda df, *a, plain=sinks.write_months, **k: (dealt.append(df.columns), plain(df, *a, **k)))
+    for _ in range(2):
+        book.publish(str(tmp_path / "out"), compression="gzip")
+    assert {name: len(times) for name, times in seen.items()} == {"feed-rows": 1, "receipt-bases": 1, "items": 1, "receipt-rows": 1}
+    assert dealt[0] == [f.name for f in schemas.BANK.fields]
+    store = Store(spark, str(tmp_path / "out"))
+    folder = Path(store.build(), "bank/year=2026/month=08")
+    assert all(p.name.endswith(".gz") for p in folder.glob("part-*"))
+    lines = [json.loads(r["value"]) for r in spark.read.text(str(folder)).collect()]
+    assert [x["date"] for x in lines] == ["2026-08-01", "2026-08-14"] and lines[0]["match"]["date"] == "2026-08-01" and list(lines[0]) == sorted(lines[0])
+    assert store.table("bank").count() == 6
