@@ -19,15 +19,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ids import synthesised_id
+from ledgerline.functions.money import to_cents
 from ledgerline.functions.text import let
-from ledgerline.sources.statements import DIALECTS, FIELDS, GLOB, looks_like_ofx, parse_ofx
+from ledgerline.sources.statements import AMOUNTS, DIALECTS, FIELDS, GLOB, looks_like_ofx, parse_ofx
 from ledgerline.storage import once
 
 #: Columns of a line that are looked at; exports have about a dozen.
 MOST_COLUMNS = 64
 #: What is wrong with a file.
 UNREADABLE, UNKNOWN = "drop.unreadable", "drop.unknown-format"
-_CSV = ", ".join(f"c{i} string" for i in range(MOST_COLUMNS))
+#: The columns that dialects read.
+_READ = sorted({c for _, required, optional, _ in DIALECTS for c in (*required, *optional)})
 _OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\0", "maxColumns": "20480"}
 _BOM = "﻿"
 
@@ -51,9 +53,28 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
 
 
-def _values(line: Column) -> Column:
-    """A line's values; those that it doesn't have are null."""
-    return let(F.from_csv(line, F.lit(_CSV), _OPTIONS), lambda parsed: F.array(*[parsed[f"c{i}"] for i in range(MOST_COLUMNS)]))
+def _values(line: Column, width: int = MOST_COLUMNS) -> Column:
+    """A line's first values, width of them; those that it doesn't have are null."""
+    columns = ", ".join(f"c{i} string" for i in range(width))
+    return let(F.from_csv(line, F.lit(columns), _OPTIONS), lambda parsed: F.array(*[parsed[f"c{i}"] for i in range(width)]))
+
+
+def _any_value(values: Column) -> Column:
+    return F.exists(values, lambda v: F.trim(F.coalesce(v, F.lit(""))) != "")
+
+
+def _split(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """rows with their values, as many as their header has names; those of lines without any value are left out.
+
+    widths are those of the headers. A line of as many values as are asked for is parsed without an exception inside, which
+    costs more than all the rest; only lines that are blank as far as the header goes are looked at further.
+    """
+    own = F.lit(None).cast("array<string>")
+    for width in widths:
+        own = F.when(F.least(F.size("names"), F.lit(MOST_COLUMNS)) == width, _values(F.col("value"), width)).otherwise(own)
+    # exploded, as a filter would parse the line a second time
+    kept = let(own, lambda v: F.when(F.when(_any_value(v), True).otherwise(_any_value(_values(F.col("value")))), F.array(v)))
+    return rows.select("file", "line", "dialect", "at", F.explode(kept).alias("values"))
 
 
 def _names(line: Column) -> Column:
@@ -71,37 +92,42 @@ def _dialect(names: Column) -> Column:
 
 
 def _facts(lines: DataFrame) -> DataFrame:
-    """(file, names, dialect, whole): whole files can't be read by lines."""
+    """(file, names, dialect, whole, at): whole files can't be read by lines; at has the places of the columns that dialects read, 0 for none."""
     head = F.regexp_replace("value", f"^{_BOM}", "")
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
     ofx = looks_like_ofx(head) | F.upper(F.ltrim(F.col("value"))).startswith("<OFX>")
     per = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "n")).alias("head"), F.bool_or(ofx).alias("ofx"), F.bool_or(odd).alias("odd"))
     names = _names(F.col("head"))
     dialect = F.when(F.col("ofx"), "ofx").otherwise(_dialect(names))
-    return per.select("file", names.alias("names"), dialect.alias("dialect"), (F.col("ofx") | F.col("odd")).alias("whole"))
+    told = per.select("file", names.alias("names"), dialect.alias("dialect"), (F.col("ofx") | F.col("odd")).alias("whole"))
+    return told.withColumn("at", F.struct(*[_place(c).alias(c) for c in _READ]))
+
+
+def _place(name: str) -> Column:
+    """Where the last column of that name is."""
+    back = F.array_position(F.reverse("names"), F.lit(name)).cast("int")
+    return F.when(back > 0, F.size("names") - back + 1).otherwise(0)
 
 
 def _cell(name: str) -> Column:
     """A row's value under the last column of that name."""
-    back = F.array_position("__back", F.lit(name)).cast("int")
-    return F.when(back > 0, F.try_element_at("values", F.size("names") - back + 1))
+    at = F.col("at")[name]
+    return F.when(at > 0, F.try_element_at("values", at))
 
 
 def _by_dialect(values: DataFrame) -> DataFrame:
-    """FIELDS of (file, line, dialect, names, values), each row by its file's dialect; rows without any value are left out."""
-    filled = values.filter(F.exists("values", lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""))
-    columns = sorted({c for _, required, optional, _ in DIALECTS for c in (*required, *optional)})
-    named = filled.withColumn("__back", F.reverse("names")).select("file", "line", "dialect", *[_cell(c).alias(c) for c in columns])
-    made = {name: columns() for name, _, _, columns in DIALECTS}
-
-    def chosen(field: str) -> Column:
-        out = F.lit(None).cast("bigint" if field == "amount_cents" else "string")
-        for name, own in made.items():
-            if field in own:
-                out = F.when(F.col("dialect") == name, own[field]).otherwise(out)
+    """FIELDS of (file, line, dialect, at, values), each row by its file's dialect."""
+    named = values.select("file", "line", "dialect", *[_cell(c).alias(c) for c in _READ])
+
+    def by_dialect(own: dict[str, Column], kind: str) -> Column:
+        out = F.lit(None).cast(kind)
+        for name, value in own.items():
+            out = F.when(F.col("dialect") == name, value).otherwise(out)
         return out
 
-    return named.select("file", "line", "dialect", *[chosen(f).alias(f) for f in FIELDS])
+    told = named.withColumn("__money", to_cents(by_dialect({name: AMOUNTS[name]() for name, *_ in DIALECTS}, "string")))  # read once for both of its columns
+    made = {name: columns(F.col("__money")) for name, _, _, columns in DIALECTS}
+    return told.select("file", "line", "dialect", *[by_dialect({n: own[f] for n, own in made.items() if f in own}, "bigint" if f == "amount_cents" else "string").alias(f) for f in FIELDS])
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
@@ -148,12 +174,13 @@ def import_folder(spark: SparkSession, path: str) -> Imported:
     listed = listed.join(sizes, "file", "left").select("file", F.coalesce("bytes", F.lit(0)).alias("bytes"))
     facts = once(_facts(lines), "import-facts")
     by_line = lines.join(facts.filter("not whole and dialect is not null").select("file", "names", "dialect"), "file", "left_semi")
-    rows = _numbered(by_line).filter("line > 0").join(facts.select("file", "names", "dialect"), "file").withColumn("values", _values(F.col("value")))
-    found = _by_dialect(rows)
+    widths = [r["n"] for r in facts.filter("not whole and dialect is not null").select(F.least(F.size("names"), F.lit(MOST_COLUMNS)).alias("n")).distinct().collect()]  # MOST_COLUMNS at most
+    rows = _numbered(by_line).filter("line > 0").join(facts.select("file", "names", "dialect", "at"), "file")
+    found = _by_dialect(_split(rows, widths))
     whole = [re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(r["file"])) for r in facts.filter("whole and dialect is not null").select("file").collect()]  # no more than the file index lists
     if whole:
         texts = spark.read.option("ignoreCorruptFiles", "true").text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").join(facts.select("file", "dialect"), "file")
-        quoted = _csv_records(texts.filter("dialect <> 'ofx'").select("file", "value")).filter("line > 0").join(facts.select("file", "names", "dialect"), "file")
+        quoted = _csv_records(texts.filter("dialect <> 'ofx'").select("file", "value")).filter((F.col("line") > 0) & _any_value(F.col("values"))).join(facts.select("file", "dialect", "at"), "file")
         ofx = parse_ofx(texts.filter("dialect = 'ofx'").select("file", "value")).withColumn("dialect", F.lit("ofx"))
         found = found.unionByName(_by_dialect(quoted)).unionByName(ofx.select(found.columns))
     made = F.col("external_id").isNull()

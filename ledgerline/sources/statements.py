@@ -31,28 +31,33 @@ def _signed(cents: Column, minus: Column) -> Column:
     return F.when(minus, -F.abs(cents)).otherwise(F.abs(cents))
 
 
-def _split_columns() -> dict[str, Column]:
-    money = to_cents(F.coalesce(F.nullif(F.col("Debit"), F.lit("")), F.col("Credit")))
+def _split_columns(money: Column) -> dict[str, Column]:
     return {"native_account": F.concat(F.lit("drop:capitalone-credit:"), last_four(F.col("`Card No.`"), "card")), "posted_at": _day("Posted Date"), "transacted_at": _day("Transaction Date"), "description": _text("Description"), "amount_cents": _signed(money["cents"], _text("Debit") != ""), "reject_reason": money["reject_reason"]}
 
 
-def _typed_rows() -> dict[str, Column]:
-    money = to_cents(F.col("`Transaction Amount`"))
+def _typed_rows(money: Column) -> dict[str, Column]:
     return {"native_account": F.concat(F.lit("drop:capitalone-checking:"), last_four(F.col("`Account Number`"), "acct")), "posted_at": _day("Transaction Date"), "transacted_at": _day("Transaction Date"), "description": _text("Transaction Description"), "amount_cents": _signed(money["cents"], F.lower(_text("Transaction Type")).startswith("debit")), "reject_reason": money["reject_reason"]}
 
 
-def _inverted_card() -> dict[str, Column]:
-    money, kind = to_cents(F.col("`Amount (USD)`")), F.lower(_text("Type"))
+def _inverted_card(money: Column) -> dict[str, Column]:
+    kind = F.lower(_text("Type"))
     return {"native_account": F.lit("drop:applecard:apple-card"), "posted_at": _day("Clearing Date"), "transacted_at": _day("Transaction Date"), "description": _text("Description"), "payee": F.nullif(_text("Merchant"), F.lit("")), "flow_hint": F.when(kind == "payment", "payment"), "amount_cents": _signed(money["cents"], kind != "payment"), "reject_reason": money["reject_reason"]}
 
 
 #: Format names, the header columns that tell them, and the columns they may also have.
-DIALECTS: tuple[tuple[str, tuple[str, ...], tuple[str, ...], Callable[[], dict[str, Column]]], ...] = (
+DIALECTS: tuple[tuple[str, tuple[str, ...], tuple[str, ...], Callable[[Column], dict[str, Column]]], ...] = (
     ("capitalone-credit", ("Transaction Date", "Posted Date", "Description", "Debit", "Credit"), ("Card No.",), _split_columns),
     ("capitalone-checking", ("Transaction Date", "Transaction Amount", "Transaction Type", "Transaction Description"), ("Account Number",), _typed_rows),
     ("applecard", ("Transaction Date", "Clearing Date", "Merchant", "Amount (USD)"), ("Description", "Type"), _inverted_card),
 )
 
+#: Each dialect's amount as it is written; what to_cents() makes of it is handed to its columns.
+AMOUNTS: dict[str, Callable[[], Column]] = {
+    "capitalone-credit": lambda: F.coalesce(F.nullif(F.col("Debit"), F.lit("")), F.col("Credit")),
+    "capitalone-checking": lambda: F.col("`Transaction Amount`"),
+    "applecard": lambda: F.col("`Amount (USD)`"),
+}
+
 
 class UnknownFormat(ValueError):
     """No dialect claims the header."""
@@ -75,7 +80,7 @@ def project(rows: DataFrame, dialect: str) -> DataFrame:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     named = [c for c in rows.columns if c not in ("file", "line")]
     filled = rows.filter(F.concat(*[F.coalesce(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")) for c in named]) != "")
-    made = columns()
+    made = columns(to_cents(AMOUNTS[dialect]()))
     keep = [c for c in ("file", "line") if c in rows.columns]
     return filled.select(*keep, *[made.get(f, F.lit(None)).cast("bigint" if f == "amount_cents" else "string").alias(f) for f in FIELDS])
 
@@ -90,8 +95,8 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _tag(block: Column, tag: str) -> Column:
-    found = F.trim(F.regexp_extract(block, rf"(?i)<{tag}>\s*([^<\r\n]*)", 1))
-    return F.when(block.rlike(rf"(?i)<{tag}>"), found)
+    """A tag's text, empty if there is none."""
+    return F.trim(F.regexp_extract(block, rf"(?i)<{tag}>\s*([^<\r\n]*)", 1))
 
 
 def looks_like_ofx(text: Column) -> Column:
@@ -105,11 +110,11 @@ def parse_ofx(files: DataFrame) -> DataFrame:
     # the account first: beside exploded blocks, each of them would carry the whole text
     read = files.select("file", F.concat(F.lit("drop:ofx:"), last_four(account, "ofx")).alias("native_account"), F.regexp_extract_all("value", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1)).alias("blocks"))
     blocks = read.select("file", "native_account", F.posexplode("blocks").alias("line", "block"))
-    b = F.col("block")
-    money, posted = to_cents(_tag(b, "TRNAMT")), parse_date(_tag(b, "DTPOSTED")).cast("string")
-    return blocks.select(
-        "file", "line", "native_account", F.nullif(_tag(b, "FITID"), F.lit("")).alias("external_id"), posted.alias("posted_at"), F.coalesce(parse_date(_tag(b, "DTUSER")).cast("string"), posted).alias("transacted_at"),
-        F.coalesce(F.nullif(_tag(b, "NAME"), F.lit("")), _tag(b, "MEMO"), F.lit("")).alias("description"), F.lit(None).cast("string").alias("payee"), _tag(b, "MEMO").alias("memo"), F.lit(None).cast("string").alias("flow_hint"), money["cents"].alias("amount_cents"), money["reject_reason"].alias("reject_reason"),
+    tags = blocks.select("file", "line", "native_account", *[_tag(F.col("block"), t).alias(t) for t in ("FITID", "TRNAMT", "DTPOSTED", "DTUSER", "NAME")], F.when(F.col("block").rlike("(?i)<MEMO>"), _tag(F.col("block"), "MEMO")).alias("MEMO"))
+    read = tags.withColumns({"__money": to_cents(F.col("TRNAMT")), "__posted": parse_date(F.col("DTPOSTED")).cast("string")})  # once for all that they are read for
+    return read.select(
+        "file", "line", "native_account", F.nullif("FITID", F.lit("")).alias("external_id"), F.col("__posted").alias("posted_at"), F.coalesce(parse_date(F.col("DTUSER")).cast("string"), "__posted").alias("transacted_at"),
+        F.coalesce(F.nullif("NAME", F.lit("")), "MEMO", F.lit("")).alias("description"), F.lit(None).cast("string").alias("payee"), F.col("MEMO").alias("memo"), F.lit(None).cast("string").alias("flow_hint"), F.col("__money.cents").alias("amount_cents"), F.col("__money.reject_reason").alias("reject_reason"),
     )
 
 

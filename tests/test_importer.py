@@ -95,3 +95,18 @@ def test_text_receipts(spark):
     assert rows[1]["body"] == "Date: 2026-08-14\nTime: 09:05\n\ncoffee 4.75 at Cafe\n" and rows[1]["sha256"] == rows[5]["sha256"]
     assert {r["id"]: r["reason"] for r in refused.collect()} == {2: "nothing was said", 3: "nothing was said", 4: "no time"}
     assert told.filter(F.col("text").isNull()).count() == 0
+
+
+def test_lines_are_parsed_once_by_their_headers_width(spark, tmp_path):
+    """Each line was parsed twice into 64 columns, with an exception inside for those that it lacks; a code too large to be compiled is none."""
+    head = "Transaction Date,Clearing Date,Description,Merchant,Category,Type,Amount (USD)"
+    lines = [head, '08/01/2026,08/02/2026,"A, ""B""",Shop,x,Purchase,$5.00', "", ",,,,,,", " ,,,,,,,,late", '"",,,', "08/03/2026,08/04/2026,short", "08/05/2026,08/06/2026,C,Shop,x,Payment,7.00,beyond"]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.csv").write_text("Transaction Date,Posted Date,Description,Debit,Credit,Debit\n2026-08-01,2026-08-02,D,1.00,,2.00\n")
+    got = importer.import_folder(spark, str(tmp_path))
+    rows = sorted((r["dialect"], r["line"], r["posted_at"], r["description"], r["amount_cents"], r["flow_hint"]) for r in got.rows.collect())
+    assert rows == [("applecard", 1, "2026-08-02", 'A, "B"', -500, None), ("applecard", 4, None, "", None, None), ("applecard", 6, "2026-08-04", "short", None, None), ("applecard", 7, "2026-08-06", "C", 700, "payment"), ("capitalone-credit", 1, "2026-08-02", "D", -200, None)]
+    lines = spark.createDataFrame([("f", 1, "applecard", head.split(","), lines[1])], "file string, line long, dialect string, names array<string>, value string")
+    placed = lines.withColumn("at", F.struct(*[importer._place(c).alias(c) for c in importer._READ]))
+    plan = importer._by_dialect(importer._split(placed, [7]))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan and plan.count("from_csv(") == 2  # by its width, and beyond if it is blank so far
