@@ -302,3 +302,16 @@ def test_publishing_evaluates_once(spark, book, tmp_path, monkeypatch):
     lines = [json.loads(r["value"]) for r in spark.read.text(str(folder)).collect()]
     assert [x["date"] for x in lines] == ["2026-08-01", "2026-08-14"] and lines[0]["match"]["date"] == "2026-08-01" and list(lines[0]) == sorted(lines[0])
     assert store.table("bank").count() == 6
+
+
+def test_receipts_alone_are_an_anti_join(spark, book, monkeypatch):
+    """They were filtered out of the whole report, with its names and its sort."""
+    s = views.costs(book.unflagged)
+    for cents in (2, 100_000):
+        want = reports.receipt_candidates(book.receipt_rows, s, cents=cents).filter("kind = 'receipt with no candidate'")
+        assert sorted(r["id"] for r in reports.receipts_alone(book.receipt_rows, s, cents=cents).collect()) == sorted(r["receipt"] for r in want.collect())
+    assert reports.receipts_alone(book.receipt_rows, s.filter("false")).count() == book.receipt_rows.filter("total_cents is not null").count() > 0
+    seen = []
+    monkeypatch.setattr("ledgerline.plans.reports.once", lambda df, name: (seen.append(df.columns), storage.once(df, name))[1])
+    plan = catalogue.QUERIES["j5_anti_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "Sort [" not in plan and seen[1] == ["date", "merchant_key", "net_cost_cents"]
