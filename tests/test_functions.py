@@ -122,3 +122,19 @@ def test_passes_that_change_nothing_are_the_last(spark):
     df = spark.createDataFrame([(d,) for d in want], "d string").select("d", text.stripped(F.col("d")).alias("s"))
     assert {r["d"]: r["s"].upper() for r in df.collect()}["SHOP #1 #2 #3 #4"] == "SHOP #1"
     assert {r["s"].upper() for r in df.collect()} >= {"SHOP", "A B C"}
+
+
+def test_no_pass_is_begun_where_no_trailer_can_be(spark):
+    """Each pass looked for eight trailers, the last one in vain; one look tells."""
+    ends = ["#12", " 555-123-4567", "XX12", "a1b2c3d4", "NEW YORK NY", " US", "USA ", "09/12", "-", ", 12", "", " usa", " x9", "#4 ", "a5bcdef gh"]
+    texts = [f"{head} {a} {b}" for head in ("BLUE RING", "", "X") for a in ends for b in ends]
+
+    def plain(kept, passes=text.PASSES):
+        shorter = kept
+        for pattern in text.TRAILERS:
+            shorter = text._edges(F.regexp_replace(shorter, pattern, ""))
+        return text.let(shorter, lambda x: F.when((x == "") | (x == kept), kept).otherwise(plain(x, passes - 1) if passes > 1 else x))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r for r in df.select("t", text.without_trailers(F.col("t")).alias("got"), text.let(F.col("t"), lambda w: plain(w)).alias("want")).collect() if r["got"] != r["want"]] == []
+    assert "RLIKE" in df.select(text.without_trailers(F.col("t")))._jdf.queryExecution().analyzed().toString()
